@@ -9,9 +9,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Odd multipliers of the 64-bit mixers; any odd constants do.
@@ -77,8 +77,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+#: Separators between words: space and x09 to x0D. Every other byte has a fixed random 64-bit value.
+PLAIN = np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+PLAIN[[9, 10, 11, 12, 13, 32]] = 0
+#: The same with A-Z as a-z.
+FOLDED = PLAIN.copy()
+FOLDED[65:91] = PLAIN[97:123]
+
+
+def hashed_words(texts: list[bytes], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, first word of each text and the end): words are runs of bytes whose value isn't 0.
+
+    A word's hash is a polynomial of its bytes' values, taken from one running sum over all texts."""
+    data = np.frombuffer(b"\n".join([*texts, b""]) if texts else b"", np.uint8)
+    v = values[data]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[1:] = v != 0
+    turn = np.diff(inside)
+    start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    up, down = _power_table(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(v * up[: len(data)], out=sums[1:])
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return mixed((sums[end] - sums[start]) * down[start]), np.searchsorted(start, at)
+
+
+def in_chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes together; a longer text is a range of its own."""
+    first, total = 0, 0
+    for i, t in enumerate(texts):
+        total += len(t) + 1
+        if total >= size:
+            yield first, i + 1
+            first, total = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 _powers: dict[str, np.ndarray] = {}

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, Scratch, mixed, table, word_hashes
+from .common import FOLDED, STEP, Scratch, hashed_words, in_chunks, mixed, table, window_hashes
 from .components import connected_components
 
 #: 30 bands of 6 slots find a pair of similarity 0.85 with chance 1 - 7e-7, one of 0.8 with 1 - 1e-4.
@@ -34,17 +34,17 @@ BANDS, ROWS = 30, 6
 SLACK = 0.2
 
 
-def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of the ASCII-lower-cased words of ``text``."""
-    words = text.lower().split()  # bytes: splits at x20 and x09 to x0D only
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h, k = word_hashes(words), min(n, size)
-    total = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        total = mixed(total + h[i : n - k + 1 + i] + STEP)
-    return np.unique(total)
+def shingle_sets(texts: list[bytes], size: int = 5) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit hashes of the distinct shingles of its ASCII-lower-cased words."""
+    for first, last in in_chunks(texts):
+        h, at = hashed_words(texts[first:last], FOLDED)
+        every = window_hashes(h, size)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            n = b - a
+            if n >= size:
+                yield np.unique(every[a : b - size + 1])
+            else:  # the whole sequence, told apart from longer shingles by its length
+                yield window_hashes(h[a:b], n) ^ np.uint64(n) if n else np.empty(0, np.uint64)
 
 
 def superminhash(x: np.ndarray, slots: int) -> np.ndarray:
@@ -78,8 +78,7 @@ def _sketch(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                x = shingle_set(text or b"", size)
+            for x in shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], size):
                 if not len(x):
                     row = (0, None, None, None)
                 else:
@@ -102,7 +101,7 @@ def _sets(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t or b"", size) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            sets = list(shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], size))
             keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             right = pa.compute.equal(keys, batch.column("key"))  # of rows that share an id, the one that is meant
             full = pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema)

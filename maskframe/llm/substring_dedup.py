@@ -28,14 +28,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, window_hashes, word_hashes
+from .common import PLAIN, Scratch, hashed_words, in_chunks, table, window_hashes
 
 WINDOW = 50
 
 
-def anchors(h: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the chosen half windows: of each window's half windows the least by hash, the last of equals."""
-    half = window_hashes(h, window // 2)
+def anchors(half: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the chosen ones among the hashes of a text's half windows: of those of each window the least, the
+    last of equals."""
     span = window - window // 2 + 1
     if len(half) < span:
         return np.empty(0, np.int64)
@@ -44,18 +44,26 @@ def anchors(h: np.ndarray, window: int) -> np.ndarray:
     return np.unique(len(half) - 1 - chosen)
 
 
+def levels(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the hashes of its half windows and of its windows."""
+    for first, last in in_chunks(texts):
+        h, at = hashed_words(texts[first:last], PLAIN)
+        half, full = window_hashes(h, window // 2), window_hashes(h, window)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield half[a : max(a, b - window // 2 + 1)], full[a : max(a, b - window + 1)]
+
+
 def _scan(window: int):
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sha", pa.string()), ("halves", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                words = (text or b"").split()
-                whole, halves = b" ".join(words), None
-                if len(words) >= window:
-                    h = word_hashes(words)
-                    halves = np.unique(window_hashes(h, window // 2)[anchors(h, window)]).view(np.int64)
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            for text, (half, _) in zip(texts, levels(texts, window), strict=True):
+                words = text.split()
+                whole = b" ".join(words)
+                halves = np.unique(half[anchors(half, window)]).view(np.int64) if len(words) >= window else None
                 for column, value in zip(out, (len(words), xxhash.xxh3_128_digest(whole), hashlib.sha256(whole).hexdigest(), halves), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
@@ -71,15 +79,13 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for id_, key, text, found in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), texts, batch.column("found").to_pylist(), strict=True):
-                words = (text or b"").split()
-                if len(words) < window or xxhash.xxh3_128_digest(b" ".join(words)) != key:
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            rows = zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), texts, batch.column("found").to_pylist(), levels(texts, window), strict=True)
+            for id_, key, text, found, (half, full) in rows:
+                if not len(full) or xxhash.xxh3_128_digest(b" ".join(text.split())) != key:
                     continue
-                h = word_hashes(words)
-                full = window_hashes(h, window)
-                at = anchors(h, window)
-                at = at[np.isin(window_hashes(h, window // 2)[at].view(np.int64), np.array(found, np.int64))]
+                at = anchors(half, window)
+                at = at[np.isin(half[at].view(np.int64), np.array(found, np.int64))]
                 edge = np.zeros(len(full) + 1, np.int32)
                 np.add.at(edge, np.maximum(at - reach, 0), 1)
                 np.add.at(edge, np.minimum(at + 1, len(full)), -1)
