@@ -56,7 +56,9 @@ def stream_state(spark: SparkSession, digests: DataFrame, scratch: Scratch, file
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-        "spark.sql.streaming.metricsEnabled": "false",
+        # many small stores: no files laid out ahead, and logs of changes in place of snapshots
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
     }.items():
         session.conf.set(key, value)
