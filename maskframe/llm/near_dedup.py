@@ -7,8 +7,8 @@ confirmed on full shingle sets; union-find and star steps make groups.
 
 Documents with equal sets form a class; only the class's smallest id goes on, so copies cost nothing. In a bucket all
 members are compared with the smallest one (a star, linear in the bucket). Only pairs of one bucket which the stars
-leave in different groups are compared as well; so no bucket is expanded to all pairs of what is already joined, and no
-link that could join two groups is skipped. Before sets are shipped, the share of equal slots drops pairs that are
+leave in different groups are compared as well, in large buckets block by block without making rows of pairs; so no
+bucket is expanded to all pairs, and no link that could join two groups is skipped. Before sets are shipped, the share of equal slots drops pairs that are
 0.2 below the threshold (a link lost this way has a chance below 1e-8).
 
 Defined cases: null and empty text: empty set, linked with nothing; fewer words than a shingle: the whole sequence is
@@ -32,6 +32,8 @@ from .components import connected_components
 #: 30 bands of 6 slots find a pair of similarity 0.85 with chance 1 - 7e-7, one of 0.8 with 1 - 1e-4.
 BANDS, ROWS = 30, 6
 SLACK = 0.2
+#: Buckets of up to FEW members are expanded to pairs, larger ones compared in blocks of two chunks.
+FEW, CHUNK = 40, 256
 
 
 def shingle_sets(texts: list[bytes], size: int = 5) -> Iterator[np.ndarray]:
@@ -135,6 +137,58 @@ def _linked(percent: int):
     return run
 
 
+def _forest(percent: int, bands: int, rows: int):
+    """Links between the groups of one block of a large bucket: at most one a member, a spanning forest."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    least = int(bands * rows * max(0.0, percent / 100 - SLACK))
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        bucket, own = table.column("bucket")[0].as_py(), table.column("chunk").to_numpy()
+        ids, groups = table.column("id").to_pylist(), table.column("group").to_pylist()
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        keys = np.array(table.column("bands").to_pylist(), np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        band = int(np.flatnonzero((keys == bucket).all(axis=0))[0])
+        parent: dict[int, int] = {}
+
+        def root(g: int) -> int:
+            while (up := parent.get(g, g)) != g:
+                g = up
+            return g
+
+        found = []
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        for x in left.tolist():
+            others = right if i != j else right[right > x]
+            # a pair that an earlier band brings together is compared there
+            fresh = others[~(keys[others, :band] == keys[x, :band]).any(axis=1)]
+            for y in fresh[(sigs[fresh] == sigs[x]).sum(axis=1) >= least].tolist():
+                p, q = root(groups[x]), root(groups[y])
+                if p == q:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    parent[max(p, q)] = min(p, q)
+                    found.append((ids[x], ids[y]))
+        return pa.Table.from_arrays([pa.array([k[c] for k in found], pa.int64()) for c in (0, 1)], schema=schema)
+
+    return run
+
+
+def in_blocks(lone: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, size: int, bands: int, rows: int) -> DataFrame:
+    """Links between groups in large buckets. The members of a bucket are dealt to chunks of about CHUNK, and each pair of
+    chunks is compared in a task of its own, which holds two chunks and returns links alone."""
+    wanted = lone.select("id").distinct().join(reps.select("id", "key"), "id")
+    sets = docs.join(wanted, "id").mapInArrow(_sets(size), "id long, set binary")
+    full = scratch.save(sets.join(reps.select("id", "sig", "bands"), "id"), "large-buckets")
+    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    own = lone.select("bucket", "id", "group", chunks.alias("chunks"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
+    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("bucket", "id", "group", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    return scratch.save(dealt.join(full, "id").groupBy("bucket", "i", "j").applyInArrow(_forest(percent, bands, rows), "a long, b long"), "block-links")
+
+
 def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, size: int, bands: int, rows: int) -> DataFrame:
     """The pairs (a, b) of class representatives whose full sets reach the threshold, as a written table."""
     sig = reps.select("id", "sig")
@@ -180,9 +234,10 @@ def near_dedup(
     groups = scratch.save(connected_components(edges, scratch), "groups")
     # pairs of a bucket that the stars left apart
     lone = bucket.join(groups, bucket["id"] == groups["node"], "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("group"))
-    split = lone.groupBy("bucket").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("bucket")
+    split = lone.groupBy("bucket").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count(F.lit(1)).alias("members")).where("g <> h").select("bucket", "members")
     lone = scratch.save(lone.join(split, "bucket"), "apart")
-    x, y = lone.alias("x"), lone.alias("y")
+    few = lone.where(f"members <= {FEW}")
+    x, y = few.alias("x"), few.alias("y")
     apart = (
         x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.group") != F.col("y.group")) & alike("x.n", "y.n"))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
@@ -190,6 +245,9 @@ def near_dedup(
         .distinct()
     )
     more = links(apart, *args)
+    many = lone.where(f"members > {FEW}")
+    if not many.isEmpty():
+        more = more.unionByName(in_blocks(many, reps, texts, scratch, percent, size, bands, rows))
     if not more.isEmpty():
         edges = groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.toDF("u", "v"))
         groups = scratch.save(connected_components(edges, scratch), "groups")
