@@ -99,11 +99,11 @@ class _Numbers(dict):
         return n
 
 
-PACKED = "kind string, block long, bucket int, id long, places binary, words binary"
+PACKED = "kind string, block long, bucket int, ids array<long>, places binary, words binary"
 
 
 def _blocks(spec, buckets: int, block_chars: int):
-    schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("id", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
+    schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("places", pa.binary()), ("words", pa.binary())])
 
     def packed(block: int, numbers: _Numbers, docs: list[tuple[int | None, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(len(numbers), np.int64)
@@ -111,10 +111,10 @@ def _blocks(spec, buckets: int, block_chars: int):
             np.add.at(counts, places, 1)
         rank = np.empty(len(numbers), np.uint32)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(numbers))  # frequent words get small numbers
-        for i in range(0, len(docs), 2000):
-            part = docs[i : i + 2000]
-            n = len(part)
-            cells = [["doc"] * n, [block] * n, [None] * n, [x for x, _ in part], [_pack(rank[p]) for _, p in part], [None] * n]
+        for i in range(0, len(docs), 512):  # documents packed together compress better than each of them
+            part = docs[i : i + 512]
+            sizes = np.array([len(p) for _, p in part], np.uint32)
+            cells = [["doc"], [block], [None], [[x for x, _ in part]], [_pack(rank[np.concatenate([p for _, p in part])], sizes)], [None]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
         dealt = defaultdict(list)
         for word, k in numbers.items():
@@ -196,8 +196,8 @@ def _joined(spec, keep: bool):
                 if keep:
                     kept[k] = own
         cells: list[list] = [[] for _ in schema]
-        for id_, blob in zip(docs.column("id").to_pylist(), docs.column("places").to_pylist(), strict=True):
-            places = _unpack(blob)[0]
+        packs = zip(docs.column("ids").to_pylist(), map(_unpack, docs.column("places").to_pylist()), strict=True)
+        for id_, places in ((x, p) for xs, (every, sizes) in packs for x, p in zip(xs, np.split(every, np.cumsum(sizes.astype(np.int64))[:-1]), strict=True)):
             own = places.tolist()
             decoded = b"".join([raw[k] for k in own])
             row = [id_, int(count[places].sum()), hashlib.sha256(",".join([text[k] for k in own]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
@@ -224,7 +224,7 @@ def encode_decode(
     packed = scratch.save(texts.mapInArrow(_blocks(spec, buckets, block_chars), PACKED), "blocks")
     words = packed.where("kind = 'words'").select("bucket", "block", "places", "words")
     ids = words.repartition(buckets, "bucket").select("block", "places", "words").mapInArrow(_encode(spec), "block long, places binary, ids binary")
-    of_docs = packed.where("kind = 'doc'").select("block", "id", "places")
+    of_docs = packed.where("kind = 'doc'").select("block", "ids", "places")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return of_docs.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined(spec, with_ids), schema)
 
