@@ -31,9 +31,13 @@ def fingerprint(inner: Column, outer: Column, value: Column, entity: Column, pro
     return hmac_sha256(inner, outer, F.concat_ws("\0", value, entity, profile))
 
 
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def number_mod(token: Column, by: int) -> Column:
     """A hex string modulo a small number, digit by digit, so that any width works."""
-    return F.aggregate(F.split(token, "(?!^)"), F.lit(0).cast("long"), lambda a, d: (a * 16 + F.conv(d, 16, 10).cast("long")) % by)
+    return F.aggregate(characters(token), F.lit(0).cast("long"), lambda a, d: (a * 16 + F.conv(d, 16, 10).cast("long")) % by)
 
 
 def alias_of(profile: Column, entity: Column, token: Column, original: Column) -> Column:
@@ -45,7 +49,7 @@ def alias_of(profile: Column, entity: Column, token: Column, original: Column) -
     nets = F.array(F.lit("192.0.2."), F.lit("198.51.100."), F.lit("203.0.113."))
     count = F.length(F.regexp_replace(original, "[^0-9]", ""))
     hexes = F.concat(*(F.sha2(F.concat(token, F.lit(f"\x1f{k}")), 256) for k in range(2)))
-    digits = F.array_join(F.transform(F.split(F.substring(hexes, F.lit(1), F.greatest(count, F.lit(1))), "(?!^)"), lambda d: (F.conv(d, 16, 10).cast("int") % 10).cast("string")), "")
+    digits = F.array_join(F.transform(characters(F.substring(hexes, F.lit(1), F.greatest(count, F.lit(1)))), lambda d: (F.conv(d, 16, 10).cast("int") % 10).cast("string")), "")
     return (
         F.when(profile == "hostname", F.concat(F.lit("mf-host-"), token, F.lit(f".{DOMAIN}")))
         .when(profile == "email", F.concat(F.lit("mf-user-"), token, F.lit(f"@{DOMAIN}")))
@@ -82,7 +86,7 @@ def mask(df: DataFrame, sessions: DataFrame, keys: list[str], text: str, rules:
     rows = rows.withColumn("__masked", F.array_join(F.transform("__gaps", lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__cut.parts"), i)["alias"], F.lit("")))), ""))
     stripped = F.aggregate("__aliased", F.col("__masked"), lambda t, h: F.replace(t, h["alias"], F.lit("\0")))
     rows = rows.withColumn("__stripped", stripped)
-    leak = F.exists("__aliased", lambda h: F.contains(F.col("__stripped"), h["value"]))
+    leak = F.exists("__aliased", lambda h: h["alias"].isNull() | F.coalesce(F.contains(F.col("__stripped"), h["value"]), F.lit(True)))
     blocked = F.array_sort(F.array_distinct(F.transform(F.filter("__aliased", lambda h: h["policy"] == "block"), lambda h: h["entity_type"])))
     masked = F.when(F.size(blocked) > 0, F.lit(None)).when(leak, F.raise_error(F.lit("an original value is left in the masked text"))).otherwise(F.col("__masked"))
     aliases = F.transform("__aliased", lambda h: F.struct(h["alias"], h["value"], h["entity_type"], h["policy"]))
