@@ -5,7 +5,8 @@ positions in its own list of distinct words; the words go, packed by hash bucket
 which encodes each distinct word of the corpus once. The ids come back to the block and are joined to the documents by
 position. Decoding joins the ids of the words with the pieces of the vocabulary and puts words together by position.
 
-Text itself is never shuffled: what moves is a few bytes a word, and a word moves once a block, however frequent it is,
+Text itself is never shuffled, and packed documents are laid out by block when written, so only words and ids move:
+what moves is a few bytes a word, and a word moves once a block, however frequent it is,
 so no key is hot. A task holds one block, or the distinct words of one bucket; buckets follow spark.sql.shuffle.partitions.
 The tokenizer file (its size is that of the vocabulary, not of the data) is broadcast.
 
@@ -16,9 +17,10 @@ further columns are not read.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,6 +95,15 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return np.split(flat[1 + flat[0] :], np.cumsum(sizes)[:-1])
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers are reused, and what one step leaves is held beside the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class _Numbers(dict):
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
@@ -116,14 +127,14 @@ def _blocks(spec, buckets: int, block_chars: int):
             sizes = np.array([len(p) for _, p in part], np.uint32)
             cells = [["doc"], [block], [None], [[x for x, _ in part]], [_pack(rank[np.concatenate([p for _, p in part])], sizes)], [None]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
-        dealt = defaultdict(list)
-        for word, k in numbers.items():
-            raw = word.encode()
-            dealt[xxhash.xxh3_64_intdigest(raw) % buckets].append((raw, k))
+        every = list(numbers)
+        bucket_of = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) % buckets for w in every), np.int64, len(every))
+        by_bucket = np.argsort(bucket_of, kind="stable")
+        bounds = np.searchsorted(bucket_of[by_bucket], np.arange(buckets + 1))
         compress = zstandard.ZstdCompressor(level=3).compress
         cells = [[], [], [], [], [], []]
-        for bucket, found in dealt.items():
-            found.sort()
+        for bucket in np.unique(bucket_of).tolist():  # words of one bucket at a time, so that few are held twice
+            found = sorted((every[k].encode(), k) for k in by_bucket[bounds[bucket] : bounds[bucket + 1]].tolist())
             sizes = np.array([len(w) for w, _ in found], np.uint32)
             row = ("words", block, bucket, None, _pack(rank[[k for _, k in found]], sizes), compress(b"".join(w for w, _ in found)))
             for c, v in zip(cells, row, strict=True):
@@ -133,7 +144,7 @@ def _blocks(spec, buckets: int, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Words(spec.value)
         block, numbers, docs, chars = TaskContext.get().partitionId() << 24, _Numbers(), [], 0
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):  # few texts as Python strings
             for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = split(text or "")
                 docs.append((id_, np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))))
@@ -141,8 +152,11 @@ def _blocks(spec, buckets: int, block_chars: int):
                 if chars >= block_chars:
                     yield from packed(block, numbers, docs)
                     block, numbers, docs, chars = block + 1, _Numbers(), [], 0
+                    _give_back()
         if docs:
             yield from packed(block, numbers, docs)
+            del numbers, docs
+            _give_back()
 
     return run
 
@@ -205,6 +219,8 @@ def _joined(spec, keep: bool):
                 row += [[i for k in own for i in kept[k]], decoded.decode()]
             for c, v in zip(cells, row, strict=True):
                 c.append(v)
+        del text, raw, kept, at
+        _give_back()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
 
     return run
@@ -221,7 +237,7 @@ def encode_decode(
     scratch = Scratch(spark, "bpe")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    packed = scratch.save(texts.mapInArrow(_blocks(spec, buckets, block_chars), PACKED), "blocks")
+    packed = scratch.save_bucketed(texts.mapInArrow(_blocks(spec, buckets, block_chars), PACKED), "blocks", "block", buckets)
     words = packed.where("kind = 'words'").select("bucket", "block", "places", "words")
     ids = words.repartition(buckets, "bucket").select("block", "places", "words").mapInArrow(_encode(spec), "block long, places binary, ids binary")
     of_docs = packed.where("kind = 'doc'").select("block", "ids", "places")

@@ -52,6 +52,14 @@ class Scratch:
         out._maskframe_path = path
         return out
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """As ``save``, laid out by the hash of ``key``: a later grouping by it over as many partitions needs no shuffle."""
+        path, known = self.folder(name), f"maskframe_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).option("path", path).saveAsTable(known)
+        out = self.spark.table(known)
+        out._maskframe_path = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in tables:
