@@ -111,7 +111,7 @@ def coalesce_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nfkc_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in NFKC; SQL has NFC only, so SQL is told the digest of ASCII documents alone (see tests)."""
+    """The length of every document in NFKC; DuckDB has NFC only, so there is no SQL."""
     got = normalize.normalized(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(got["normalized"]).cast("long").alias("n"))
 
