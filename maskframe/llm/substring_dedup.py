@@ -131,14 +131,17 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, *, window: int = WINDO
     firsts = known.join(classes, (known["key"] == classes["key"]) & (known["id"] == classes["first"]), "left_semi").dropDuplicates(["id", "key"])
     half = firsts.select("id", "key", F.explode("halves").alias("half"))
     repeated = half.groupBy("half").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("half")
+    # written first: against a table of its own, Spark can split the half windows of a very common passage in the join
+    repeated = scratch.save(repeated, "repeated")
     found = scratch.save(half.join(repeated, "half").groupBy("id", "key").agg(F.collect_set("half").alias("found")), "level-1")
     scratch.release()
     candidates = texts.join(found, "id").mapInArrow(_windows(window), "id long, key binary, hashes array<long>, starts array<int>, text binary")
     candidates = scratch.save(candidates, "candidates")
-    scratch.drop(found)
+    scratch.drop(found, repeated)
     scratch.release()
     each = candidates.select("id", "key", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("id", "key", F.col("w.hashes").alias("hash"), F.col("w.starts").alias("start"))
     least = each.select("id", "hash").groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("hash", "least")
+    least = scratch.save(least, "least")
     gone = each.join(least, "hash").where("id > least").groupBy("id", "key").agg(F.collect_set("start").alias("gone"))
     cut = (
         candidates.select("id", "key", "text")
@@ -147,7 +150,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, *, window: int = WINDO
         .mapInArrow(_cut(window), "id long, key binary, removed long, kept string, kept_sha string")
     )
     cut = scratch.save(cut, "level-2")
-    scratch.drop(candidates)
+    scratch.drop(candidates, least)
     rows = scan.select("id", "n", "key", "sha").join(classes, "key", "left").join(cut, ["id", "key"], "left")
     whole = F.coalesce((F.col("id") > F.col("first")) & (F.col("n") >= window), F.lit(False))
     return rows.select(
