@@ -72,8 +72,11 @@ class RuleEnsemble:
     rules: tuple[Rule, ...]
 
     def score(self, docs: DataFrame, text: Column) -> DataFrame:
-        """``docs`` with the columns of statistics and ``score``."""
-        stats = docs.withColumns(statistics(F.coalesce(text, F.lit(""))))
+        """``docs`` with the columns of statistics, ``__at`` and ``score``.
+
+        A filter that reads ``__at``, which depends on the place of a row, is not pushed below the statistics; pushed
+        down, it would hold a copy of a statistic for every rule that uses it."""
+        stats = docs.withColumns(statistics(F.coalesce(text, F.lit(""))) | {"__at": F.monotonically_increasing_id()})
         total = F.lit(self.intercept)
         for rule in self.rules:
             total = total + rule.column()
@@ -179,7 +182,7 @@ def good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col
     """The rows of ``docs`` that the classifier doesn't reject, with all their columns."""
     model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
     plain = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), docs[text_col].alias("__text"))
-    return model.score(plain, F.col("__text")).where("score >= 0.5").select("__row.*")
+    return model.score(plain, F.col("__text")).where("score >= 0.5 and __at >= 0").select("__row.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
