@@ -59,6 +59,8 @@ def stream_state(spark: SparkSession, digests: DataFrame, scratch: Scratch, file
         # many small stores: no files laid out ahead, and logs of changes in place of snapshots
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # a store is closed when its task ends, so that its memory is free for what runs next on the executor
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
         "spark.sql.session.timeZone": "UTC",
     }.items():
         session.conf.set(key, value)
