@@ -1,0 +1,36 @@
+import random
+
+from maskframe.llm import decontaminate
+
+
+def words(n, rng):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n)]
+
+
+def test_decontamination_equals_the_checks_over_all_windows(spark):
+    rng = random.Random(3)
+    common = words(40, rng)
+    mixed = lambda n: [rng.choice(common) if i % 3 else words(1, rng)[0] for i in range(n)]
+    items = [mixed(n) for n in (5, 8, 15, 16, 18, 21, 22, 30, 40, 41, 60, 64, 100)]
+    rows = []
+    for w in items * 30:
+        changed = [words(1, rng)[0] if i % 6 == 0 else x for i, x in enumerate(w)]  # half of the rare words
+        rows.append((len(rows), " ".join(mixed(rng.randint(0, 90)) + changed + mixed(rng.randint(0, 90)))))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, " ".join(items[1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.selectExpr("doc_id as id", "text")
+    idf, _ = decontaminate.inverse_frequencies(texts)
+    found = [p for k, w in enumerate(items) for p in decontaminate.passages(k, decontaminate.words_of([" ".join(w)])[0], idf)]
+    expected = {}
+    for k, text in rows:
+        h, best = decontaminate.words_of([text])[0], (1.0, None)
+        for p in found:
+            size = next(s for s, longest, _ in decontaminate.SCALES if len(p.words) <= longest)
+            for start in range(max(0, len(h) - size) + 1):
+                told = decontaminate.confirmed(h, p, start, size, 0.6, 0.5)
+                best = min(best, (-told[0], p.item)) if told else best
+        expected[k] = (best[1], None if best[1] is None else -best[0])
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.lcs) for r in decontaminate.search(spark, docs, benchmark).collect()}
+    assert {k for k, x in got.items() if x[0] is None} == {k for k, x in expected.items() if x[0] is None}
+    assert got == expected and sum(x is not None for x, _ in expected.values()) > 100
