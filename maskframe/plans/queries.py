@@ -30,12 +30,12 @@ def detect_token_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.detections(documents(spark, sf_dir), ["doc_id", "lang"], "text", FORMATS, resolve=False)
+    found = detect.detections(documents(spark, sf_dir), ["doc_id", "lang"], "text", rules.built_in(), resolve=False)
     return found.groupBy("lang", "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def docs_blocked_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.detections(documents(spark, sf_dir), ["doc_id"], "text", FORMATS)
+    found = detect.detections(documents(spark, sf_dir), ["doc_id"], "text", rules.built_in())
     return detect.blocking(found, ["doc_id"]).select("doc_id", F.concat_ws(",", "blocked_by").alias("blocked_by"))
 
 
