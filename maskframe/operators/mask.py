@@ -65,7 +65,7 @@ def alias_of(profile: Column, entity: Column, token: Column, original: Column) -
 def mask(df: DataFrame, sessions: DataFrame, keys: list[str], text: str, rules: list[Rule]) -> DataFrame:
     """df(keys, session_id, text) -> keys, session_id, masked, blocked_by, aliases(alias, value, entity_type, policy).
 
-    A row with a blocking entity has no masked text but the list of its blocking types. Exact repeats of a masked value
+    A row with a blocking entity has no masked text but the list of its blocking types; null text stays null. Exact repeats of a masked value
     elsewhere in the text are masked too. ``masked`` itself raises an error if any original is left in it."""
     rows = with_resolved(with_hits(df.select(*keys, "session_id", text), text, rules)).join(sessions, "session_id")
     token = lambda h: F.substring(fingerprint(F.col("inner_pad"), F.col("outer_pad"), h["value"], h["entity_type"], h["profile"]), 1, 12)
@@ -88,7 +88,7 @@ def mask(df: DataFrame, sessions: DataFrame, keys: list[str], text: str, rules:
     rows = rows.withColumn("__stripped", stripped)
     leak = F.exists("__aliased", lambda h: h["alias"].isNull() | F.coalesce(F.contains(F.col("__stripped"), h["value"]), F.lit(True)))
     blocked = F.array_sort(F.array_distinct(F.transform(F.filter("__aliased", lambda h: h["policy"] == "block"), lambda h: h["entity_type"])))
-    masked = F.when(F.size(blocked) > 0, F.lit(None)).when(leak, F.raise_error(F.lit("an original value is left in the masked text"))).otherwise(F.col("__masked"))
+    masked = F.when((F.size(blocked) > 0) | F.col(text).isNull(), F.lit(None)).when(leak, F.raise_error(F.lit("an original value is left in the masked text"))).otherwise(F.col("__masked"))
     aliases = F.transform("__aliased", lambda h: F.struct(h["alias"], h["value"], h["entity_type"], h["policy"]))
     return rows.select(*keys, "session_id", masked.alias("masked"), blocked.alias("blocked_by"), aliases.alias("aliases"))
 

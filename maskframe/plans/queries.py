@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,26 @@ def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.col("restored").alias("text"))
 
 
+def document_sessions(docs: DataFrame) -> DataFrame:
+    """A session for each id (of null: one) with demonstration keys: every digit of a digest twice, so that the pads are digit maps."""
+    digits, rows = "0123456789abcdef", docs.select("session_id").distinct()
+    pad = lambda a, b: F.unhex(F.array_join(F.transform(mask.characters(F.sha2("session_id", 256)), lambda c: F.concat(*(F.translate(c, digits, "".join(f"{int(d, 16) ^ x:x}" for d in digits)) for x in (a, b)))), ""))
+    return rows.select("session_id", pad(0x3, 0x6).alias("inner_pad"), pad(0x5, 0xC).alias("outer_pad"))
+
+
+def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document masked by all rules in a session of its own, and restored: doc_id, blocked_by, masked_sha256, text.
+
+    Secrets stay masked in ``text``. A blocked document and a null text have null text and an empty digest."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.concat(F.lit("s"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("session_id"))
+    masked = mask.mask(docs, document_sessions(docs), ["doc_id"], "text", rules.built_in())
+    # a null id joins with nothing, so rows go on by session
+    masked = masked.withColumns({"blocked_by": F.concat_ws(",", "blocked_by"), "masked_sha256": F.coalesce(F.sha2("masked", 256), F.lit(""))}).persist(StorageLevel.DISK_ONLY)
+    keys = ["blocked_by", "masked_sha256"]
+    back = mask.restore(masked.select("session_id", *keys, "masked"), mask.mappings(masked), keys, "masked")
+    return back.select(F.expr("cast(nullif(substring(session_id, 2), '') as long)").alias("doc_id"), *keys, F.col("restored").alias("text"))
+
+
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [
         (1, 0, 10, "A", 0.8, 80, "literal", 0), (1, 8, 20, "B", 0.8, 70, "literal", 1), (1, 0, 5, "C", 0.9, 90, "literal", 2),
@@ -81,7 +102,7 @@ QUERIES = {
     "detect_email": _of("EMAIL"),
     "detect_ipv4": _of("IP_ADDRESS"),
     "detect_card_luhn": _of("CREDIT_CARD"),
-    **{f.__name__: f for f in (detect_token_assignment, entity_counts_by_lang, docs_blocked_by_policy, mask_round_trip, resolve_overlaps, checksum_rules, alias_hmac, latest_wins_upsert)},
+    **{f.__name__: f for f in (detect_token_assignment, entity_counts_by_lang, docs_blocked_by_policy, mask_round_trip, mask_documents, resolve_overlaps, checksum_rules, alias_hmac, latest_wins_upsert)},
 }
 
 EMAILS = r"""regexp_extract_all(text, '[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）぀-ゟ]+@[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）]+\.(?:[A-Za-z]{2,}|[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）.]{2,})')"""

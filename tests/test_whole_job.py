@@ -1,3 +1,5 @@
+import hashlib
+
 from maskframe.plans import queries
 
 DOCS = [
@@ -18,3 +20,23 @@ def test_counts_and_blocked_documents_cover_all_rules(spark, tmp_path):
         (None, "EMAIL", 1), (None, "JP_MY_NUMBER", 1), (None, "CREDIT_CARD", 1),
     }
     assert {(r.doc_id, r.blocked_by) for r in queries.docs_blocked_by_policy(spark, d).collect()} == {(2, "JP_MY_NUMBER"), (3, "CREDIT_CARD"), (7, "CREDIT_CARD,JP_MY_NUMBER")}
+
+
+def test_every_document_is_masked_and_restored(spark, tmp_path):
+    rows = [*DOCS, (7, "mail c@d.org", "en"), (None, "from e@f.org", None), (-1, "", None)]
+    got = sorted(((r.doc_id, r.blocked_by, r.masked_sha256, r.text) for r in queries.mask_documents(spark, folder(spark, tmp_path, rows)).collect()), key=str)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    found = {(k, b): (s, t) for k, b, s, t in got}
+    assert len(got) == len(rows) and {k for k in found if k[1]} == {(2, "JP_MY_NUMBER"), (3, "CREDIT_CARD"), (7, "CREDIT_CARD,JP_MY_NUMBER")}
+    assert all(x == ("", None) for k, x in found.items() if k[1] or k[0] == 4)
+    assert found[5, ""] == (digest("plain prose"), "plain prose") and found[-1, ""] == (digest(""), "")
+    for k, text in ((7, "mail c@d.org"), (None, "from e@f.org")):
+        assert found[k, ""][1] == text and found[k, ""][0] not in ("", digest(text))
+    assert found[1, ""][1].endswith(" and a.b@example.com") and "hunter2" not in found[1, ""][1]
+    assert found[6, ""][1].endswith(" 電話 090-1234-5678") and "sk-ant" not in found[6, ""][1]
+
+
+def test_session_pads_are_those_of_hmac(spark):
+    row = queries.document_sessions(spark.createDataFrame([("s5",)], "session_id string")).first()
+    key = bytes.fromhex("".join(c * 2 for c in hashlib.sha256(b"s5").hexdigest()))
+    assert (row.inner_pad, row.outer_pad) == (bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key))
