@@ -7,8 +7,8 @@ of which most are blocked are distrusted ones. Trust flows along links (personal
 seed) and exceeds its trust.
 
 Links are the absolute and scheme-relative href values of the pages; links within a host don't count. Edges are
-pre-aggregated by (from, to); every round is two joins and a sum over hosts, written to the shared folder, and ends
-when the scores stand still or after ``rounds``.
+pre-aggregated by (from, to); every round is two joins and a sum over hosts, written to the shared folder. They end
+when the scores stand still; if they still move after ``rounds``, that is an error.
 
 Defined cases: null url or one without ``://``: host and path empty, no rule fits, allowed; null html: no links; rules
 of equal length: the first in alphabetical order; rows that share an id stay separate; an empty table gives an empty
@@ -24,7 +24,7 @@ from .common import Scratch, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DAMPING, ROUNDS, THRESHOLD, TOLERANCE = 0.85, 20, 0.05, 1e-4
+DAMPING, ROUNDS, THRESHOLD, TOLERANCE = 0.85, 200, 0.05, 1e-4
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -67,7 +67,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     scores = base
     if flow.isEmpty():
         return scores
-    for _ in range(rounds):
+    # from below, so that a path counts with its own share alone
+    scores = base.select("host", *((F.col(c) * F.lit(1 - damping)).alias(c) for c in ("trust", "distrust")))
+    for k in range(rounds):
         trust = flow.join(scores.select(F.col("host").alias("from"), "trust"), "from").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("forth") * F.col("trust")).alias("t"))
         distrust = flow.join(scores.select(F.col("host").alias("to"), "distrust"), "to").groupBy(F.col("from").alias("host")).agg(F.sum(F.col("back") * F.col("distrust")).alias("d"))
         zero = F.lit(0.0)
@@ -79,9 +81,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
         new = scratch.save(parts.groupBy("host").agg(F.sum(F.col("w") * F.col("trust")).alias("trust"), F.sum(F.col("w") * F.col("distrust")).alias("distrust")), "scores")
         old = scores.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
         moved = new.join(old, "host", "left").agg(F.max(F.abs(F.col("trust") - F.coalesce("t0", zero)) + F.abs(F.col("distrust") - F.coalesce("d0", zero)))).first()[0]
+        if k:
+            scratch.drop(scores)
         scores = new
         if (moved or 0.0) < tolerance:
             break
+    else:
+        raise RuntimeError(f"scores of hosts still move after {rounds} rounds")
     # in units of a seed that no link reaches
     return scores.select("host", (F.col("trust") / (1 - damping)).alias("trust"), (F.col("distrust") / (1 - damping)).alias("distrust"))
 

@@ -1,6 +1,8 @@
 import random
 
-from maskframe.llm import decontaminate
+import pytest
+
+from maskframe.llm import decontaminate, url_filter
 
 
 def words(n, rng):
@@ -34,3 +36,14 @@ def test_decontamination_equals_the_checks_over_all_windows(spark):
     got = {r.doc_id: (r.item_id, r.lcs) for r in decontaminate.search(spark, docs, benchmark).collect()}
     assert {k for k, x in got.items() if x[0] is None} == {k for k, x in expected.items() if x[0] is None}
     assert got == expected and sum(x is not None for x, _ in expected.values()) > 100
+
+
+def test_distrust_of_a_long_chain_converges(spark):
+    n = 23
+    host = lambda k: f"h{k}.org" if k else "bad.net"
+    pages = [(0, "http://bad.net/es/", None), *((k, f"http://{host(k)}/", f'<a href="http://{host(k - 1)}/es/">') for k in range(1, n))]
+    df, rules = spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(url_filter.RULES, "verdict string, rule string")
+    got = {r.page_id: r for r in url_filter.judge(spark, df, rules).collect()}
+    assert all(got[k].distrust == pytest.approx(0.85**k) and got[k].verdict == ("block" if 0.85**k >= 0.05 else "allow") for k in range(n))
+    with pytest.raises(RuntimeError):
+        url_filter.judge(spark, df, rules, rounds=3)
