@@ -38,6 +38,17 @@ def test_decontamination_equals_the_checks_over_all_windows(spark):
     assert got == expected and sum(x is not None for x, _ in expected.values()) > 100
 
 
+def test_clean_drops_contaminated_rows_alone_whatever_their_ids(spark):
+    rng = random.Random(4)
+    item = words(30, rng)
+    held = [" ".join(words(50, rng) + item + words(20, rng)) for _ in range(3)]
+    plain = [" ".join(words(90, rng)) for _ in range(20)]
+    rows = [(None, held[0]), (1, held[1]), (1, plain[0]), (2, held[2]), (None, plain[1]), (3, None), *enumerate(plain[2:], 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.clean(spark, docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r in rows if r[1] not in held)
+
+
 def test_distrust_of_a_long_chain_converges(spark):
     n = 23
     host = lambda k: f"h{k}.org" if k else "bad.net"
