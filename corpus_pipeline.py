@@ -41,7 +41,7 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: A fitted classifier, signatures and a factorisation are beyond SQL; tests hold the pipeline against brute force.
+#: A fitted classifier, signatures and a factorisation are beyond SQL; tests hold stages against brute force, none the whole pipeline yet.
 ORACLE_SQL = None
 
 
