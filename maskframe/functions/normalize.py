@@ -19,17 +19,26 @@ MAPPED = "struct<normalized:string,src:array<int>,end:array<int>>"
 UNIT = regex.compile(r"(?s).\P{Canonical_Combining_Class=0}*")
 
 
+def mapped(text: str, form: str) -> tuple[str, list[int], list[int]]:
+    """The normal form, and where each of its characters comes from: original characters src[i] up to end[i]."""
+    out: list[str] = []
+    src: list[int] = []
+    end: list[int] = []
+    for m in UNIT.finditer(text):
+        a, b = m.span()
+        unit = text[a:b]
+        if not unit.isascii():
+            unit = unicodedata.normalize(form, unit)
+        out.append(unit)
+        src += [a] * len(unit)
+        end += [b] * len(unit)
+    return "".join(out), src, end
+
+
 def _mapped(form: str):
     @F.pandas_udf(MAPPED)
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            if text is None:
-                rows.append((None, None, None))
-                continue
-            units = [(unicodedata.normalize(form, m[0]), m.start(), m.end()) for m in UNIT.finditer(text)]
-            rows.append(("".join(u for u, _, _ in units), [a for u, a, _ in units for _ in u], [b for u, _, b in units for _ in u]))
-        return pd.DataFrame(rows, columns=["normalized", "src", "end"])
+        return pd.DataFrame([(None, None, None) if t is None else mapped(t, form) for t in texts], columns=["normalized", "src", "end"])
 
     return run
 

@@ -1,105 +1,86 @@
-"""Detection and resolution. Both work on arrays inside a row: a scan detects and resolves without a shuffle."""
+"""Detection over tables: the scanner in Arrow batches, one scan and no shuffle."""
 
 from __future__ import annotations
 
-import json
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.functions.spans import any_of, context_sql, find_spans, overlap, quoted, spans_sql
-
-from .rules import FLOOR, GUARDED, STRENGTH, UUID, Rule
-
-HIT = "struct<start:int,end:int,value:string,entity_type:string,detector:string,score:double,priority:int,profile:string,policy:string,ord:int>"
-
-
-def hits_of(text: str, rule: Rule, number: int) -> Column:
-    """array<HIT> of one rule on a column; the pattern is tried only where ``gate`` holds."""
-    t = f"`{text}`"
-    near = context_sql(t, rule.words, rule.window)
-    if rule.after:
-        near = f"({near} or substring({t}, s.end + 1, 12) rlike {quoted(any_of(rule.after))})"
-    found = spans_sql(t, rule.pattern)
-    if rule.needs:
-        found = f"filter({found}, s -> {near}" + (f" or s.value rlike {quoted(rule.mark)})" if rule.mark else ")")
-    score = f"if({near}, {rule.near}D, {rule.score}D)" if rule.near else f"{rule.score}D"
-    fields = f"'entity_type', {quoted(rule.entity)}, 'detector', {quoted(rule.detector)}, 'score', {score}, 'priority', {rule.priority}, 'profile', {quoted(rule.profile)}, 'policy', {quoted(rule.policy)}, 'ord', {number}"
-    hits = f"transform({found}, s -> named_struct('start', s.start, 'end', s.end, 'value', s.value, {fields}))"
-    out = F.expr(f"if({gate(t, rule)}, {hits}, cast(array() as array<{HIT}>))")
-    return F.filter(out, lambda h: rule.check(h["value"])) if rule.check else out
-
-
-def gate(text: str, rule: Rule) -> str:
-    """A cheap condition that every text with a hit meets."""
-    wanted = rule.hints or (rule.words if rule.needs == "words" and not rule.after else ())
-    if len(wanted) == 1:
-        return f"coalesce(contains({text}, {quoted(wanted[0])}), false)"
-    if not wanted and r"\d" in rule.pattern:
-        return f"coalesce({text} rlike '[0-9]{{2}}|[0-9][年月日./ -][0-9]', false)"
-    return f"coalesce({text} rlike {quoted('(?i)' + any_of(wanted))}, false)" if wanted else f"{text} is not null"
-
-
-def _ends_elsewhere(others: str):
-    return lambda h: ~F.exists(others, lambda o: o["end"] == h["end"])
-
-
-def with_hits(df: DataFrame, text: str, rules: list[Rule], out: str = "__hits") -> DataFrame:
-    """``df`` with array<HIT> of all rules. Of one detector's hits of a type on one span the first rule's stays, and
-    hits of the guarded detectors inside a UUID go. Steps are columns of their own, so that no array is made twice."""
-    none = F.array().cast(f"array<{HIT}>")
-    names = [f"__rule{k}" for k in range(len(rules))]
-    df = df.withColumns({n: hits_of(text, r, k) for k, (n, r) in enumerate(zip(names, rules, strict=True))} | {"__uuids": find_spans(text, UUID)})
-    for k, rule in enumerate(rules):
-        if rule.extra.get("not_ending_with_previous"):
-            df = df.withColumn(names[k], F.filter(names[k], _ends_elsewhere(names[k - 1])))
-    df = df.withColumn("__every", F.concat(none, *names))
-    inside = lambda h: F.exists("__uuids", lambda u: (u["start"] <= h["start"]) & (h["end"] <= u["end"]) & (u["end"] - u["start"] > h["end"] - h["start"]))
-    same = lambda o, h: (o["start"] == h["start"]) & (o["end"] == h["end"]) & (o["detector"] == h["detector"]) & (o["entity_type"] == h["entity_type"])
-    kept = F.filter("__every", lambda h: ~(h["detector"].isin(*GUARDED) & inside(h)) & ~F.exists("__every", lambda o: same(o, h) & (o["ord"] < h["ord"])))
-    return df.withColumn(out, kept).drop(*names, "__uuids", "__every")
-
-
-def ranks(column: Column, of: dict[str, int]) -> Column:
-    return F.coalesce(F.from_json(F.lit(json.dumps(of)), "map<string,int>")[column], F.lit(0))
-
-
-def safety(h: Column) -> Column:
-    return F.greatest(ranks(h["policy"], STRENGTH), ranks(h["entity_type"], {e: STRENGTH[p] for e, p in FLOOR.items()}))
-
-
-def with_resolved(df: DataFrame, hits: str = "__hits", out: str = "__resolved") -> DataFrame:
-    """The disjoint hits that win, by start. Stronger policy, priority, length, score, then earlier start, end and rule
-    come first; a hit that overlaps one already taken goes. Spans of existing aliases take away what overlaps them and
-    are not told themselves. Policies are raised to the least that the entity type allows."""
-    df = df.withColumn("__aliases", F.filter(hits, lambda h: h["entity_type"] == "EXISTING_ALIAS"))
-    rest = F.filter(hits, lambda h: (h["entity_type"] != "EXISTING_ALIAS") & ~F.exists("__aliases", lambda a: overlap(a, h)))
-    keyed = F.transform(
-        rest,
-        lambda h: F.struct(
-            (-safety(h)).alias("k1"), (-h["priority"]).alias("k2"), (h["start"] - h["end"]).alias("k3"), (-h["score"]).alias("k4"),
-            h["start"].alias("k5"), h["end"].alias("k6"), h["ord"].alias("k7"), h.alias("hit"),
-        ),
-    )
-    df = df.withColumn("__sorted", F.transform(F.array_sort(keyed), lambda k: k["hit"]))
-    take = lambda acc, h: F.when(F.exists(acc, lambda o: overlap(o, h)), acc).otherwise(F.concat(acc, F.array(h)))
-    taken = F.aggregate("__sorted", F.array().cast(f"array<{HIT}>"), take)
-    names = F.array(*map(F.lit, STRENGTH))
-    return df.withColumn(out, F.array_sort(F.transform(taken, lambda h: h.withField("policy", names[safety(h)])))).drop("__aliases", "__sorted")
-
-
-def detections(df: DataFrame, keys: list[str], text: str, rules: list[Rule], resolve: bool = True) -> DataFrame:
+from .rules import Rule, Terms
+from .scan import Finder, Hit, Model, Scanner, resolved
+
+HIT = (
+    "struct<start:int,end:int,value:string,normalized:string,entity_type:string,detector:string,score:double,priority:int,profile:string,policy:string,ord:int>"
+)
+_TYPES = dict.fromkeys(Hit._fields, pa.string()) | dict.fromkeys(("start", "end", "priority", "ord"), pa.int32()) | {"score": pa.float64()}
+HITS = pa.struct([(name, _TYPES[name]) for name in Hit._fields])
+Rules = list[Rule | Terms | Model]
+
+
+def hit_lists(rows: list[list[Hit]]) -> pa.Array:
+    """array<HIT> for each row."""
+    offsets, flat = [0], []
+    for hits in rows:
+        flat += hits
+        offsets.append(len(flat))
+    columns = list(zip(*flat, strict=True)) or [()] * len(HITS)
+    cells = [pa.array(c, f.type) for c, f in zip(columns, HITS, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(cells, fields=list(HITS)))
+
+
+class Known:
+    """Finders of the last few sessions' aliases, as rows of a session tend to come together."""
+
+    def __init__(self, most: int = 16):
+        self.most, self.found = most, {}
+
+    def __call__(self, aliases: list[str] | None) -> Finder | None:
+        if not aliases:
+            return None
+        key = tuple(aliases)
+        if key not in self.found:
+            if len(self.found) >= self.most:
+                self.found.clear()
+            self.found[key] = Finder(dict.fromkeys(a for a in aliases if a))
+        return self.found[key]
+
+
+def hits_of(scanner: Scanner, text: Column, kind: Column | None = None, issued: Column | None = None) -> Column:
+    """array<HIT> of a text column. ``kind`` is the kind of context (prose is cut into segments, other kinds are looked
+    at whole), ``issued`` array<string> of the session's aliases, which are not looked into."""
+
+    @F.arrow_udf(f"array<{HIT}>")
+    def run(texts: pa.Array, kinds: pa.Array, aliases: pa.Array) -> pa.Array:
+        known = Known()
+        rows = zip(texts, kinds.to_pylist(), aliases.to_pylist(), strict=True)  # texts one at a time
+        return hit_lists([scanner.scan(t.as_py(), k or "prose", known(a)) for t, k, a in rows])
+
+    return run(text, F.lit("prose") if kind is None else kind, F.lit(None).cast("array<string>") if issued is None else issued)
+
+
+def with_hits(df: DataFrame, text: str, rules: Rules, out: str = "__hits", *, kind: str | None = None, issued: str | None = None, **options) -> DataFrame:
+    """``df`` with array<HIT>; ``options`` are those of Scanner. Of one detector's hits of a type on one span the first
+    rule's stays, and hits of the guarded detectors inside a UUID go. Null and empty texts have none."""
+    return df.withColumn(out, hits_of(Scanner(tuple(rules), **options), F.col(text), F.col(kind) if kind else None, F.col(issued) if issued else None))
+
+
+def detections(df: DataFrame, keys: list[str], text: str, rules: Rules, resolve: bool = True, **options) -> DataFrame:
     """One row per detection: the keys and the fields of HIT."""
-    out = with_hits(df.select(*keys, text), text, rules)
-    out = with_resolved(out) if resolve else out
-    return out.select(*keys, F.inline("__resolved" if resolve else "__hits"))
+    also = [options[k] for k in ("kind", "issued") if options.get(k)]
+    rows = with_hits(df.select(*keys, text, *(c for c in also if c not in keys)), text, rules, resolve=resolve, **options)
+    return rows.select(*keys, F.inline("__hits"))
+
+
+def _settled(rows: pa.Array) -> pa.Array:
+    return hit_lists([resolved([Hit(**h) for h in hits or ()]) for hits in rows.to_pylist()])
 
 
 def resolve_table(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Resolution of a detections table, grouped by the document."""
-    fields = [f.split(":")[0] for f in HIT[7:-1].split(",")]
-    rows = rows.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("__hits"))
-    return with_resolved(rows).select(*keys, F.inline("__resolved"))
+    if "normalized" not in rows.columns:
+        rows = rows.withColumn("normalized", F.col("value"))
+    hits = F.collect_list(F.struct(*Hit._fields).cast(HIT))
+    return rows.groupBy(*keys).agg(hits.alias("__hits")).select(*keys, F.inline(F.arrow_udf(_settled, f"array<{HIT}>")("__hits")))
 
 
 def blocking(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,20 +1,37 @@
-"""Aliases, masking with a leak check inside the output, and restoring. Built-in expressions only.
+"""Aliases, masking with a leak check inside the output, and restoring.
 
 Session keys live in a table (as the two padded keys of HMAC), never in a plan. A value's token is the head of its
-HMAC; one value has one alias in a session. Two values that would share an alias stop the query: masking fails closed.
+HMAC; one value has one alias in a session. Where the aliases of two values of a session would be the same, or an alias
+stands in a text already, longer tokens are tried; a session without a free alias stops the query: masking fails closed.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .detect import with_hits, with_resolved
-from .rules import Rule
+from .detect import Rules, with_hits
+from .rules import STRENGTH
+from .scan import Finder
+from .structure import path_alias_of, url_alias_of
 
 PREFIX, DOMAIN = "MF", "example.invalid"
 TAGS = {"PERSON": "PERSON", "ORGANIZATION": "ORG", "PROJECT_NAME": "PROJECT", "PRODUCT_NAME": "PRODUCT", "HOSTNAME": "HOST", "EMPLOYEE_ID": "EMP", "CUSTOMER_ID": "CUST", "JP_ADDRESS": "ADDR"}
 SESSIONS = "session_id string, inner_pad binary, outer_pad binary"
+REDACTED = "[REDACTED]"
+#: Lengths of tokens in the order tried, and the most values a session may map.
+LENGTHS, MAX_MAPPINGS = range(12, 33, 2), 10_000
+#: A numeric alias of fewer digits could not be told from other numbers, so such values get the shape of prose.
+LEAST_DIGITS = 7
+_SHAPE = (
+    r"MF_[A-Z]+_[0-9A-F]{12,}|mf-(?:host|user)-[0-9a-f]{12,}[.@]example\.invalid|(?:192\.0\.2|198\.51\.100|203\.0\.113)\.[0-9]{1,3}"
+    r"|2001:db8::[0-9a-f]{1,16}|mf-(?:seg|host)-[0-9a-f]{8}|\$\{MF_SECRET_[0-9A-F]{12,}\}"
+)
 
 
 def session_table(spark: SparkSession, keys: dict[str, bytes]) -> DataFrame:
@@ -31,84 +48,255 @@ def fingerprint(inner: Column, outer: Column, value: Column, entity: Column, pro
     return hmac_sha256(inner, outer, F.concat_ws("\0", value, entity, profile))
 
 
+def fingerprint_of(inner: bytes, outer: bytes, value: str, entity: str, profile: str) -> str:
+    return hashlib.sha256(outer + hashlib.sha256(inner + "\0".join((value, entity, profile)).encode()).digest()).hexdigest()
+
+
 def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def number_mod(token: Column, by: int) -> Column:
-    """A hex string modulo a small number, digit by digit, so that any width works."""
-    return F.aggregate(characters(token), F.lit(0).cast("long"), lambda a, d: (a * 16 + F.conv(d, 16, 10).cast("long")) % by)
-
-
-def alias_of(profile: Column, entity: Column, token: Column, original: Column) -> Column:
-    tag = F.coalesce(F.from_json(F.lit(str(TAGS).replace("'", '"')), "map<string,string>")[entity], F.lit("VALUE"))
-    prose = F.concat(F.lit(f"{PREFIX}_"), tag, F.lit("_"), F.upper(token))
-    h = F.sha2(token, 256)
-    uuid = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    rest = number_mod(token, 3 * 254)
-    nets = F.array(F.lit("192.0.2."), F.lit("198.51.100."), F.lit("203.0.113."))
-    count = F.length(F.regexp_replace(original, "[^0-9]", ""))
-    hexes = F.concat(*(F.sha2(F.concat(token, F.lit(f"\x1f{k}")), 256) for k in range(2)))
-    digits = F.array_join(F.transform(characters(F.substring(hexes, F.lit(1), F.greatest(count, F.lit(1)))), lambda d: (F.conv(d, 16, 10).cast("int") % 10).cast("string")), "")
-    return (
-        F.when(profile == "hostname", F.concat(F.lit("mf-host-"), token, F.lit(f".{DOMAIN}")))
-        .when(profile == "email", F.concat(F.lit("mf-user-"), token, F.lit(f"@{DOMAIN}")))
-        .when(profile == "ipv4", F.concat(F.element_at(nets, (rest % 3).cast("int") + 1), (F.floor(rest / 3) + 1).cast("string")))
-        .when(profile == "ipv6", F.concat(F.lit("2001:db8::"), F.substring(token, 1, 16)))
-        .when(profile == "uuid", uuid)
-        .when(profile == "numeric", digits)
-        .when(profile == "environment_reference", F.concat(F.lit("${MF_SECRET_"), F.upper(token), F.lit("}")))
-        .otherwise(prose)
-    )
+def has_alias_shape(text: Column) -> Column:
+    """Whether a text holds anything of the shape of an alias, issued or not."""
+    return F.coalesce(text.rlike(_SHAPE), F.lit(False))
+
+
+def alias_of(profile: str, entity: str, token: str, original: str) -> str | None:
+    """The alias of a shape; None where the shape cannot be kept (masking fails closed)."""
+    digits = sum(c.isdigit() for c in original)
+    if profile == "hostname":
+        return f"mf-host-{token}.{DOMAIN}"
+    if profile == "email":
+        return f"mf-user-{token}@{DOMAIN}"
+    if profile == "ipv4":
+        n = int(token, 16)
+        return f"{('192.0.2.', '198.51.100.', '203.0.113.')[n % 3]}{n // 3 % 254 + 1}"
+    if profile == "ipv6":
+        return f"2001:db8::{token[:16]}"
+    if profile == "uuid":
+        h = hashlib.sha256(token.encode()).hexdigest()
+        return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:32]))
+    if profile == "numeric" and digits >= LEAST_DIGITS:
+        blocks = (hashlib.sha256(f"{token}\x1f{k}".encode()).hexdigest() for k in range(digits // 64 + 1))
+        return "".join(str(int(c, 16) % 10) for c in "".join(blocks)[:digits])
+    if profile == "environment_reference":
+        return f"${{{PREFIX}_SECRET_{token.upper()}}}"
+    if profile == "url":
+        return url_alias_of(token, original)
+    if profile == "file_path":
+        return path_alias_of(token, original)
+    return f"{PREFIX}_{TAGS.get(entity, 'VALUE')}_{token.upper()}"
+
+
+ALIASED = "array<struct<start:int,end:int,value:string,entity_type:string,profile:string,policy:string,fingerprint:string,alias:string,taken:boolean>>"
+
+
+def _aliased(merge: bool):
+    """Every hit with its fingerprint, the alias of the shortest token, and whether the text holds that alias already."""
+
+    @F.arrow_udf(ALIASED)
+    def run(texts: pa.Array, rows: pa.Array, inner: pa.Array, outer: pa.Array) -> pa.Array:
+        out = []
+        for text, hits, a, b in zip(texts, rows.to_pylist(), inner.to_pylist(), outer.to_pylist(), strict=True):
+            cells, text = [], text.as_py() if hits else ""
+            for h in hits or ():
+                print_ = fingerprint_of(a, b, h["normalized" if merge else "value"], h["entity_type"], h["profile"])
+                alias = REDACTED if h["policy"] == "redacted" else alias_of(h["profile"], h["entity_type"], print_[: LENGTHS[0]], h["value"])
+                same = {k: h[k] for k in ("start", "end", "value", "entity_type", "profile", "policy")}
+                cells.append(same | {"fingerprint": print_, "alias": alias, "taken": alias is not None and alias != REDACTED and alias in text})
+            out.append(cells)
+        kind = pa.struct([(n, pa.int32() if n in ("start", "end") else pa.bool_() if n == "taken" else pa.string()) for n in ("start", "end", "value", "entity_type", "profile", "policy", "fingerprint", "alias", "taken")])
+        return pa.array(out, pa.list_(kind))
+
+    return run
+
+
+def _free(rows: pa.Table) -> pa.Table:
+    """One session's values, at most MAX_MAPPINGS: aliases that differ from those of the shortest token. Known ones keep
+    theirs, the others take in the order of their fingerprints the first that is free."""
+    cells = sorted(rows.to_pylist(), key=lambda r: (r["known"] is None, r["fingerprint"]))
+    used, out = {r["known"] for r in cells if r["known"]}, []
+    for r in cells:
+        alias = r["known"]
+        if alias is None:
+            tried = (alias_of(r["profile"], r["entity_type"], r["fingerprint"][:n], r["value"]) for n in LENGTHS if n > LENGTHS[0] or not r["taken"])
+            alias = next((a for a in tried if a is not None and a not in used), None)
+            if alias is None:
+                raise ValueError("no free alias is left in a session")
+            used.add(alias)
+        if alias != r["alias"]:
+            out.append((r["session_id"], r["fingerprint"], alias))
+    names = ("session_id", "fingerprint", "alias")
+    return pa.Table.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=names)
+
+
+def allocated(found: DataFrame, known: DataFrame | None = None, most: int = MAX_MAPPINGS) -> DataFrame | None:
+    """found(session_id, aliased) -> session_id, longer: map of fingerprint to alias, for values that cannot have the
+    alias of the shortest token or have another one already (known: session_id, fingerprint, alias). None if there are
+    none. Counts are aggregated before they are shuffled; only sessions with such values meet in a task."""
+    rank = F.create_map(*(F.lit(x) for pair in STRENGTH.items() for x in pair))
+    rows = found.select("session_id", F.inline("aliased")).where(f"policy <> 'redacted' and alias <> '{REDACTED}'")
+    rows = rows.groupBy("session_id", "fingerprint", "alias", "entity_type", "profile").agg(F.min("value").alias("value"), F.max("taken").alias("taken"), F.max(rank[F.col("policy")]).alias("rank"))
+    if known is None:
+        rows = rows.withColumn("known", F.lit(None).cast("string"))
+        others = None
+    else:
+        others = known.select("session_id", "fingerprint", F.col("alias").alias("known"))
+        rows = rows.join(others, ["session_id", "fingerprint"], "left")
+    over = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    if not over.isEmpty():
+        raise ValueError(f"a session has more than {most} values to map")
+    every = rows.select("session_id", "fingerprint", F.coalesce("known", "alias").alias("alias"), (F.col("taken") & F.col("known").isNull() | (F.col("known") != F.col("alias"))).alias("odd"))
+    if others is not None:
+        every = every.unionByName(others.select("session_id", "fingerprint", F.col("known").alias("alias"), F.lit(False).alias("odd")))
+    clash = every.groupBy("session_id", "alias").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"), F.max("odd").alias("odd")).where("a <> b or odd")
+    sessions = clash.select("session_id").distinct()
+    if sessions.isEmpty():
+        return None
+    columns = ("session_id", "fingerprint", "alias", "entity_type", "profile", "value", "taken", "known")
+    own = rows.select(*columns)
+    if others is not None:  # aliases of values that do not occur now are taken all the same
+        rest = others.join(rows, ["session_id", "fingerprint"], "left_anti")
+        own = own.unionByName(rest.select("session_id", "fingerprint", F.col("known").alias("alias"), *(F.lit("").alias(c) for c in ("entity_type", "profile", "value")), F.lit(False).alias("taken"), "known"))
+    changed = own.join(sessions, "session_id", "left_semi").groupBy("session_id").applyInArrow(_free, "session_id string, fingerprint string, alias string")
+    return changed.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("fingerprint", "alias"))).alias("longer"))
+
+
+MASKED = "struct<masked:string,blocked_by:array<string>,aliases:array<struct<alias:string,value:string,entity_type:string,policy:string,fingerprint:string>>>"
+
 
+def masked_text(text: str, hits: list[dict]) -> str:
+    """The spans replaced by their aliases, exact repeats of a masked value elsewhere too, the longest first, in one pass,
+    so that nothing is looked for inside an alias. An original that is left is an error."""
+    values: dict[str, str] = {}
+    for h in hits:
+        if h["alias"] is None:
+            raise ValueError(f"no alias of the shape {h['profile']} can be made")
+        values.setdefault(h["value"], h["alias"])
+    finder, out, rest, at = Finder(values), [], [], 0
+    for start, end, alias in [*((h["start"], h["end"], h["alias"]) for h in hits), (len(text), len(text), "")]:
+        gap, last = text[at:start], 0
+        for a, b, v in finder.longest_first(gap):
+            out += (gap[last:a], values[v])
+            rest += (gap[last:a], "\0")
+            last = b
+        out += (gap[last:], alias)
+        rest += (gap[last:], "\0")
+        at = end
+    left = "".join(rest)
+    if any(v in left for v in values):
+        raise ValueError("an original value is left in the masked text")
+    return "".join(out)
 
-def mask(df: DataFrame, sessions: DataFrame, keys: list[str], text: str, rules: list[Rule]) -> DataFrame:
-    """df(keys, session_id, text) -> keys, session_id, masked, blocked_by, aliases(alias, value, entity_type, policy).
-
-    A row with a blocking entity has no masked text but the list of its blocking types; null text stays null. Exact repeats of a masked value
-    elsewhere in the text are masked too. ``masked`` itself raises an error if any original is left in it."""
-    rows = with_resolved(with_hits(df.select(*keys, "session_id", text), text, rules)).join(sessions, "session_id")
-    token = lambda h: F.substring(fingerprint(F.col("inner_pad"), F.col("outer_pad"), h["value"], h["entity_type"], h["profile"]), 1, 12)
-    alias = lambda h: F.when(h["policy"] == "redacted", F.lit("[REDACTED]")).otherwise(alias_of(h["profile"], h["entity_type"], token(h), h["value"]))
-    rows = rows.withColumn("__aliased", F.transform("__resolved", lambda h: F.struct(h["start"], h["end"], h["value"], h["entity_type"], h["policy"], alias(h).alias("alias"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<gap:string,alias:string>>").alias("parts"))
-
-    def step(acc: Column, h: Column) -> Column:
-        gap = F.substring(F.col(text), acc["at"] + 1, h["start"] - acc["at"])
-        return F.struct(h["end"].alias("at"), F.concat(acc["parts"], F.array(F.struct(gap.alias("gap"), h["alias"].alias("alias")))).alias("parts"))
-
-    rows = rows.withColumn("__cut", F.aggregate("__aliased", start, step))
-    longest_first = F.array_sort(F.transform("__aliased", lambda h: F.struct((-F.length(h["value"])).alias("n"), h["value"].alias("value"), h["alias"].alias("alias"))))
-    rows = rows.withColumn("__longest", longest_first)
-    clean = lambda gap: F.aggregate("__longest", gap, lambda g, h: F.replace(g, h["value"], h["alias"]))
-    tail = F.substring(F.col(text), F.col("__cut.at") + 1, F.length(text))
-    rows = rows.withColumn("__gaps", F.concat(F.transform("__cut.parts", lambda p: clean(p["gap"])), F.array(clean(tail))))
-    rows = rows.withColumn("__masked", F.array_join(F.transform("__gaps", lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__cut.parts"), i)["alias"], F.lit("")))), ""))
-    stripped = F.aggregate("__aliased", F.col("__masked"), lambda t, h: F.replace(t, h["alias"], F.lit("\0")))
-    rows = rows.withColumn("__stripped", stripped)
-    leak = F.exists("__aliased", lambda h: h["alias"].isNull() | F.coalesce(F.contains(F.col("__stripped"), h["value"]), F.lit(True)))
-    blocked = F.array_sort(F.array_distinct(F.transform(F.filter("__aliased", lambda h: h["policy"] == "block"), lambda h: h["entity_type"])))
-    masked = F.when((F.size(blocked) > 0) | F.col(text).isNull(), F.lit(None)).when(leak, F.raise_error(F.lit("an original value is left in the masked text"))).otherwise(F.col("__masked"))
-    aliases = F.transform("__aliased", lambda h: F.struct(h["alias"], h["value"], h["entity_type"], h["policy"]))
-    return rows.select(*keys, "session_id", masked.alias("masked"), blocked.alias("blocked_by"), aliases.alias("aliases"))
+
+def _masked(texts: pa.Array, rows: pa.Array, longer: pa.Array) -> pa.Array:
+    out = []
+    for text, hits, more in zip(texts, rows.to_pylist(), longer.to_pylist(), strict=True):
+        text, changed = text.as_py(), dict(more or ())
+        for h in hits or ():
+            h["alias"] = changed.get(h["fingerprint"], h["alias"]) if h["policy"] != "redacted" else REDACTED
+        blocked = sorted({h["entity_type"] for h in hits or () if h["policy"] == "block"})
+        shown = None if text is None or blocked else masked_text(text, hits or []) if hits else text
+        out.append({"masked": shown, "blocked_by": blocked, "aliases": [{k: h[k] for k in ("alias", "value", "entity_type", "policy", "fingerprint")} for h in hits or ()]})
+    string = pa.list_(pa.string())
+    kind = pa.struct([("masked", pa.string()), ("blocked_by", string), ("aliases", pa.list_(pa.struct([(n, pa.string()) for n in ("alias", "value", "entity_type", "policy", "fingerprint")])))])
+    return pa.array(out, kind)
+
+
+def mask(
+    df: DataFrame,
+    sessions: DataFrame,
+    keys: list[str],
+    text: str,
+    rules: Rules,
+    *,
+    known: DataFrame | None = None,
+    merge_surface_forms: bool = False,
+    most: int = MAX_MAPPINGS,
+    **options,
+) -> DataFrame:
+    """df(keys, session_id, text) -> keys, session_id, masked, blocked_by, aliases(alias, value, entity_type, policy, fingerprint).
+
+    A row with a blocking entity has no masked text but the list of its blocking types; null text stays null. Aliases
+    that the session has issued (``known``: what ``mappings`` tells) are kept for their values and are not looked into.
+    With ``merge_surface_forms`` forms of a value that are equal when normalised share an alias. ``options`` are those
+    of Scanner, and ``kind``. Rows and what is found in them are kept on the executors' disks (recomputed if lost),
+    because aliases are settled for whole sessions before texts are rewritten."""
+    also = [options["kind"]] if options.get("kind") else []
+    rows = df.select(*keys, "session_id", text, *(c for c in also if c not in keys))
+    if known is not None:
+        issued = known.groupBy("session_id").agg(F.array_sort(F.collect_set("alias")).alias("__issued"))
+        rows = rows.join(issued, "session_id", "left")
+        options["issued"] = "__issued"
+    rows = with_hits(rows, text, rules, **options).join(sessions, "session_id")
+    found = rows.select(*keys, "session_id", text, _aliased(merge_surface_forms)(F.col(text), F.col("__hits"), F.col("inner_pad"), F.col("outer_pad")).alias("aliased")).persist(StorageLevel.DISK_ONLY)
+    longer = allocated(found, known, most)
+    if longer is None:
+        out = found.withColumn("longer", F.lit(None).cast("map<string,string>"))
+    else:
+        out = found.join(longer, "session_id", "left")
+    return out.withColumn("__out", F.arrow_udf(_masked, MASKED)(F.col(text), F.col("aliased"), F.col("longer"))).select(*keys, "session_id", "__out.*")
 
 
 def mappings(masked: DataFrame) -> DataFrame:
-    """session_id, alias, value, entity_type, policy: one row an alias; an alias of two values is an error."""
-    rows = masked.where("masked is not null").select("session_id", F.inline("aliases")).where("alias <> '[REDACTED]'")
-    one = rows.groupBy("session_id", "alias").agg(F.min("value").alias("value"), F.max("value").alias("__other"), F.min("entity_type").alias("entity_type"), F.max("policy").alias("policy"))
-    value = F.when(F.col("value") == F.col("__other"), F.col("value")).otherwise(F.raise_error(F.lit("two values share an alias")))
-    return one.select("session_id", "alias", value.alias("value"), "entity_type", "policy")
+    """session_id, alias, value, entity_type, policy, fingerprint: one row an alias; of a value's policies the strongest
+    holds. An alias of two values is an error."""
+    rank = F.create_map(*(F.lit(x) for pair in STRENGTH.items() for x in pair))
+    rows = masked.where("masked is not null").select("session_id", F.inline("aliases")).where(f"alias <> '{REDACTED}'")
+    one = rows.groupBy("session_id", "alias").agg(
+        F.min("value").alias("value"), F.min("entity_type").alias("entity_type"), F.max(F.struct(rank[F.col("policy")].alias("r"), "policy")).alias("p"), F.min("fingerprint").alias("fingerprint"), F.max("fingerprint").alias("__other")
+    )
+    alias = F.when(F.col("fingerprint") == F.col("__other"), F.col("alias")).otherwise(F.raise_error(F.lit("two values share an alias")))
+    return one.select("session_id", alias.alias("alias"), "value", "entity_type", F.col("p.policy").alias("policy"), "fingerprint")
+
+
+def replaced(text: str, finder: Finder, values: dict[str, str]) -> str:
+    """Aliases become their values in one pass, the longest first; one of digits alone must not touch another digit."""
+    out, at = [], 0
+    found = (m for m in sorted(finder.all(text), key=lambda m: (m[0], -m[1])))
+    for a, b, v in found:
+        bare = v.isdigit() and (text[a - 1 : a].isdigit() and a > 0 or text[b : b + 1].isdigit())
+        if a >= at and not bare:
+            out += (text[at:a], values[v])
+            at = b
+    return "".join([*out, text[at:]])
+
+
+def _restored(texts: pa.Array, maps: pa.Array) -> pa.Array:
+    last: tuple | None = None
+
+    def rows() -> Iterator[str | None]:
+        nonlocal last
+        for text, pairs in zip(texts, maps, strict=True):
+            text, pairs = text.as_py(), pairs.as_py()
+            if not text or not pairs:
+                yield text
+                continue
+            if last is None or last[0] != pairs:
+                last = (pairs, Finder(dict(pairs)), dict(pairs))
+            yield replaced(text, *last[1:])
+
+    return pa.array(list(rows()), pa.string())
 
 
 def restore(df: DataFrame, known: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Aliases of literal policy in ``text`` become their values again, longest alias first. Candidates come from the text
-    itself, so only the aliases that a row holds travel with it."""
-    shape = r"MF_[A-Z]+_[0-9A-F]{12,}|mf-(?:host|user)-[0-9a-f]{12,}[.@]example\.invalid|(?:192\.0\.2|198\.51\.100|203\.0\.113)\.[0-9]{1,3}|2001:db8::[0-9a-f]{1,16}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9]+"
-    seen = df.select(*keys, "session_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"({shape})"), F.lit(1)))).alias("alias"))
-    pairs = seen.join(known.where("policy = 'literal'"), ["session_id", "alias"]).groupBy(*keys, "session_id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.length("alias")).alias("n"), "alias", "value"))).alias("__pairs")
-    )
-    out = df.join(pairs, [*keys, "session_id"], "left")
-    restored = F.aggregate(F.coalesce("__pairs", F.array().cast("array<struct<n:int,alias:string,value:string>>")), F.col(text), lambda t, p: F.replace(t, p["alias"], p["value"]))
-    return out.select(*keys, "session_id", restored.alias("restored"))
+    """keys, session_id, restored: aliases of literal policy in ``text`` become their values again. A session's aliases,
+    at most MAX_MAPPINGS, meet in one map that is joined to its rows, so rows need no key of their own."""
+    maps = known.where("policy = 'literal'").groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("alias", "value")))).alias("__values"))
+    out = df.join(maps, "session_id", "left")
+    return out.select(*keys, "session_id", F.arrow_udf(_restored, "string")(F.col(text), F.col("__values")).alias("restored"))
+
+
+def with_instruction(text: Column, known_aliases: Column, instruction: str) -> Column:
+    """``text`` behind an instruction to keep aliases as they are, if the session has any."""
+    return F.when(known_aliases > 0, F.concat_ws("\n\n", F.lit(instruction), text)).otherwise(text)
+
+
+def sealed(value: Column, key: Column, context: Column) -> Column:
+    """AES-256-GCM: nonce (12 bytes, random), ciphertext, tag. ``context`` (the fingerprint) must be the same to open it."""
+    return F.aes_encrypt(F.encode(value, "utf-8"), key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.encode(context, "utf-8"))
+
+
+def opened(blob: Column, key: Column, context: Column) -> Column:
+    """The text that was sealed; an error with another key or context."""
+    return F.decode(F.aes_decrypt(blob, key, F.lit("GCM"), F.lit("DEFAULT"), F.encode(context, "utf-8")), "utf-8")

@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from collections.abc import Callable
+import unicodedata
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from maskframe.functions import checksums
-
 STRENGTH = {"literal": 0, "env_reference": 1, "redacted": 2, "block": 3}
 #: The weakest restore policy that an entity type may have.
 FLOOR = {
     "API_KEY": "env_reference", "OAUTH_TOKEN": "env_reference", "JWT": "env_reference", "PRIVATE_KEY": "env_reference", "PASSWORD": "env_reference",
     "DB_CONNECTION_STRING": "env_reference", "GENERIC_SECRET": "env_reference", "JP_MY_NUMBER": "block", "CREDIT_CARD": "block",
 }
-#: Detectors whose hits inside a UUID are dropped.
+#: Shapes of aliases.
+PROFILES = ("prose_identifier", "hostname", "email", "ipv4", "ipv6", "uuid", "numeric", "file_path", "url", "environment_reference")
+#: Detectors whose hits inside a UUID are dropped.
 GUARDED = ("jp_phone", "formats", "jp_my_number", "jp_corporate_number", "jp_postal_code", "jp_identifiers", "date_of_birth")
+#: Fixed value: a UUID.
 UUID = r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One pattern. ``check`` gets the matched value; with ``words`` a hit near one scores ``near`` instead of ``score``,
-    and ``needs`` ("words", "words or mark") drops others; ``mark`` is a pattern on the value that counts as context;
+    """One pattern, matched on the normal form of a text. The span is that of ``group``; ``check`` names a function of
+    checksums that the value must satisfy; with ``words`` a hit near one scores ``near`` instead of ``score``, and
+    ``needs`` ("words", "words or mark") drops others; ``mark`` is a pattern on the value that counts as context;
     ``after`` are words that count if they follow within 12 characters."""
 
     detector: str
@@ -35,7 +36,7 @@ class Rule:
     priority: int
     profile: str
     policy: str
-    check: Callable[[Column], Column] | None = None
+    check: str = ""
     words: tuple[str, ...] = ()
     window: int = 20
     near: float | None = None
@@ -45,13 +46,28 @@ class Rule:
     extra: dict = field(default_factory=dict)
     #: a text without any of these cannot match, so the pattern isn't tried
     hints: tuple[str, ...] = ()
+    group: int = 0
+
+
+@dataclass(frozen=True)
+class Terms:
+    """Dictionary values of one kind, found all at once however many there are."""
+
+    entity: str
+    values: tuple[str, ...]
+    priority: int = 100
+    policy: str = "literal"
+    profile: str = "prose_identifier"
+    ignore_case: bool = False
+    spaced: bool = True
+    detector: str = "dictionary"
 
 
 # Patterns, keywords, scores and priorities of the public formats.
 PUNCT = r"\s@,;:<>()\[\]\\\"'、。，．！？「」『』（）"
 DOMAIN = rf"[^{PUNCT}]+\.(?:[A-Za-z]{{2,}}|[^{PUNCT}.]{{2,}})"
-EMAIL = rf"[^{PUNCT}぀-ゟ]+@{DOMAIN}"
-EMAIL_AFTER_MARK = rf"(?m)(?:^|(?<=[\s:：「『（【>=,]))[^{PUNCT}]+@{DOMAIN}"
+#: The characters of a local part, and those before a local part that may hold hiragana too.
+LOCAL, LOCAL_AFTER_MARK, MARKS = rf"[^{PUNCT}぀-ゟ]", rf"[^{PUNCT}]", r"[\s:：「『（【>=,]"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])"
 CARD = r"(?<!\d)(?:\d[ -]?){13,19}(?!\d)"
 PREFECTURES = (
@@ -89,8 +105,8 @@ SECRETS = (
     ("JWT", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ"),
     ("PRIVATE_KEY", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "PRIVATE KEY"),
     ("DB_CONNECTION_STRING", r"(?<![A-Za-z])(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|redis|amqp)://[^\s:@/]+:[^\s@/]+@[^\s'\"]+", "://"),
-    ("PASSWORD", r"(?<=https?://)[^\s:@/]+:[^\s@/]+(?=@)", "://"),
-    ("GENERIC_SECRET", r"(?i)(?<=\b(?:password|passwd|pwd|secret|token|api_key|apikey|access_key|secret_key)\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_.~-]{8,}={0,2}", "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key"),
+    ("PASSWORD", r"(?<![A-Za-z])https?://([^\s:@/]+:[^\s@/]+)@", "://"),
+    ("GENERIC_SECRET", r"(?i)\b(?:password|passwd|pwd|secret|token|api_key|apikey|access_key|secret_key)\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,}={0,2})", "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key"),
 )
 IDENTIFIERS = (
     ("JP_PASSPORT_NUMBER", r"(?<![A-Za-z0-9])[A-Z]{2}\d{7}(?![A-Za-z0-9])", ("旅券", "パスポート", "passport", "旅券番号"), "prose_identifier", 0.9),
@@ -102,19 +118,14 @@ IDENTIFIERS = (
 )
 
 
-def digits(value: Column) -> Column:
-    return F.regexp_replace(value, r"[^0-9]", "")
-
-
 def built_in(corporate: bool = False) -> list[Rule]:
     """The rules in the order in which detectors run."""
-    out = [Rule("secret_patterns", entity, pattern, 0.95, 220, "environment_reference", "env_reference", hints=hints) for entity, pattern, *hints in SECRETS]
+    out = [Rule("secret_patterns", entity, pattern, 0.95, 220, "environment_reference", "env_reference", hints=tuple(hints), group=int("(" in re.sub(r"\\.|\(\?", "", pattern))) for entity, pattern, *hints in SECRETS]
     out += [
-        Rule("formats", "EMAIL", EMAIL, 0.95, 180, "email", "literal", hints=("@",)),
-        Rule("formats", "EMAIL", EMAIL_AFTER_MARK, 0.95, 180, "email", "literal", hints=("@",), extra={"not_ending_with_previous": True}),
-        Rule("formats", "IP_ADDRESS", IPV4, 0.8, 165, "ipv4", "literal", check=checksums.ipv4),
-        Rule("formats", "CREDIT_CARD", CARD, 0.9, 205, "numeric", "block", check=lambda v: checksums.luhn(F.regexp_replace(v, "[ -]", ""))),
-        Rule("jp_my_number", "JP_MY_NUMBER", r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)", 0.5, 210, "numeric", "block", check=lambda v: checksums.my_number(digits(v)), words=MY_NUMBER_WORDS, near=0.95),
+        Rule("formats", "EMAIL", DOMAIN, 0.95, 180, "email", "literal", hints=("@",), extra={"finder": "email"}),
+        Rule("formats", "IP_ADDRESS", IPV4, 0.8, 165, "ipv4", "literal", check="ipv4"),
+        Rule("formats", "CREDIT_CARD", CARD, 0.9, 205, "numeric", "block", check="luhn"),
+        Rule("jp_my_number", "JP_MY_NUMBER", r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)", 0.5, 210, "numeric", "block", check="my_number", words=MY_NUMBER_WORDS, near=0.95),
     ]
     out += [Rule("jp_phone", "PHONE", p, 0.55, 160, "numeric", "literal", words=PHONE_WORDS, near=0.9, needs="words or mark", mark="[- （）()+]") for p in PHONES]
     out += [
@@ -124,10 +135,10 @@ def built_in(corporate: bool = False) -> list[Rule]:
     ]
     out += [Rule("date_of_birth", "DATE_OF_BIRTH", p, 0.85, 155, "prose_identifier", "literal", words=BIRTH_WORDS, window=12, needs="words") for p in BIRTHS]
     residence = ("在留カード", "在留", "特別永住", "residence card", "在留資格")
-    out.append(Rule("jp_identifiers", "JP_RESIDENCE_CARD", r"(?<![A-Za-z0-9])[A-Z]{2}\d{8}[A-Z]{2}(?![A-Za-z0-9])", 0.95, 208, "prose_identifier", "literal", check=checksums.residence_card, words=residence, needs="words"))
+    out.append(Rule("jp_identifiers", "JP_RESIDENCE_CARD", r"(?<![A-Za-z0-9])[A-Z]{2}\d{8}[A-Z]{2}(?![A-Za-z0-9])", 0.95, 208, "prose_identifier", "literal", check="residence_card", words=residence, needs="words"))
     out += [Rule("jp_identifiers", e, p, score, 206, profile, "literal", words=w, needs="words") for e, p, w, profile, score in IDENTIFIERS]
     if corporate:
-        out.append(Rule("jp_corporate_number", "JP_CORPORATE_NUMBER", r"(?:(?<![0-9A-Za-z])|(?<=(?<![0-9A-Za-z])T))\d{13}(?![0-9])", 0.9, 205, "numeric", "literal", check=checksums.corporate_number, words=(*CORPORATE_WORDS, "T"), needs="words"))
+        out.append(Rule("jp_corporate_number", "JP_CORPORATE_NUMBER", r"(?<![0-9A-Za-z])T?(\d{13})(?![0-9])", 0.9, 205, "numeric", "literal", check="corporate_number", words=(*CORPORATE_WORDS, "T"), needs="words", group=1))
     return out
 
 
@@ -146,22 +157,75 @@ def lint(pattern: str) -> str | None:
     return None
 
 
-def user_rule(name: str, pattern: str, entity: str, *, score: float = 0.8, priority: int = 150, profile: str = "prose_identifier", policy: str = "literal") -> Rule:
+def user_rule(name: str, pattern: str, entity: str, *, score: float = 0.8, priority: int = 150, profile: str = "prose_identifier", policy: str = "literal", group: int = 0) -> Rule:
     if why := lint(pattern):
         raise ValueError(f"rule {name}: {why}")
-    if policy not in STRENGTH or not 0 <= priority <= 1000 or not 0 <= score <= 1:
-        raise ValueError(f"rule {name}: policy, priority or score out of range")
-    return Rule("user_regex", entity, pattern, score, priority, profile, policy)
+    if policy not in STRENGTH or profile not in PROFILES or not 0 <= priority <= 1000 or not 0 <= score <= 1 or not 0 <= group <= re.compile(pattern).groups:
+        raise ValueError(f"rule {name}: policy, profile, priority, score or group out of range")
+    return Rule("user_regex", entity, pattern, score, priority, profile, policy, group=group)
 
 
-def dictionary_rules(terms: dict[str, list[str]], *, spaced: bool = True, ignore_case: bool = False, priority: int = 100, policy: str = "literal") -> list[Rule]:
-    """Rules for entity -> values; values of ideographs alone also match with one blank between characters."""
+def dictionary_rules(
+    terms: dict[str, list[str]], *, spaced: bool = True, ignore_case: bool = False, priority: int = 100, policy: str = "literal", profile: str = "prose_identifier", env: dict[str, str] | None = None
+) -> list[Terms]:
+    """Entity -> values; values of ideographs alone also match with one blank between characters. ``env`` names, for an
+    entity, a variable of the driver's environment that holds further values, one a line."""
     out = []
-    for entity, values in terms.items():
-        if any(not v.strip() for v in values) or len(set(values)) < len(values):
-            raise ValueError(f"{entity}: blank or repeated values")
-        for v in sorted(values, key=len, reverse=True):
-            cjk = len(v) >= 2 and all("぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" for c in v)
-            body = "[ 　]?".join(map(re.escape, v)) if spaced and cjk else re.escape(v)
-            out.append(Rule("dictionary", entity, ("(?iu)" if ignore_case else "") + body, 1.0, priority, "prose_identifier", policy))
+    for entity in {**terms, **(env or {})}:
+        values = list(terms.get(entity, ()))
+        if env and entity in env:
+            if env[entity] not in os.environ:
+                raise ValueError(f"{entity}: the variable {env[entity]} is not set")
+            values += os.environ[env[entity]].splitlines()
+        values = [unicodedata.normalize("NFKC", v) for v in values]
+        if not values or any(not v.strip() for v in values) or len(set(values)) < len(values):
+            raise ValueError(f"{entity}: no, blank or repeated values")
+        if policy not in STRENGTH or profile not in PROFILES or not 0 <= priority <= 1000:
+            raise ValueError(f"{entity}: policy, profile or priority out of range")
+        out.append(Terms(entity, tuple(values), priority, policy, profile, ignore_case, spaced))
     return out
+
+
+def durations(text: str) -> int:
+    """Seconds of a duration like 30s, 15m, 4h or 1d."""
+    found = re.fullmatch(r"(\d+)([smhd])", text)
+    if not found:
+        raise ValueError(f"no duration: {text}")
+    return int(found[1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[found[2]]
+
+
+def load_config(text: str) -> tuple[list[Rule | Terms], dict]:
+    """Rules and settings of a configuration in JSON: version 1; ``entities`` (id, type, values or env, case_insensitive,
+    priority, policy, profile), ``patterns`` (id, type, pattern, group, score, priority, policy, profile), ``session`` (idle_ttl, absolute_ttl),
+    ``corporate_number``. Unknown names, repeated ids and an idle time above the absolute one are errors."""
+    try:
+        found = json.loads(text)
+    except ValueError:
+        import yaml  # only where the configuration isn't JSON
+
+        found = yaml.safe_load(text)
+
+    def only(row: dict, what: str, *names: str) -> dict:
+        if not isinstance(row, dict) or set(row) - set(names):
+            raise ValueError(f"{what}: unknown names {sorted(set(row) - set(names))}" if isinstance(row, dict) else f"{what}: not a table")
+        return row
+
+    only(found, "configuration", "version", "entities", "patterns", "session", "corporate_number")
+    if found.get("version") != 1:
+        raise ValueError("the version must be 1")
+    entities = [only(e, "entities", "id", "type", "values", "env", "case_insensitive", "priority", "policy", "profile") for e in found.get("entities", [])]
+    patterns = [only(e, "patterns", "id", "type", "pattern", "group", "score", "priority", "policy", "profile") for e in found.get("patterns", [])]
+    ids = [e["id"] for e in (*entities, *patterns)]
+    if len(set(ids)) < len(ids):
+        raise ValueError("ids must differ")
+    out: list[Rule | Terms] = built_in(corporate=bool(found.get("corporate_number")))
+    for e in entities:
+        some = {k: e[k] for k in ("priority", "policy", "profile") if k in e}
+        out += dictionary_rules({e["type"]: e.get("values", [])}, env={e["type"]: e["env"]} if "env" in e else None, ignore_case=bool(e.get("case_insensitive")), **some)
+    for e in patterns:
+        out.append(user_rule(e["id"], e["pattern"], e["type"], **{k: e[k] for k in ("group", "score", "priority", "policy", "profile") if k in e}))
+    session = only(found.get("session", {}), "session", "idle_ttl", "absolute_ttl")
+    idle, absolute = durations(session.get("idle_ttl", "4h")), durations(session.get("absolute_ttl", "24h"))
+    if idle > absolute:
+        raise ValueError("the idle time exceeds the absolute time")
+    return out, {"idle_seconds": idle, "absolute_seconds": absolute}

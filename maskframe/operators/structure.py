@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,3 +63,58 @@ def path_alias(token: Column, path: Column) -> Column:
     named = F.transform(cut, lambda s, i: F.when(share & (i == 0), F.concat(F.lit("mf-host-"), part_token(token, "unc-host"))).otherwise(segment_alias(token, i, s)))
     joined = F.when(backward, F.array_join(named, "\\")).otherwise(F.array_join(named, "/"))
     return F.when(path != "", F.concat(F.when(share, F.lit("\\\\")).otherwise(drive), joined))
+
+
+_PARTS = re.compile(PARTS, re.DOTALL)
+
+
+def part_token_of(token: str, label: str) -> str:
+    return hashlib.sha256(f"{token}\x1f{label}".encode()).hexdigest()[:8]
+
+
+def _named(token: str, k: int, part: str) -> str:
+    if part in ("", ".", ".."):
+        return part
+    dot = part.find(".", 0 if part.count(".") > 1 or not part.startswith(".") else 1)
+    return f"mf-seg-{part_token_of(token, f'seg{k}')}{part[dot:] if dot >= 0 else ''}"
+
+
+def url_alias_of(token: str, url: str) -> str | None:
+    """``url_alias`` of one value."""
+    found = _PARTS.match(url.strip(" "))
+    if not found or found[1].lower() in OPAQUE:
+        return None
+    scheme, authority, path, query, fragment = found.groups()
+    who, at, server = (authority or "").rpartition("@")
+    shape = re.fullmatch(r"(\[[^\]]*\]|[^:\[\]]*)(?::([0-9]{0,5}))?", server)
+    if not shape or int(shape[2] or 0) > 65535:
+        return None
+    user = f"mf-user-{part_token_of(token, 'user')}{':mf-pw-' + part_token_of(token, 'pw') if ':' in who else ''}@" if at else ""
+    host = f"mf-host-{part_token_of(token, 'host')}.{DOMAIN}" if shape[1] else ""
+    out = f"{scheme.lower()}:" + (f"//{user}{host}{':' + shape[2] if shape[2] else ''}" if authority is not None else "")
+    out += "/".join(_named(token, k, s) for k, s in enumerate(unquote(path).split("/")))
+    if query:
+        pairs = [q for q in query.split("&") if "=" in q]
+        named = (f"{q.partition('=')[0]}=mf-val-{part_token_of(token, f'q{k}')}" for k, q in enumerate(pairs))
+        out += "?" + ("&".join(named) if "=" in query else f"mf-val-{part_token_of(token, 'q')}")
+    return out + (f"#mf-frag-{part_token_of(token, 'frag')}" if fragment else "")
+
+
+def path_alias_of(token: str, path: str) -> str | None:
+    """``path_alias`` of one value."""
+    if not path:
+        return None
+    share, drive = path.startswith("\\\\"), re.match("[A-Za-z]:", path)
+    head = "\\\\" if share else drive[0] if drive else ""
+    by = "\\" if "\\" in path else "/"
+    parts = path[len(head) :].split(by)
+    return head + by.join(f"mf-host-{part_token_of(token, 'unc-host')}" if share and k == 0 else _named(token, k, s) for k, s in enumerate(parts))
+
+
+def path_depth(path: Column) -> Column:
+    """The number of names in a path."""
+    return F.size(F.filter(F.split(path, r"[/\\]"), lambda s: s != ""))
+
+
+def structurally_valid(url: Column) -> Column:
+    return F.coalesce(F.try_parse_url(url, F.lit("HOST")).isNotNull(), F.lit(False))

@@ -15,16 +15,20 @@ MAX_ARGUMENT_CHARS = 1_000_000
 
 
 class Restorer:
-    """Pure logic: aliases are replaced longest first; text that could still become an alias is held.
+    """Pure logic: aliases are replaced longest first, those of digits alone only where no digit touches them; text that
+    could still become an alias is held.
 
     Held is everything from the first place on where the rest of the text is a proper beginning of an alias, moved
-    back to the start of any alias found across that place. So the output of any split equals that of the whole text."""
+    back to the start of any alias found across that place, and so far into a run of digits that its length shows. So
+    the output of any split equals that of the whole text."""
 
     def __init__(self, values: dict[str, str]) -> None:
         self.values = values
-        self.pattern = re.compile("|".join(map(re.escape, sorted(values, key=len, reverse=True)))) if values else None
-        self.beginnings = {a[:k] for a in values for k in range(1, len(a))}
+        own = (rf"(?<!\d){a}(?!\d)" if a.isdigit() else re.escape(a) for a in sorted(values, key=len, reverse=True))
+        self.pattern = re.compile("|".join(own)) if values else None
+        self.beginnings = {a[:k] for a in values for k in range(1, len(a) + a.isdigit())}
         self.longest = max(map(len, values), default=0)
+        self.digits = any(a.isdigit() for a in values)
 
     def replace(self, text: str) -> str:
         return self.pattern.sub(lambda m: self.values[m[0]], text) if self.pattern else text
@@ -34,10 +38,20 @@ class Restorer:
         text = held + piece
         if not self.pattern:
             return text, ""
-        cut = next((i for i in range(max(0, len(text) - self.longest + 1), len(text)) if text[i:] in self.beginnings), len(text))
-        for match in self.pattern.finditer(text):
-            if match.start() < cut < match.end():
-                cut = match.start()
+        cut = next((i for i in range(max(0, len(text) - self.longest), len(text)) if text[i:] in self.beginnings), len(text))
+        found = [m.span() for m in self.pattern.finditer(text)]
+        while True:
+            before = cut
+            cut = min([cut, *(a for a, b in found if a < cut < b)])
+            if self.digits and cut and text[cut - 1].isdigit() and (cut == len(text) or text[cut].isdigit()):
+                start = cut
+                while start and text[start - 1].isdigit():
+                    start -= 1
+                cut = max(start, cut - self.longest - 1) if cut == before else cut
+                if cut and text[cut - 1].isdigit():
+                    break  # longer than any alias, which shows in what is held
+            if cut == before:
+                break
         # an alias before the cut is whole; one that a longer alias could still replace starts at or after the cut
         return self.replace(text[:cut]), text[cut:]
 
