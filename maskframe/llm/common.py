@@ -1,7 +1,10 @@
 """Shared folder, materialisation and hashing helpers of the pipeline operators.
 
 Every cut of lineage is a parquet table in the folder that the cluster names in ``spark.checkpoint.dir``; only where
-that setting is missing (unit tests on one machine) a folder of our own is used.
+that setting is missing and the master is local (unit tests on one machine) a folder of our own is used. Tables that
+are read a few times and are cheap to make again are kept on the executors' disks instead, with their lineage: a lost
+executor's part is computed again. Every file that an executor writes costs processes for its permissions, so small
+steps had better not write any.
 """
 
 from __future__ import annotations
@@ -12,7 +15,9 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd multipliers of the 64-bit mixers; any odd constants do.
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -26,6 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if "made" not in _own:
             _own["made"] = f"file://{tempfile.mkdtemp(prefix='maskframe-')}"
         found = _own["made"]
@@ -33,12 +40,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A folder for the intermediate tables of one run; ``drop`` removes a table that is no longer read."""
+    """A folder for the intermediate tables of one run, removed when the application ends; ``drop`` removes a table that
+    is no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.held: list[DataFrame] = []
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def folder(self, name: str) -> str:
         self.count += 1
@@ -60,6 +73,18 @@ class Scratch:
         out._maskframe_path = path
         return out
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, computed once and kept on the executors' disks until ``let_go``. What is kept should be made from written
+        tables in few steps: plans of kept tables are told whole wherever they are read."""
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
+    def let_go(self, *tables: DataFrame) -> None:
+        """Stop keeping ``tables``, or all."""
+        for df in tables or self.held:
+            df.unpersist()
+        self.held = [df for df in self.held if tables and not any(df is t for t in tables)]
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in tables:
@@ -76,6 +101,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_each(rows: DataFrame, each: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Left join with a table that holds each key once, whatever share of the rows a key has. At most ``share`` keys can
+    hold one in ``share`` of the rows, so these are few enough to be sent to all tasks with what belongs to them; the
+    other keys are joined by a shuffle, and rows without a key by none."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__all"))
+    hot = counts.join(F.broadcast(total), F.col("__n") * share >= F.col("__all")).select(key)  # at most ``share`` rows
+    kinds = {f.name: f.dataType for f in each.schema if f.name != key}
+    cold = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(each, key, "left")
+    dealt = rows.join(F.broadcast(each.join(F.broadcast(hot), key, "right")), key)
+    none = rows.where(F.col(key).isNull()).withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()})
+    return cold.unionByName(dealt).unionByName(none)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), elementwise."""
     x = x ^ (x >> np.uint64(30))

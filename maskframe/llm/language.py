@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_chunks, table
+from .common import Scratch, in_chunks, join_each, table
 
 MAX_TRAIN, FEATURES, TRIGRAMS, STRENGTH = 20_000, 1 << 16, 100, 20.0
 FOLD = np.array([c + 32 if 65 <= c <= 90 else 32 if c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256)], np.uint8)
@@ -120,19 +120,25 @@ def identify(spark: SparkSession, rows: DataFrame, model: tuple[list[str], np.nd
     plain = rows.select(*ids, "host", "suffix", "declared", "text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema if f.name != "text") + ", ll array<double>"
     known = scratch.save(plain.mapInArrow(_likelihoods(spark.sparkContext.broadcast(weights)), schema), "likelihoods")
-    known = known.withColumn("p", softmax(F.col("ll")))
+    # host and suffix as one key; rows with neither have none
+    place = F.when(F.coalesce("host", "suffix").isNotNull(), F.concat_ws("\x01", F.coalesce("suffix", F.lit("\x02")), F.coalesce("host", F.lit("\x02"))))
+    known = known.withColumns({"p": softmax(F.col("ll")), "place": place})
     sums = [F.sum(F.col("p")[k]) for k in range(size)]
     total = known.agg(F.array(*(F.coalesce(s, F.lit(0.0)) for s in sums)).alias("all_p"), F.count(F.lit(1)).alias("all_n"))
-    by_host = known.where("host is not null").groupBy("host", "suffix").agg(F.array(*sums).alias("host_p"), F.count(F.lit(1)).alias("host_n"))
-    by_suffix = by_host.where("suffix is not null").groupBy("suffix").agg(F.array(*(F.sum(F.col("host_p")[k]) for k in range(size))).alias("suffix_p"), F.sum("host_n").alias("suffix_n"))
+    places = scratch.save(known.where("place is not null").groupBy("place", "host", "suffix").agg(F.array(*sums).alias("host_p"), F.count(F.lit(1)).alias("host_n")), "places")
+    hosts = places.where("host is not null")
+    by_suffix = hosts.where("suffix is not null").groupBy("suffix").agg(F.array(*(F.sum(F.col("host_p")[k]) for k in range(size))).alias("suffix_p"), F.sum("host_n").alias("suffix_n"))
+    own = F.col("host").isNotNull()
+    of_place = places.select("place", "suffix", *(F.when(own, F.col(c)).alias(c) for c in ("host_p", "host_n")))
+    of_place = scratch.save(join_each(of_place, scratch.save(by_suffix, "suffixes"), "suffix").drop("suffix"), "of-place")
     declared = known.where("declared is not null").groupBy("declared").agg(F.array(*sums).alias("told_p"))
     told = declared.agg(F.array(*(F.sum(F.col("told_p")[k]) for k in range(size))).alias("told_all"), F.count(F.lit(1)).alias("codes"))
     all_p, all_n = total.first()
     told_all, codes = told.first()
     prior = F.array(*(F.lit((p + 1.0) / (all_n + size)) for p in all_p))
     reliability = declared.select("declared", F.array(*(F.log((F.col("told_p")[k] + 0.1) / F.lit((told_all[k] or 0.0) + 0.1 * (codes + 1))) for k in range(size))).alias("told"))
-    out = known.join(by_host, (known["host"] == by_host["host"]) & known["suffix"].eqNullSafe(by_host["suffix"]), "left").drop(by_host["host"]).drop(by_host["suffix"])
-    out = out.join(by_suffix, "suffix", "left").join(reliability, "declared", "left")
+    # both sides are written tables, so that Spark can split a code that very many rows declare
+    out = join_each(known, of_place, "place").join(scratch.save(reliability, "reliability"), "declared", "left")
 
     def shrunk(sums: str, n: str, own: Column, to: Column) -> Column:
         mean = F.transform(F.col(sums), lambda s, k: (F.greatest(s - own[k], F.lit(0.0)) + STRENGTH * to[k]) / (F.col(n) - 1 + STRENGTH))

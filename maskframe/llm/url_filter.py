@@ -8,7 +8,9 @@ seed) and exceeds its trust.
 
 Links are the absolute and scheme-relative href values of the pages; links within a host don't count. Edges are
 pre-aggregated by (from, to); every round is two joins and a sum over hosts, written to the shared folder. They end
-when the scores stand still; if they still move after ``rounds``, that is an error.
+when the scores stand still; if they still move after ``rounds``, that is an error. The links of a hub meet its one score
+in a join of two shuffled tables, which Spark splits where a host has very many, and are summed before the next shuffle;
+pages of a popular host meet what is known of it without a shuffle.
 
 Defined cases: null url or one without ``://``: host and path empty, no rule fits, allowed; null html: no links; rules
 of equal length: the first in alphabetical order; rows that share an id stay separate; an empty table gives an empty
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, join_each, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -44,7 +46,7 @@ def judged_by_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.")
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("suffix")
     by_host = hosts.select("host", suffix).join(split, "suffix").groupBy("host").agg(F.collect_list(F.struct("ruled", "rule", "prefix")).alias("fitting"))
-    out = pages.join(by_host, "host", "left")
+    out = join_each(pages, by_host, "host")
     own = F.filter("fitting", lambda r: F.startswith(F.col("path"), r["prefix"]))
     best = F.array_min(F.transform(own, lambda r: F.struct((-F.length(r["rule"])).alias("length"), r["rule"].alias("rule"), r["ruled"].alias("ruled"))))
     return out.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.ruled").alias("ruled"))
@@ -96,7 +98,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, *, threshold:
     """One row per input row: page_id, host, path, rule, verdict, trust, distrust."""
     scratch = Scratch(spark, "url-filter")
     host, path = host_and_path(F.col("url"))
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
+    parsed = scratch.save(pages.select("page_id", host.alias("host"), path.alias("path")), "parsed")
     ruled = scratch.save(judged_by_rules(parsed, rules), "ruled")
     share = ruled.where("host <> ''").groupBy("host").agg(
         F.avg(F.when(F.col("ruled") == "allow", 1.0).otherwise(0.0)).alias("allowed"), F.avg(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0)).alias("blocked")
@@ -106,7 +108,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, *, threshold:
     scores = propagate(edges, scratch.save(seeds, "seeds"), scratch, **options)
     suspect = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     verdict = F.coalesce("ruled", F.when(suspect, "block").otherwise("allow"))
-    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
+    return join_each(ruled, scores, "host").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
