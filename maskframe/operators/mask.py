@@ -8,6 +8,7 @@ stands in a text already, longer tokens are tried; a session without a free alia
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -92,7 +93,7 @@ ALIASED = "array<struct<start:int,end:int,value:string,entity_type:string,profil
 
 
 def _aliased(merge: bool):
-    """Every hit with its fingerprint, the alias of the shortest token, and whether the text holds that alias already."""
+    """Every hit with its fingerprint, the alias of the shortest token, and whether that alias could not be told in the text."""
 
     @F.arrow_udf(ALIASED)
     def run(texts: pa.Array, rows: pa.Array, inner: pa.Array, outer: pa.Array) -> pa.Array:
@@ -103,7 +104,11 @@ def _aliased(merge: bool):
                 print_ = fingerprint_of(a, b, h["normalized" if merge else "value"], h["entity_type"], h["profile"])
                 alias = REDACTED if h["policy"] == "redacted" else alias_of(h["profile"], h["entity_type"], print_[: LENGTHS[0]], h["value"])
                 same = {k: h[k] for k in ("start", "end", "value", "entity_type", "profile", "policy")}
-                cells.append(same | {"fingerprint": print_, "alias": alias, "taken": alias is not None and alias != REDACTED and alias in text})
+                taken = alias is not None and alias != REDACTED and alias in text
+                if alias and alias.isdigit() and not taken:  # digits beside it would hide it from restoring
+                    own = re.escape(h["value"])
+                    taken = re.search(rf"\d{own}|{own}\d", text) is not None
+                cells.append(same | {"fingerprint": print_, "alias": alias, "taken": taken})
             out.append(cells)
         kind = pa.struct([(n, pa.int32() if n in ("start", "end") else pa.bool_() if n == "taken" else pa.string()) for n in ("start", "end", "value", "entity_type", "profile", "policy", "fingerprint", "alias", "taken")])
         return pa.array(out, pa.list_(kind))
@@ -119,7 +124,8 @@ def _free(rows: pa.Table) -> pa.Table:
     for r in cells:
         alias = r["known"]
         if alias is None:
-            tried = (alias_of(r["profile"], r["entity_type"], r["fingerprint"][:n], r["value"]) for n in LENGTHS if n > LENGTHS[0] or not r["taken"])
+            profile = "prose_identifier" if r["taken"] and r["profile"] == "numeric" else r["profile"]
+            tried = (alias_of(profile, r["entity_type"], r["fingerprint"][:n], r["value"]) for n in LENGTHS if n > LENGTHS[0] or not r["taken"] or profile != r["profile"])
             alias = next((a for a in tried if a is not None and a not in used), None)
             if alias is None:
                 raise ValueError("no free alias is left in a session")
