@@ -2,14 +2,20 @@
 
 Pages are dealt by ranges of their key (reversed host, then path), and every task writes one archive of gzip members
 and one index file: its records in key order as lines in compressed blocks. The sparse block directory has one row a
-block (first and last key, file, offset, length). A lookup binary-searches the directory, reads the block by its byte
-range, and then the records by theirs. Archives lie in the shared folder; files of a failed task stay unreferenced.
+block (first and last key and id, file, offset, length). A lookup deals what is asked by the bounds of the archives (a
+row for each writing task, so few), meets each archive's part of the directory in key order, binary-searches it for the
+block, reads that by its byte range, binary-searches its lines, and then reads the records by theirs. The directory
+itself is never gathered. Archives lie in the shared folder; files of a failed task stay unreferenced. A record's id is
+that of its place, so it is unique.
 
 Among records of equal payload (SHA-256 of the bytes) of at least ``least_bytes`` bytes the one with the smallest
 page_id is a response, the others are revisits without payload. A revisit tells the length of its payload in the
 extension field ``WARC-Payload-Length``.
 
-Defined cases: null html is an empty payload; a null or odd url has no host, its key is ``)`` and the text, and control
+Defined cases (of a lookup): a url captured several times gives a row for each capture, one that isn't there none, and a url asked for twice
+is answered twice.
+
+Defined cases (of pages): null html is an empty payload; a null or odd url has no host, its key is ``)`` and the text, and control
 characters in it are percent-encoded; a row with a null page_id is a revisit if its payload has an id elsewhere, else
 a response; rows that share the smallest id are all responses; an empty table gives an empty result; further columns
 are not read. One url or host may hold any share of the rows: ranges are cut within it by page_id.
@@ -35,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-BLOCK_LINES, BLOCK_BYTES, MAX_DIRECTORY = 500, 4_000_000, 100_000
-DIRECTORY = "first string, last string, cdx string, offset long, length long, records long"
+BLOCK_LINES, BLOCK_BYTES = 500, 4_000_000
+DIRECTORY = "first string, first_id long, last string, last_id long, cdx string, offset long, length long, records long"
 PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -52,13 +58,18 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(row: dict) -> bytes:
+def place_of(key: str, page_id: int | None) -> tuple:
+    """A capture's place in the order of the archives: by key, then null ids, then ids."""
+    return key, page_id is not None, page_id or 0
+
+
+def record(row: dict, place: str) -> bytes:
     payload, revisit = row["payload"], row["record_type"] == "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = {
         "WARC-Type": row["record_type"],
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(row['page_id']))}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>",
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Page-ID": row["page_id"],
         "WARC-Target-URI": None if row["url"] is None else quote(row["url"], safe="!#$%&'()*+,/:;=?@[]~<>\"\\^`{|}"),
@@ -97,14 +108,14 @@ def parsed(member: bytes) -> dict:
 
 
 def _write(folder: str):
-    schema = pa.schema([("first", pa.string()), ("last", pa.string()), ("cdx", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("records", pa.int64())])
+    schema = pa.schema([(n, pa.string() if n in ("first", "last", "cdx") else pa.int64()) for n in ("first", "first_id", "last", "last_id", "cdx", "offset", "length", "records")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pa.fs.FileSystem.from_uri(folder)
         name = uuid.uuid4().hex
         warc = cdx = None
         lines: list[str] = []
-        keys: list[str] = []
+        keys: list[tuple] = []
         at = start = done = 0
         out: list[list] = [[] for _ in schema]
 
@@ -112,7 +123,7 @@ def _write(folder: str):
             nonlocal done, start
             packed = zlib.compress("\n".join(lines).encode(), 6)
             cdx.write(packed)
-            for c, v in zip(out, (keys[0], keys[-1], f"{folder}/{name}.cdx", done, len(packed), len(lines)), strict=True):
+            for c, v in zip(out, (*keys[0], *keys[-1], f"{folder}/{name}.cdx", done, len(packed), len(lines)), strict=True):
                 c.append(v)
             done, start = done + len(packed), at
             lines.clear()
@@ -123,10 +134,10 @@ def _write(folder: str):
                 if warc is None:
                     fs.create_dir(path, recursive=True)
                     warc, cdx = (fs.open_output_stream(posixpath.join(path, name + end), compression=None) for end in (".warc.gz", ".cdx"))
-                member = record(row)
+                member = record(row, f"{name}/{at}")
                 warc.write(member)
                 lines.append(json.dumps([row["key"], row["page_id"], f"{name}.warc.gz", at, len(member)]))
-                keys.append(row["key"])
+                keys.append((row["key"], row["page_id"]))
                 at += len(member)
                 if len(lines) == BLOCK_LINES or at - start >= BLOCK_BYTES:
                     close_block()
@@ -188,48 +199,95 @@ def read_archives(directory: DataFrame) -> DataFrame:
     return directory.mapInArrow(_read_all, PAGES)
 
 
-def lookup(spark: SparkSession, directory: DataFrame, urls: DataFrame, column: str = "url", most: int = MAX_DIRECTORY) -> DataFrame:
-    """The captures of each url: url, page_id, record_type, payload (null of a revisit).
-
-    At most ``most`` rows of the directory are searched at a time; a larger one is gone through in that many rows."""
-    wanted = urls.select(F.col(column).alias("url"), capture_key(F.col(column)).alias("key"))
-    schema = "url string, page_id long, record_type string, payload binary"
-
-    def search(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks = shared.value
-            firsts = [b["first"] for b in blocks]
-            for batch in batches:
-                found: list[tuple] = []
-                for row in batch.to_pylist():
-                    k = max(0, bisect.bisect_left(firsts, row["key"]) - 1)
-                    while k < len(blocks) and blocks[k]["first"] <= row["key"]:
-                        if row["key"] <= blocks[k]["last"]:
-                            fs, path, folder = _located(blocks[k]["cdx"])
-                            lines = block_lines(fs, path, blocks[k]["offset"], blocks[k]["length"])
-                            keys = [x[0] for x in lines]
-                            for x in lines[bisect.bisect_left(keys, row["key"]) : bisect.bisect_right(keys, row["key"])]:
-                                with fs.open_input_file(posixpath.join(folder, x[2])) as f:
-                                    r = parsed(f.read_at(x[4], x[3]))
-                                found.append((row["url"], r["page_id"], r["record_type"], r["payload"]))
-                        k += 1
-                columns = list(zip(*found, strict=True)) if found else [()] * 4
-                types = [pa.string(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["url", "page_id", "record_type", "payload"])
-
-        return run
-
-    result = spark.createDataFrame([], schema)
-    part: list[dict] = []
-    rows = directory.orderBy("first", "cdx", "offset").toLocalIterator()
-    while part := [r.asDict() for _, r in zip(range(most), rows)]:
-        own = wanted.where(F.col("key").between(part[0]["first"], max(b["last"] for b in part)))
-        result = result.unionByName(own.mapInArrow(search(spark.sparkContext.broadcast(part)), schema))
-    return result
+CAPTURES = "url string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _dealt(archives, exact: bool):
+    """Each row that asks, with every archive that can hold what it asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = archives.value
+        for batch in batches:
+            at, names = [], []
+            for i, (key, page_id) in enumerate(zip(batch.column("key").to_pylist(), batch.column("page_id").to_pylist(), strict=True)):
+                low = place_of(key, page_id) if exact else (key,)
+                k = bisect.bisect_left(bounds, low, key=lambda b: b[1])
+                while k < len(bounds) and (bounds[k][0] <= low or not exact and bounds[k][0][0] == key):
+                    at.append(i)
+                    names.append(bounds[k][2])
+                    k += 1
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns, pa.array(names, pa.string())], names=["url", "key", "page_id", "cdx"])
+
+    return run
+
+
+def _searched(exact: bool, payloads: bool):
+    """Rows of one archive after another: first its blocks in order, then what is asked, by key. A block and the bytes
+    of its records are read once for neighbours that fall into it."""
+    schema = pa.schema([("url", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payloads)
+
+    def answers(blocks: list[dict], row: dict, kept: dict) -> Iterator[dict]:
+        low = place_of(row["key"], row["page_id"]) if exact else (row["key"],)
+        k = bisect.bisect_left(blocks, low, key=lambda b: place_of(b["last"], b["last_id"]))
+        while k < len(blocks) and (place_of(blocks[k]["first"], blocks[k]["first_id"]) <= low or not exact and blocks[k]["first"] == row["key"]):
+            if kept.get("block") is not blocks[k]:
+                fs, path, folder = _located(blocks[k]["cdx"])
+                lines = block_lines(fs, path, blocks[k]["offset"], blocks[k]["length"])
+                kept |= {"block": blocks[k], "lines": lines, "file": (fs, posixpath.join(folder, lines[0][2])), "raw": None}
+            lines = kept["lines"]
+            i = bisect.bisect_left(lines, low, key=lambda x: place_of(x[0], x[1]))
+            while i < len(lines) and place_of(lines[i][0], lines[i][1])[: len(low)] == low:
+                if kept["raw"] is None:  # the records of a block are neighbours
+                    with kept["file"][0].open_input_file(kept["file"][1]) as f:
+                        kept["raw"] = f.read_at(lines[-1][3] + lines[-1][4] - lines[0][3], lines[0][3])
+                at = lines[i][3] - lines[0][3]
+                yield parsed(kept["raw"][at : at + lines[i][4]])
+                i += 1
+            k += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, blocks, kept, before = None, [], {}, None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if row["cdx"] != archive:
+                    archive, blocks, kept, before = row["cdx"], [], {}, None
+                if not row["asked"]:
+                    blocks.append(row)
+                elif not exact or (row["key"], row["page_id"]) != before:  # a place is answered once
+                    before = (row["key"], row["page_id"])
+                    out += (tuple(row["url"] if f.name == "url" and not exact else r[f.name] for f in schema) for r in answers(blocks, row, kept))
+                if len(out) >= 1024:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def lookup(spark: SparkSession, directory: DataFrame, wanted: DataFrame, *, url_col: str = "url", id_col: str | None = None, payloads: bool = False) -> DataFrame:
+    """The captures of each url asked for: url, page_id, payload_bytes, payload_digest, record_type, refers_to and, with
+    ``payloads``, payload (null of a revisit). With ``id_col`` those of its id alone, and the records of a url and id that
+    several rows ask for come once each, with the url as the record tells it."""
+    own = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+    asked = wanted.select(F.col(url_col).alias("url"), capture_key(F.col(url_col)).alias("key"), own.alias("page_id"))
+    # the bounds of the archives: one row for each task that wrote, whatever the number of pages
+    place = lambda key, id_: F.struct(F.col(key).alias("key"), F.col(id_).isNotNull().alias("known"), F.coalesce(id_, F.lit(0)).alias("id"))
+    bounds = directory.groupBy("cdx").agg(F.min(place("first", "first_id")).alias("low"), F.max(place("last", "last_id")).alias("high")).orderBy("low").collect()
+    archives = spark.sparkContext.broadcast([(tuple(r.low), tuple(r.high), r.cdx) for r in bounds])
+    dealt = asked.mapInArrow(_dealt(archives, bool(id_col)), "url string, key string, page_id long, cdx string")
+    columns = [("first", "string"), ("first_id", "long"), ("last", "string"), ("last_id", "long"), ("offset", "long"), ("length", "long")]
+    dealt = dealt.select("*", F.lit(True).alias("asked"), *(F.lit(None).cast(t).alias(n) for n, t in columns))
+    blocks = directory.select(F.lit(None).cast("string").alias("url"), F.col("first").alias("key"), F.col("first_id").alias("page_id"), "cdx", F.lit(False).alias("asked"), *(n for n, _ in columns))
+    rows = blocks.unionByName(dealt).repartition("cdx").sortWithinPartitions("cdx", "asked", "key", F.col("page_id").asc_nulls_first(), "offset")
+    return rows.mapInArrow(_searched(bool(id_col), payloads), CAPTURES + ", payload binary" * payloads)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_archives(write_archives(spark, table(spark, sf_dir, "pages")))
+    pages = table(spark, sf_dir, "pages")
+    directory = write_archives(spark, pages)
+    return lookup(spark, directory, pages, id_col="page_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Base-32 digits come from the 40 hex digits of SHA-1, five bits at a time.

@@ -111,7 +111,7 @@ def test_warc_and_lookup(spark):
     directory = warc.write_archives(spark, pages)
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(directory).collect()}
     assert got == {1: (2, "response", None), 2: (2, "revisit", 1), 4: (2, "revisit", 1), 3: (3, "response", None), None: (0, "response", None)}
-    hits = warc.lookup(spark, directory, pages.where("page_id = 2").select("url"), most=1).collect()
+    hits = warc.lookup(spark, directory, pages.where("page_id = 2").select("url")).collect()
     assert {(r.page_id, r.record_type) for r in hits} == {(1, "response"), (2, "revisit")}
     assert warc.read_archives(warc.write_archives(spark, pages.limit(0))).count() == 0
 
