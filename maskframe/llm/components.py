@@ -62,12 +62,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, limit: int = 60) ->
             break
         both = old.unionByName(old.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.save(large.distinct(), "large-star")
+        large = scratch.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        scratch.drop(old, large)
+        scratch.let_go(large)
+        scratch.drop(old)
         old = new
     else:
         raise RuntimeError(f"no forest of stars after {limit} rounds")

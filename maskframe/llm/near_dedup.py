@@ -125,13 +125,20 @@ def _close(percent: int, bands: int, rows: int):
 
 
 def _linked(percent: int):
+    """Rows (a, b, set) sorted so that the set of ``a`` itself (b is null) comes before those that are held against it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        centre = np.empty(0, np.uint64)
+        for batch in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
             keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            for b, blob in zip(batch.column("b").to_pylist(), batch.column("set").to_pylist(), strict=True):
+                own = np.frombuffer(blob, np.uint64)
+                if b is None:
+                    centre = own.copy()
+                    keep.append(False)
+                else:
+                    both = len(np.intersect1d(centre, own, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(centre) + len(own) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -176,12 +183,15 @@ def _forest(percent: int, bands: int, rows: int):
     return run
 
 
+def full_sets(wanted: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, set) of the classes whose ids are wanted."""
+    return docs.join(wanted.distinct().join(reps.select("id", "key"), "id"), "id").mapInArrow(_sets(size), "id long, set binary")
+
+
 def in_blocks(lone: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, size: int, bands: int, rows: int) -> DataFrame:
     """Links between groups in large buckets. The members of a bucket are dealt to chunks of about CHUNK, and each pair of
     chunks is compared in a task of its own, which holds two chunks and returns links alone."""
-    wanted = lone.select("id").distinct().join(reps.select("id", "key"), "id")
-    sets = docs.join(wanted, "id").mapInArrow(_sets(size), "id long, set binary")
-    full = scratch.save(sets.join(reps.select("id", "sig", "bands"), "id"), "large-buckets")
+    full = scratch.keep(full_sets(lone.select("id"), reps, docs, size).join(reps.select("id", "sig", "bands"), "id"))
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     own = lone.select("bucket", "id", "group", chunks.alias("chunks"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
     dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
@@ -190,23 +200,22 @@ def in_blocks(lone: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratc
 
 
 def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, size: int, bands: int, rows: int) -> DataFrame:
-    """The pairs (a, b) of class representatives whose full sets reach the threshold, as a written table."""
-    sig = reps.select("id", "sig")
-    near = (
-        pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .mapInArrow(_close(percent, bands, rows), "a long, b long")
-    )
-    near = scratch.save(near, "near-pairs")
-    wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct().join(reps.select("id", "key"), "id")
-    sets = scratch.save(docs.join(wanted, "id").mapInArrow(_sets(size), "id long, set binary"), "sets")
-    found = (
-        near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        .mapInArrow(_linked(percent), "a long, b long")
-    )
-    found = scratch.save(found, "links")
-    scratch.drop(near, sets)
+    """The pairs (a, b) of class representatives whose full sets reach the threshold.
+
+    The partners of a representative are dealt to as many parts as there are shuffle partitions, and its set goes once to
+    each part that has any, so neither a copy of it for every pair nor one task for all its partners is made."""
+    own = lambda x: reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
+    alike = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    near = pairs.join(own("a"), "a").join(own("b"), "b").where(alike).select("a", "b", "sig_a", "sig_b").mapInArrow(_close(percent, bands, rows), "a long, b long")
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    near = scratch.keep(near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")))
+    sets = scratch.keep(full_sets(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))), reps, docs, size))
+    centres = near.select("a", "part").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
+    members = near.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "set")
+    dealt = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    found = scratch.save(dealt.select("a", "b", "set").mapInArrow(_linked(percent), "a long, b long"), "links")
+    scratch.let_go(near, sets)
+    scratch.release()
     return found
 
 
@@ -218,28 +227,27 @@ def near_dedup(
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     sketch = scratch.save(texts.mapInArrow(_sketch(size, bands, rows), "id long, n long, key binary, bands array<long>, sig binary"), "sketch")
     known = sketch.where("id is not null and n > 0")
-    classes = known.groupBy("key").agg(F.min("id").alias("rep"))
-    member = known.select("id", "key").join(classes, "key").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    reps = scratch.save(known.join(classes, (known["id"] == classes["rep"]) & (known["key"] == classes["key"]), "left_semi").dropDuplicates(["id", "key"]), "classes")
-    bucket = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    centre = bucket.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    bucket = scratch.save(bucket.join(centre, "bucket").select("bucket", "id", "n", F.col("c.id").alias("a"), F.col("c.n").alias("n_a")), "buckets")
-
-    def alike(x: str, y: str):
-        return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-
-    stars = bucket.where(alike("n", "n_a")).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    # all else of a row follows from its key, so the first of a class stands for it
+    reps = scratch.save(known.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    # ids of rows with different texts tie their classes together
+    twice = known.groupBy("id").agg(F.min("key").alias("k"), F.max("key").alias("l")).where("k <> l").select("id")
+    tied = known.select("id", "key").join(twice, "id").join(reps.select(F.col("id").alias("rep"), "key"), "key").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    exploded = reps.select("id", F.explode("bands").alias("bucket"))
+    centre = exploded.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    bucket = scratch.save(exploded.join(centre.select("bucket", "a"), "bucket"), "buckets")
+    stars = scratch.keep(bucket.where("id <> a").select("a", F.col("id").alias("b")).distinct())
     args = (reps, texts, scratch, percent, size, bands, rows)
-    edges = member.unionByName(links(stars, *args).toDF("u", "v"))
-    groups = scratch.save(connected_components(edges, scratch), "groups")
+    edges = tied.unionByName(links(stars, *args).toDF("u", "v"))
+    groups = connected_components(edges, scratch)
+    scratch.release()
     # pairs of a bucket that the stars left apart
-    lone = bucket.join(groups, bucket["id"] == groups["node"], "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("group"))
+    lone = bucket.join(groups, bucket["id"] == groups["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("group"))
     split = lone.groupBy("bucket").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count(F.lit(1)).alias("members")).where("g <> h").select("bucket", "members")
     lone = scratch.save(lone.join(split, "bucket"), "apart")
     few = lone.where(f"members <= {FEW}")
     x, y = few.alias("x"), few.alias("y")
     apart = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.group") != F.col("y.group")) & alike("x.n", "y.n"))
+        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.group") != F.col("y.group")))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .join(stars, ["a", "b"], "left_anti")
         .distinct()
@@ -250,10 +258,14 @@ def near_dedup(
         more = more.unionByName(in_blocks(many, reps, texts, scratch, percent, size, bands, rows))
     if not more.isEmpty():
         edges = groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.toDF("u", "v"))
-        groups = scratch.save(connected_components(edges, scratch), "groups")
-    out = sketch.select("id", "n").join(groups, sketch["id"] == groups["node"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+        groups = connected_components(edges, scratch)
+    classes = reps.select("key", "id").join(groups, reps["id"] == groups["node"], "left").select("key", F.coalesce("component", "id").alias("component"))
+    classes = scratch.save(classes, "components")
+    scratch.let_go()
+    alone = sketch.where("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
+    out = sketch.where("id is not null and n > 0").select("id", "n", "key").join(classes, "key").select("id", "n", "component").unionByName(alone)
+    kept = F.coalesce(F.col("component") == F.col("id"), F.lit(True))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
