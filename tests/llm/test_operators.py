@@ -70,18 +70,22 @@ def test_near_dedup_against_brute_force(spark, docs, nothing, monkeypatch, few):
         assert near_dedup.near_dedup(spark, nothing).count() == 0
 
 
-def test_substring_dedup_against_brute_force(spark, docs, nothing):
+@pytest.mark.parametrize("window, least", [(50, 25), (7, 25), (51, 25), (50, 5), (101, 25)])
+def test_substring_dedup_against_brute_force(spark, docs, nothing, monkeypatch, window, least):
+    monkeypatch.setattr(substring_dedup, "LEAST", least)
+    assert substring_dedup.lengths_of(window) == {(50, 25): [25, 50], (7, 25): [3, 7], (51, 25): [25, 51], (50, 5): [6, 12, 24, 50], (101, 25): [25, 50, 101]}[window, least]
     first = {}
     split = {r[0]: (r[1] or "").encode().split() for r in rows() if r[0] is not None}
     for k in sorted(split):
-        for i in range(len(split[k]) - 49):
-            first.setdefault(tuple(split[k][i : i + 50]), k)
-    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark, docs).collect()}
+        for i in range(len(split[k]) - window + 1):
+            first.setdefault(tuple(split[k][i : i + window]), k)
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark, docs, window=window).collect()}
     for k, w in split.items():
-        gone = {j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < k for j in range(i, i + 50)}
+        gone = {j for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < k for j in range(i, i + window)}
         kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
         assert (got[k].n_words, got[k].n_removed, got[k].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
-    assert substring_dedup.substring_dedup(spark, nothing).count() == 0
+    if window == 50:
+        assert substring_dedup.substring_dedup(spark, nothing, window=window).count() == 0
 
 
 def test_bpe_against_the_library(spark, docs, nothing):
