@@ -99,14 +99,14 @@ def _sketch(size: int, bands: int, rows: int):
 
 
 def _sets(size: int):
-    schema = pa.schema([("id", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], size))
             keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             right = pa.compute.equal(keys, batch.column("key"))  # of rows that share an id, the one that is meant
-            full = pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema)
+            full = pa.RecordBatch.from_arrays([batch.column("id"), keys, pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema)
             yield full.filter(right)
 
     return run
@@ -125,20 +125,23 @@ def _close(percent: int, bands: int, rows: int):
 
 
 def _linked(percent: int):
-    """Rows (a, b, set) sorted so that the set of ``a`` itself (b is null) comes before those that are held against it."""
+    """Rows (a, b, set) sorted so that the set of ``a`` itself (b is null) comes before those that are held against it;
+    rows that share the id ``a`` have a set each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre = np.empty(0, np.uint64)
+        centres: list[np.ndarray] = []
+        begun = False
         for batch in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
             keep = []
             for b, blob in zip(batch.column("b").to_pylist(), batch.column("set").to_pylist(), strict=True):
                 own = np.frombuffer(blob, np.uint64)
                 if b is None:
-                    centre = own.copy()
+                    centres = [*centres, own.copy()] if begun else [own.copy()]
                     keep.append(False)
                 else:
-                    both = len(np.intersect1d(centre, own, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(centre) + len(own) - both))
+                    both = [(len(np.intersect1d(x, own, assume_unique=True)), len(x) + len(own)) for x in centres]
+                    keep.append(any(100 * n >= percent * (total - n) for n, total in both))
+                begun = b is None
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -184,19 +187,21 @@ def _forest(percent: int, bands: int, rows: int):
 
 
 def full_sets(wanted: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, set) of the classes whose ids are wanted."""
-    return docs.join(wanted.distinct().join(reps.select("id", "key"), "id"), "id").mapInArrow(_sets(size), "id long, set binary")
+    """(id, key, set) of the classes whose ids are wanted."""
+    return docs.join(wanted.distinct().join(reps.select("id", "key"), "id"), "id").mapInArrow(_sets(size), "id long, key binary, set binary")
 
 
 def in_blocks(lone: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, size: int, bands: int, rows: int) -> DataFrame:
     """Links between groups in large buckets. The members of a bucket are dealt to chunks of about CHUNK, and each pair of
     chunks is compared in a task of its own, which holds two chunks and returns links alone."""
-    full = scratch.keep(full_sets(lone.select("id"), reps, docs, size).join(reps.select("id", "sig", "bands"), "id"))
+    full = scratch.keep(full_sets(lone.select("id"), reps, docs, size).join(reps.select("id", "key", "sig", "bands"), ["id", "key"]))
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     own = lone.select("bucket", "id", "group", chunks.alias("chunks"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
     dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     dealt = dealt.select("bucket", "id", "group", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    return scratch.save(dealt.join(full, "id").groupBy("bucket", "i", "j").applyInArrow(_forest(percent, bands, rows), "a long, b long"), "block-links")
+    # of rows that share an id, those that are in the bucket
+    here = dealt.join(full, "id").where(F.array_contains("bands", F.col("bucket")))
+    return scratch.save(here.groupBy("bucket", "i", "j").applyInArrow(_forest(percent, bands, rows), "a long, b long"), "block-links")
 
 
 def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, size: int, bands: int, rows: int) -> DataFrame:
@@ -209,7 +214,7 @@ def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch,
     near = pairs.join(own("a"), "a").join(own("b"), "b").where(alike).select("a", "b", "sig_a", "sig_b").mapInArrow(_close(percent, bands, rows), "a long, b long")
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     near = scratch.keep(near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")))
-    sets = scratch.keep(full_sets(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))), reps, docs, size))
+    sets = scratch.keep(full_sets(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))), reps, docs, size).drop("key"))
     centres = near.select("a", "part").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
     members = near.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "set")
     dealt = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())

@@ -20,6 +20,9 @@ def rows():
     near = [*base[:60], "changed", *base[61:]]
     texts = [" ".join(base), " ".join(near), " ".join(base), None, "", "", "one two", "one two", "A B C d e f", "a b c D E F", " ".join(words(30, 3) + passage), " ".join(passage + words(30, 4)), " ".join(words(6000, 5)), "tab\tand\nline " + " ".join(words(70, 6))]
     out = [(k, t, "en", "s", 0, 7, "x") for k, t in enumerate(texts)]
+    # an id of two rows whose texts have a near copy each
+    for text in (words(90, 21), words(90, 22)):
+        out += [(50, " ".join(text), "en", "s", 0, 7, "x"), (60 + len(out), " ".join([*text[:40], "changed", *text[41:]]), "en", "s", 0, 7, "x")]
     return [*out, out[7], (None, "one two", None, None, None, None, None)]
 
 

@@ -1,0 +1,142 @@
+"""The whole pipeline, and each of its stages on its own input, against plain versions on a small corpus."""
+
+import hashlib
+import math
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from maskframe.llm import bpe, decontaminate, quality
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Documents of the test data, and null and repeated ids, exact and near copies, benchmark passages, odd texts."""
+    rng = random.Random(8)
+    d = str(tmp_path_factory.mktemp("corpus"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(3).collect()]
+    good = [r for r in rows if r[1] and len(r[1].split()) > 60][:12]
+    text = lambda k: good[k][1]
+    near = text(0).split()
+    near[len(near) // 2] = "changed"
+    extra = [(9001, text(0)), (9002, " ".join(near)), (None, text(1)), (None, text(1)), (None, " ".join(near)), (good[2][0], text(3) + " more"), (good[2][0], text(2))]
+    extra += [(None, text(4) + " " + items[0]), (9003, items[1] + " " + text(5)), (good[6][0], text(6) + " " + items[2]), (9004, None), (9005, ""), (9005, ""), (9006, "!!!"), (None, None), (9007, text(7).upper())]
+    rows += [(k, t, "en", rng.choice(["a", None]), len(t or "")) for k, t in extra]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, docs.schema).repartition(3).write.parquet(f"{d}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+def of(df):
+    return [tuple(r) for r in df.select("doc_id", "text").collect()]
+
+
+def plain_quality(spark, rows, d):
+    model = quality.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    stats = spark.createDataFrame([(i, t or "") for i, (_, t) in enumerate(rows)], "i int, t string")
+    stats = {r.i: r for r in stats.select("i", *(c.alias(n) for n, c in quality.statistics(F.col("t")).items())).collect()}
+
+    def score(r):
+        total = model.intercept + sum(x.weight for x in model.rules if all(r[n] <= b if low else r[n] > b for n, low, b in x.tests))
+        return 1 / (1 + math.exp(-total))
+
+    return [row for i, row in enumerate(rows) if score(stats[i]) >= 0.5]
+
+
+def plain_exact(rows):
+    """How many rows of each (id, text) stay: one of a text, with the largest id."""
+    best = {}
+    for k, t in rows:
+        best[t or ""] = max(best.get(t or "", -1), -1 if k is None else k)
+    return Counter((None if k < 0 else k, t) for t, k in best.items())
+
+
+def plain_near(rows):
+    shingles = []
+    for _, t in rows:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        shingles.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = {k: k for k, _ in rows if k is not None}
+    known = [(k, s) for (k, _), s in zip(rows, shingles, strict=True) if k is not None and s]
+    for i, (a, x) in enumerate(known):
+        for b, y in known[i + 1 :]:
+            if group[a] != group[b] and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = sorted((group[a], group[b]))
+                group = {k: p if v == q else v for k, v in group.items()}
+    return [r for r in rows if r[0] is None or group[r[0]] == r[0]]
+
+
+def plain_clean(spark, rows, d):
+    """Frequencies are those of the stage's input."""
+    texts = spark.createDataFrame(rows, "id long, text string")
+    idf, _ = decontaminate.inverse_frequencies(texts)
+    found = [p for r in spark.read.parquet(f"{d}/benchmark.parquet").collect() for p in decontaminate.passages(r.item_id, decontaminate.words_of([r.text])[0], idf)]
+    out = []
+    for k, t in rows:
+        h = decontaminate.words_of([t])[0]
+        here = set(h.tolist())
+        sizes = {p.words and next(s for s, longest, _ in decontaminate.SCALES if len(p.words) <= longest) for p in found}
+        assert sizes
+        held = any(
+            decontaminate.confirmed(h, p, s, size, 0.6, 0.5)
+            for p in found
+            if len(p.rare & here) >= 0.5 * len(p.rare)
+            for size in [next(z for z, longest, _ in decontaminate.SCALES if len(p.words) <= longest)]
+            for s in range(max(0, len(h) - size) + 1)
+        )
+        if not held:
+            out.append((k, t))
+    return out
+
+
+def test_every_stage_and_the_whole_equal_plain_versions(spark, folder):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, rows = docs.columns, of(docs)
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "exact_dedup", "near_dedup", "decontaminate", "bpe"]
+
+    def after(name, docs):
+        out = stages[name](spark, docs, folder)
+        path = f"{folder}/after-{name}"
+        out.write.parquet(path)
+        return spark.read.parquet(path)
+
+    out = after("quality", docs)
+    rows = plain_quality(spark, rows, folder)
+    assert out.columns == columns and Counter(of(out)) == Counter(rows) and 0 < len(rows) < docs.count()
+    out = after("exact_dedup", out)
+    assert out.columns == columns and Counter((k, t or "") for k, t in of(out)) == plain_exact(rows)
+    assert set(map(tuple, out.collect())) <= set(map(tuple, docs.collect()))
+    rows = of(out)
+    out = after("near_dedup", out)
+    left = plain_near(rows)
+    assert out.columns == columns and Counter(of(out)) == Counter(left) and len(left) < len(rows)
+    rows = left
+    out = after("decontaminate", out)
+    left = plain_clean(spark, rows, folder)
+    assert out.columns == columns and Counter(of(out)) == Counter(left) and len(left) < len(rows)
+    tokenizer = Tokenizer.from_file(bpe.default_tokenizer())
+    expected = Counter()
+    for k, t in left:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        expected[k, len(ids), sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))] += 1
+    whole = corpus_pipeline.run(spark, folder)
+    assert Counter(tuple(r) for r in whole.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == expected
+
+
+def test_an_empty_corpus(spark, folder, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
