@@ -104,6 +104,10 @@ def _give_back() -> None:
         trim(0)
 
 
+#: Distinct words that a task holds at once.
+MAX_KNOWN = 2_000_000
+
+
 class _Numbers(dict):
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
@@ -178,6 +182,8 @@ def _encode(spec):
                 raw, ends = zstandard.ZstdDecompressor().decompress(words), np.cumsum(sizes).tolist()
                 cut = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 new = [w for w in cut if w not in known]
+                if len(known) + len(new) > MAX_KNOWN:  # then words may be encoded again, but memory stays bounded
+                    known, new = {}, cut
                 for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
                     known[w] = np.array(e.ids, np.uint32).tobytes()
                 ids = [known[w] for w in cut]

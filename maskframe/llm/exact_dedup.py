@@ -48,8 +48,8 @@ def located(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tu
 
 
 def stream_state(spark: SparkSession, digests: DataFrame, scratch: Scratch, files_per_trigger: int | None = None) -> DataFrame:
-    """Run the digest table through the keyed state: digest, winner(id, file, row), n. A run that is started again with
-    the same folder goes on where it stopped."""
+    """Run the digest table through the keyed state: digest, winner(id, file, row), n. Every run has a state of its own;
+    within it, a batch that fails is done again from the checkpoint."""
     session = spark.newSession()
     for key, value in {
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
