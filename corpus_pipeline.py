@@ -3,6 +3,11 @@
 Every stage is a function (spark, docs, sf_dir) -> DataFrame; ``run`` writes what a stage returns as parquet in the
 shared folder and gives the table as read again to the next one. All stages but the last return the columns of
 ``documents`` and only drop rows; the last returns doc_id, n_tokens, ids_sha256, decoded_sha256 of the rows that stay.
+
+Defined cases: null text counts as empty: judged, one of all empty texts stays, and it has no tokens; a null id is
+smaller than any id among exact copies and takes no part in near copies; rows that share an id are judged by their own
+texts by every stage but near dedup, for which they are one document; an empty table gives an empty result; further
+columns are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: A fitted classifier, signatures and a factorisation are beyond SQL; tests hold stages against brute force, none the whole pipeline yet.
+#: A fitted classifier, signatures and a factorisation are beyond SQL; tests hold every stage and run() against plain versions.
 ORACLE_SQL = None
 
 
