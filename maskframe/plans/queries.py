@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.functions import checksums
-from maskframe.operators import detect, mask, rules
+from maskframe.operators import detect, mask, rules, state
+
+from .engine_queries import LINES, lines_once
 
 FORMATS = [r for r in rules.built_in() if r.detector == "formats"]
+#: None of these overlaps itself.
+TERMS = ("en", "te", "ten", "an", "est")
 TOKENS = [r for r in rules.built_in() if r.entity == "GENERIC_SECRET"]
 
 
@@ -42,7 +46,7 @@ def docs_blocked_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [r for r in FORMATS if r.entity == "EMAIL"]
-    docs = documents(spark, sf_dir).where(F.contains("text", F.lit("@"))).select("doc_id", "text", F.concat(F.lit("s"), F.col("doc_id") % 7).alias("session_id"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.concat(F.lit("s"), F.col("doc_id") % 7).alias("session_id"))
     keys = mask.session_table(spark, {f"s{k}": bytes([k] * 32) for k in range(7)})
     masked = mask.mask(docs, keys, ["doc_id"], "text", own)
     back = mask.restore(masked.select("doc_id", "session_id", "masked"), mask.mappings(masked), ["doc_id"], "masked")
@@ -69,55 +73,108 @@ def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.expr("cast(nullif(substring(session_id, 2), '') as long)").alias("doc_id"), *keys, F.col("restored").alias("text"))
 
 
+def mask_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked text of every document under the e-mail rule, in a session for each id."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.concat(F.lit("s"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("session_id"))
+    return mask.mask(docs, document_sessions(docs), ["doc_id"], "text", [r for r in FORMATS if r.entity == "EMAIL"]).select("doc_id", "masked")
+
+
+def dictionary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each of some terms, which overlap one another, is in each document, whatever the case."""
+    own = [rules.dictionary_rules({t: [t]}, ignore_case=True)[0] for t in TERMS]
+    found = detect.detections(documents(spark, sf_dir), ["doc_id"], "text", own, resolve=False, segment=False)
+    return found.groupBy("doc_id", F.col("entity_type").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        (1, 0, 10, "A", 0.8, 80, "literal", 0), (1, 8, 20, "B", 0.8, 70, "literal", 1), (1, 0, 5, "C", 0.9, 90, "literal", 2),
-        (2, 0, 6, "CREDIT_CARD", 0.5, 10, "literal", 0), (2, 2, 9, "D", 0.9, 900, "literal", 1),
-        (3, 0, 6, "EXISTING_ALIAS", 1.0, 300, "literal", 0), (3, 4, 9, "E", 0.9, 100, "block", 1), (3, 9, 12, "F", 0.9, 100, "redacted", 2),
-    ]
-    df = spark.createDataFrame(rows, "doc int, start int, end int, entity_type string, score double, priority int, policy string, ord int")
-    df = df.withColumns({"value": F.lit(""), "detector": F.lit("x"), "profile": F.lit("numeric")})
-    return detect.resolve_table(df, ["doc"]).select("doc", "start", "end", "entity_type", "policy")
+    """Lines of orders as spans: every two neighbours overlap or touch, and pairs lie apart."""
+    lines = lines_once(spark, sf_dir)
+    k = F.col("l_linenumber").cast("int")
+    spans = lines.select(
+        F.col("l_orderkey").alias("doc"), (F.floor((k - 1) / 2) * 100 + (k - 1) % 2 * 10).cast("int").alias("start"), (F.floor((k - 1) / 2) * 100 + (k - 1) % 2 * 10 + 6 + F.col("l_suppkey") % 10).cast("int").alias("end"),
+        F.when(F.col("l_partkey") % 5 == 0, "CREDIT_CARD").otherwise(F.col("l_returnflag")).alias("entity_type"), F.lit(0.5).alias("score"), (F.col("l_partkey") % 3 * 10).cast("int").alias("priority"),
+        F.when(F.col("l_suppkey") % 4 == 0, "redacted").otherwise("literal").alias("policy"), k.alias("ord"), F.lit("").alias("value"), F.lit("x").alias("detector"), F.lit("numeric").alias("profile"),
+    )
+    return detect.resolve_table(spans, ["doc"]).select("doc", "start", F.col("end").alias("stop"), "entity_type", "policy")
 
 
 def checksum_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("4111111111111111",), ("4111111111111112",), ("123456789018",), ("123456789010",), ("7000012050002",), ("7000012050003",), ("10.0.0.256",), ("10.0.0.1",), ("192.0.2.7",)]
-    v = F.col("v")
-    return spark.createDataFrame(rows, "v string").select(
-        "v", checksums.luhn(v).alias("luhn"), checksums.my_number(v).alias("my_number"), checksums.corporate_number(v).alias("corporate"), checksums.ipv4(v).alias("ipv4")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    number = lambda n: F.lpad((F.col("o_orderkey") * 7919 % 10_000_019).cast("string"), n, "4")
+    card, mine, firm = number(16), number(12), number(13)
+    ip = F.concat_ws(".", F.col("o_orderkey") % 300, F.col("o_orderkey") % 7, F.lit("2"), F.concat(F.when(F.col("o_orderkey") % 11 == 0, "0").otherwise(""), (F.col("o_orderkey") % 99).cast("string")))
+    residence = F.concat(F.lit("AB"), F.substring(card, -8, 8), F.lit("CD"))
+    return orders.select(
+        "o_orderkey", checksums.luhn(card).alias("luhn"), checksums.my_number(mine).alias("my_number"), checksums.corporate_number(firm).alias("corporate"), checksums.ipv4(ip).alias("ipv4"), checksums.residence_card(residence).alias("residence")
     )
 
 
 def alias_hmac(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = mask.session_table(spark, {"s": b"key"})
-    return keys.select(mask.hmac_sha256(F.col("inner_pad"), F.col("outer_pad"), F.lit("The quick brown fox jumps over the lazy dog")).alias("hmac"))
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name").crossJoin(F.broadcast(keys))  # one row
+    return names.select("c_custkey", mask.hmac_sha256(F.col("inner_pad"), F.col("outer_pad"), F.col("c_name")).alias("hmac"))
 
 
 def latest_wins_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("event_id").alias("last_id"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts", "event_id")
+    last = state.upsert(events, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type")
+    return last.join(events.groupBy("user_id").agg(F.max("event_id").alias("last_id")), "user_id")
 
 
 QUERIES = {
     "detect_email": _of("EMAIL"),
     "detect_ipv4": _of("IP_ADDRESS"),
     "detect_card_luhn": _of("CREDIT_CARD"),
-    **{f.__name__: f for f in (detect_token_assignment, entity_counts_by_lang, docs_blocked_by_policy, mask_round_trip, mask_documents, resolve_overlaps, checksum_rules, alias_hmac, latest_wins_upsert)},
+    **{f.__name__: f for f in (detect_token_assignment, entity_counts_by_lang, docs_blocked_by_policy, mask_round_trip, mask_emails, mask_documents, dictionary_matches, resolve_overlaps, checksum_rules, alias_hmac, latest_wins_upsert)},
 }
 
 EMAILS = r"""regexp_extract_all(text, '[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）぀-ゟ]+@[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）]+\.(?:[A-Za-z]{2,}|[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）.]{2,})')"""
 IPS = r"""list_filter(regexp_extract_all(regexp_replace(text, '([^0-9.])', '\1\1', 'g'), '(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:$|[^0-9.])', 1),
   lambda v: NOT regexp_matches(v, '^(192\.0\.2|198\.51\.100|203\.0\.113)\.') AND len(list_filter(string_split(v, '.'), lambda p: CAST(p AS INTEGER) > 255 OR (length(p) > 1 AND p[1] = '0'))) = 0)"""
 
+#: Digits with one separator after each; what stands before and after a run is doubled, so that runs may share it.
+CARDS = r"""list_transform(regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])((?:[0-9](?:  |--)?){13,19})(?:$|[^0-9])', 1), lambda v: replace(replace(v, '  ', ' '), '--', '-'))"""
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(substr(d, i, 1) AS INTEGER) ELSE CAST(substr(d, i, 1) AS INTEGER) * 2 - CASE WHEN substr(d, i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
+_TOKEN = r"""(?i)\b(?:password|passwd|pwd|secret|token|api_key|apikey|access_key|secret_key)\s{0,3}[:=]\s{0,3}["'']?([A-Za-z0-9+/_.~-]{8,}={0,2})"""
+
+
+def _digits(value: str, weights: tuple[int, ...], first: int = 1) -> str:
+    return " + ".join(f"CAST(substr({value}, {first + i}, 1) AS INTEGER) * {w}" for i, w in enumerate(weights))
+
+
+def _pad(high: int, low: int) -> str:
+    hexes = "0123456789abcdef"
+    of = lambda x: f"translate(h, '{hexes}', '{''.join(f'{int(c, 16) ^ x:x}' for c in hexes)}')"
+    return f"unhex(array_to_string(list_transform(range(1, 65), lambda i: substr({of(high)}, i, 1) || substr({of(low)}, i, 1)), ''))"
+
+
+def _hmac(inner: str, outer: str, message: str) -> str:
+    return f"sha256({outer} || unhex(sha256({inner} || {message})))"
+
+
+_FIXED = [f"unhex('{(bytes(b ^ x for b in b'key'.ljust(64, bytes(1)))).hex()}')" for x in (0x36, 0x5C)]
+_OVER = "o.start < s.stop AND s.start < o.stop"
+
 ORACLE_SQL = {
     "detect_email": f"SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest({EMAILS}) AS value FROM documents) GROUP BY ALL",
     "detect_ipv4": f"SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest({IPS}) AS value FROM documents) GROUP BY ALL",
-    "mask_round_trip": "SELECT doc_id, text FROM documents WHERE contains(text, '@')",
-    "resolve_overlaps": """SELECT * FROM (VALUES (1, 0, 5, 'C', 'literal'), (1, 8, 20, 'B', 'literal'), (2, 0, 6, 'CREDIT_CARD', 'block'), (3, 9, 12, 'F', 'redacted'))
-      AS t(doc, "start", "end", entity_type, policy)""",
-    "checksum_rules": """SELECT * FROM (VALUES ('4111111111111111', true, false, false, false), ('4111111111111112', false, false, false, false), ('123456789018', false, true, false, false),
-      ('123456789010', false, false, false, false), ('7000012050002', false, false, true, false), ('7000012050003', false, false, false, false),
-      ('10.0.0.256', false, false, false, false), ('10.0.0.1', false, false, false, true), ('192.0.2.7', false, false, false, false)) AS t(v, luhn, my_number, corporate, ipv4)""",
-    "alias_hmac": "SELECT 'f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8' AS hmac",
+    "mask_round_trip": "SELECT doc_id, text FROM documents",
+    "detect_token_assignment": f"SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}', 1)) AS value FROM documents",
+    "detect_card_luhn": f"""SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, value, regexp_replace(value, '[ -]', '', 'g') AS d FROM (SELECT doc_id, unnest({CARDS}) AS value FROM documents)) WHERE {_LUHN} GROUP BY ALL""",
+    "mask_emails": f"""SELECT doc_id, list_reduce(list_prepend(text, list_sort(list_distinct({EMAILS}))), lambda t, v: replace(t, v, 'mf-user-' || substr({_hmac("i", "o", "encode(v || chr(0) || 'EMAIL' || chr(0) || 'email')")}, 1, 12) || '@example.invalid')) AS masked
+      FROM (SELECT doc_id, text, {_pad(0x3, 0x6)} AS i, {_pad(0x5, 0xC)} AS o FROM (SELECT doc_id, text, sha256('s' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents))""",
+    "dictionary_matches": f"""SELECT doc_id, term, n FROM (SELECT doc_id, term, (length(text) - length(replace(lower(text), term, ''))) // length(term) AS n
+      FROM documents, (SELECT unnest({list(TERMS)}) AS term)) WHERE n > 0""",
+    "resolve_overlaps": f"""WITH s AS (SELECT l_orderkey AS doc, CAST((l_linenumber - 1) // 2 * 100 + (l_linenumber - 1) % 2 * 10 AS INTEGER) AS start, CAST((l_linenumber - 1) // 2 * 100 + (l_linenumber - 1) % 2 * 10 + 6 + l_suppkey % 10 AS INTEGER) AS stop,
+        CASE WHEN l_partkey % 5 = 0 THEN 'CREDIT_CARD' ELSE l_returnflag END AS entity_type, l_partkey % 3 AS priority, l_linenumber AS ord,
+        CASE WHEN l_partkey % 5 = 0 THEN 3 WHEN l_suppkey % 4 = 0 THEN 2 ELSE 0 END AS safe FROM {LINES})
+      SELECT doc, start, stop, entity_type, CASE safe WHEN 3 THEN 'block' WHEN 2 THEN 'redacted' ELSE 'literal' END AS policy FROM s
+      WHERE NOT EXISTS (SELECT 1 FROM s AS o WHERE o.doc = s.doc AND o.ord <> s.ord AND {_OVER} AND (o.safe, o.priority, o.stop - o.start, -o.start) > (s.safe, s.priority, s.stop - s.start, -s.start))""",
+    "checksum_rules": f"""SELECT o_orderkey, {_LUHN} AS luhn,
+        (CASE WHEN ({_digits("m", (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2))}) % 11 <= 1 THEN 0 ELSE 11 - ({_digits("m", (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2))}) % 11 END) = CAST(substr(m, 12, 1) AS INTEGER) AS my_number,
+        9 - ({_digits("c", (2, 1) * 6, 2)}) % 9 = CAST(substr(c, 1, 1) AS INTEGER) AS corporate, o_orderkey % 300 <= 255 AND o_orderkey % 11 <> 0 AND NOT (o_orderkey % 300 = 192 AND o_orderkey % 7 = 0) AS ipv4,
+        ({_digits("r", (7, 6, 5, 4, 3, 2, 7))}) % 11 = CAST(substr(r, 8, 1) AS INTEGER) AS residence
+      FROM (SELECT o_orderkey, lpad(v, 16, '4') AS d, lpad(v, 12, '4') AS m, lpad(v, 13, '4') AS c, right(lpad(v, 16, '4'), 8) AS r FROM (SELECT o_orderkey, CAST(o_orderkey * 7919 % 10000019 AS VARCHAR) AS v FROM orders))""",
+    "alias_hmac": f"SELECT c_custkey, {_hmac(*_FIXED, 'encode(c_name)')} AS hmac FROM customer",
     "latest_wins_upsert": "SELECT user_id, max_by(event_type, struct_pack(ts, event_id)) AS event_type, max(event_id) AS last_id FROM events GROUP BY user_id",
 }
