@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,15 @@ def handshake(headers: Column) -> tuple[Column, Column]:
 def summary(headers: Column) -> Column:
     """For logs: authorisation is told as present only."""
     return F.transform_values(headers, lambda k, v: F.when(F.lower(k).isin(*AUTH), F.lit("[REDACTED]")).otherwise(v))
+
+
+def upstream(url: str, official: str) -> str:
+    """The address that requests go to, without a slash at its end: the official one or one of this machine, by http or
+    https, without credentials, query and fragment; anything else is an error."""
+    parts = urlsplit(url)
+    parts.port  # noqa: B018  an error if it is no port
+    if parts.scheme not in ("http", "https") or not parts.hostname or parts.username or parts.password or parts.query or parts.fragment:
+        raise ValueError("the upstream address must be plain http or https")
+    if url.rstrip("/") != official and parts.hostname not in ("127.0.0.1", "localhost", "::1"):
+        raise ValueError("the upstream address must be the official one or local")
+    return url.rstrip("/")

@@ -39,6 +39,37 @@ def short_fingerprint(value: Column) -> Column:
     return F.substring(F.sha2(value, 256), 1, 12)
 
 
+def surface_scores(gold: DataFrame, found: DataFrame, keys: list[str], code: Column) -> DataFrame:
+    """entity_type, tp, fp, fn, precision, recall, f1, prose_fp, code_fp of gold and found (keys, n, entity_type, value).
+
+    Gold values by ``n`` take the first free found value of their type that holds them or is held by them. ``code`` tells
+    of a found row whether it stands in code; the last two columns count what was found in documents without any gold."""
+    list_of = lambda df, name: df.groupBy(*keys, "entity_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda v: v["value"]).alias(name))
+    both = list_of(gold, "__gold").join(list_of(found, "__found"), [*keys, "entity_type"], "full")
+    both = both.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("__gold", "__found")})
+    free = F.transform("__found", lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+
+    def take(acc: Column, g: Column) -> Column:
+        first = F.try_element_at(F.filter(acc["free"], lambda f: F.contains(f["v"], g) | F.contains(g, f["v"])), F.lit(1))
+        rest = F.filter(acc["free"], lambda f: first.isNull() | (f["i"] != first["i"]))
+        return F.struct(rest.alias("free"), (acc["tp"] + first.isNotNull().cast("int")).alias("tp"))
+
+    rows = both.withColumn("tp", F.aggregate("__gold", F.struct(free.alias("free"), F.lit(0).alias("tp")), take)["tp"])
+    total = rows.groupBy("entity_type").agg(F.sum("tp").alias("tp"), F.sum(F.size("__found") - F.col("tp")).alias("fp"), F.sum(F.size("__gold") - F.col("tp")).alias("fn"))
+    alone = found.withColumn("__code", code).join(gold.select(*keys).distinct(), keys, "left_anti").groupBy("entity_type")
+    alone = alone.agg(F.count_if(~F.col("__code")).alias("prose_fp"), F.count_if("__code").alias("code_fp"))
+    total = with_shares(total).join(alone, "entity_type", "left")
+    return total.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("prose_fp", "code_fp")})
+
+
+def with_shares(total: DataFrame) -> DataFrame:
+    """precision, recall and f1 of tp, fp, fn; without anything found (or wanted) precision (or recall) is 1."""
+    share = lambda other: F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col(other)), F.lit(1.0))
+    total = total.withColumns({"precision": share("fp"), "recall": share("fn")})
+    p, r = F.col("precision"), F.col("recall")
+    return total.withColumn("f1", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))
+
+
 def scores(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """entity_type, tp, fp, fn, precision, recall, f1 of gold and found (keys, entity_type, start, end).
 
@@ -58,10 +89,7 @@ def scores(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
 
     rows = both.withColumn("tp", F.aggregate("__gold", F.struct(free.alias("free"), F.lit(0).alias("tp")), take)["tp"])
     total = rows.groupBy("entity_type").agg(F.sum("tp").alias("tp"), F.sum(F.size("__found") - F.col("tp")).alias("fp"), F.sum(F.size("__gold") - F.col("tp")).alias("fn"))
-    share = lambda other: F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col(other)), F.lit(1.0))
-    total = total.withColumns({"precision": share("fp"), "recall": share("fn")})
-    p, r = F.col("precision"), F.col("recall")
-    return total.withColumn("f1", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))
+    return with_shares(total)
 
 
 def fuzzy_windows(df: DataFrame, keys: list[str], text: str, size: int = 400, shared: int = 64) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from maskframe.operators import bodies, mask, rules, store
+from maskframe.operators import bodies, headers, mask, metrics, rules, store, walk
 from maskframe.streaming import events
 
 REQUEST = {
@@ -204,3 +204,24 @@ def test_the_store_keeps_the_latest_and_opens_only_what_it_wrote(spark, tmp_path
 def test_requests_that_cannot_be_served(spark):
     df = spark.createDataFrame([("mf-user-0123456789ab@example.invalid", False, False), ("x", False, False), ("MF_PERSON_0123456789AB", True, False), ("x", True, True)], "t string, stable boolean, unknown_previous boolean")
     assert [r.s for r in df.select(store.refused(df, "t").alias("s")).collect()] == [409, 200, 200, 409]
+
+
+def test_registered_originals_are_found_anywhere(spark):
+    df = spark.createDataFrame([(1, "s", '{"Secret": ["x ann y", 1234567]}'), (2, "t", '{"a": "ann"}'), (3, "s", "{}")], "k int, session_id string, b string")
+    known = spark.createDataFrame([("s", v) for v in ("Ann", "secret", "34567", "Secret")], "session_id string, value string")
+    assert {tuple(r) for r in walk.registered_leaks(df, ["k"], "b", known).collect()} == {(1, "key", "Secret"), (1, "number", "34567")}
+    assert {tuple(r) for r in walk.registered_leaks(df, ["k"], "b", known, ignore_case=True).collect()} == {(1, "key", "secret"), (1, "value", "ann"), (1, "number", "34567")}
+
+
+def test_surfaces_are_scored_one_to_one(spark):
+    gold = spark.createDataFrame([(1, 0, "P", "Ann Lee"), (1, 1, "P", "Bob"), (2, 0, "L", "Rome")], "doc int, n int, entity_type string, value string")
+    found = spark.createDataFrame([(1, 0, "P", "Ann", False), (1, 1, "P", "Ann Lee", False), (2, 0, "P", "Rome", False), (3, 0, "P", "x", True), (3, 1, "P", "y", False)], "doc int, n int, entity_type string, value string, code boolean")
+    got = {r.entity_type: r for r in metrics.surface_scores(gold, found, ["doc"], F.col("code")).collect()}
+    assert (got["P"].tp, got["P"].fp, got["P"].fn, got["P"].prose_fp, got["P"].code_fp) == (1, 4, 1, 1, 1) and (got["L"].tp, got["L"].fn, got["L"].precision) == (0, 1, 1.0)
+
+
+def test_upstream_addresses():
+    assert headers.upstream("https://api.example.org/", "https://api.example.org") == "https://api.example.org" and headers.upstream("http://localhost:80", "x") == "http://localhost:80"
+    for bad in ("https://other.org", "ftp://localhost", "http://u:p@localhost", "http://localhost?q", "http://localhost:x", "http://"):
+        with pytest.raises(ValueError):
+            headers.upstream(bad, "https://api.example.org")
