@@ -280,7 +280,9 @@ def lookup(spark: SparkSession, directory: DataFrame, wanted: DataFrame, *, url_
     columns = [("first", "string"), ("first_id", "long"), ("last", "string"), ("last_id", "long"), ("offset", "long"), ("length", "long")]
     dealt = dealt.select("*", F.lit(True).alias("asked"), *(F.lit(None).cast(t).alias(n) for n, t in columns))
     blocks = directory.select(F.lit(None).cast("string").alias("url"), F.col("first").alias("key"), F.col("first_id").alias("page_id"), "cdx", F.lit(False).alias("asked"), *(n for n, _ in columns))
-    rows = blocks.unionByName(dealt).repartition("cdx").sortWithinPartitions("cdx", "asked", "key", F.col("page_id").asc_nulls_first(), "offset")
+    # as many parts as the session asks for, however narrow these rows are: each part reads the archives dealt to it
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = blocks.unionByName(dealt).repartition(n, "cdx").sortWithinPartitions("cdx", "asked", "key", F.col("page_id").asc_nulls_first(), "offset")
     return rows.mapInArrow(_searched(bool(id_col), payloads), CAPTURES + ", payload binary" * payloads)
 
 
