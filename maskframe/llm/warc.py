@@ -5,17 +5,15 @@ and one index file: its records in key order as lines in compressed blocks. The
 block (first and last key and id, file, offset, length). A lookup deals what is asked by the bounds of the archives (a
 row for each writing task, so few), meets each archive's part of the directory in key order, binary-searches it for the
 block, reads that by its byte range, binary-searches its lines, and then reads the records by theirs. The directory
-itself is never gathered. Archives lie in the shared folder; files of a failed task stay unreferenced. A record's id is
+itself is never gathered. Files of a failed task stay unreferenced. A record's id is
 that of its place, so it is unique.
 
 Among records of equal payload (SHA-256 of the bytes) of at least ``least_bytes`` bytes the one with the smallest
 page_id is a response, the others are revisits without payload. A revisit tells the length of its payload in the
 extension field ``WARC-Payload-Length``.
 
-Defined cases (of a lookup): a url captured several times gives a row for each capture, one that isn't there none, and a url asked for twice
-is answered twice.
-
-Defined cases (of pages): null html is an empty payload; a null or odd url has no host, its key is ``)`` and the text, and control
+Defined cases of a lookup: a url captured several times gives a row for each capture, one that isn't there none, and a
+url asked for twice is answered twice. Of pages: null html is an empty payload; a null or odd url has no host, its key is ``)`` and the text, and control
 characters in it are percent-encoded; a row with a null page_id is a revisit if its payload has an id elsewhere, else
 a response; rows that share the smallest id are all responses; an empty table gives an empty result; further columns
 are not read. One url or host may hold any share of the rows: ranges are cut within it by page_id.
@@ -152,7 +150,8 @@ def _write(folder: str):
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, *, least_bytes: int = 0, folder: str | None = None) -> DataFrame:
-    """Write the archives and return the block directory."""
+    """Write the archives and return the block directory. Without a ``folder`` of the caller's they lie in the shared
+    folder as long as the application runs."""
     scratch = Scratch(spark, "warc")
     folder = folder or scratch.folder("archives")
     payload = F.coalesce(F.encode("html", "utf-8"), F.lit(b""))
