@@ -226,8 +226,8 @@ def mask(
     A row with a blocking entity has no masked text but the list of its blocking types; null text stays null. Aliases
     that the session has issued (``known``: what ``mappings`` tells) are kept for their values and are not looked into.
     With ``merge_surface_forms`` forms of a value that are equal when normalised share an alias. ``options`` are those
-    of Scanner, and ``kind``. Rows and what is found in them are kept on the executors' disks (recomputed if lost),
-    because aliases are settled for whole sessions before texts are rewritten."""
+    of Scanner, and ``kind``. Rows and what is found in them are kept on the executors' disks (recomputed if lost, let go
+    by ``spark.catalog.clearCache()``), because aliases are settled for whole sessions before texts are rewritten."""
     also = [options["kind"]] if options.get("kind") else []
     rows = df.select(*keys, "session_id", text, *(c for c in also if c not in keys))
     if known is not None:
