@@ -56,7 +56,7 @@ def _stars(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame:
     """edges(u, v), longs -> (node, component) for every node with an edge; component is its smallest node."""
     links = edges.select("u", "v").where("u <> v").mapInArrow(_local, "u long, v long")
-    old = scratch.save(links.distinct(), "edges")
+    old = scratch.save_narrow(links.distinct(), "edges")
     for _ in range(limit):
         if _stars(old):
             break
@@ -65,7 +65,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, limit: int = 60) ->
         large = scratch.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        new = scratch.save_narrow(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         scratch.let_go(large)
         scratch.drop(old)
         old = new

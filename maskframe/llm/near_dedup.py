@@ -201,7 +201,7 @@ def in_blocks(lone: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratc
     dealt = dealt.select("bucket", "id", "group", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     # of rows that share an id, those that are in the bucket
     here = dealt.join(full, "id").where(F.array_contains("bands", F.col("bucket")))
-    return scratch.save(here.groupBy("bucket", "i", "j").applyInArrow(_forest(percent, bands, rows), "a long, b long"), "block-links")
+    return scratch.save_narrow(here.groupBy("bucket", "i", "j").applyInArrow(_forest(percent, bands, rows), "a long, b long"), "block-links")
 
 
 def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, size: int, bands: int, rows: int) -> DataFrame:
@@ -218,7 +218,7 @@ def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch,
     centres = near.select("a", "part").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
     members = near.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "set")
     dealt = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    found = scratch.save(dealt.select("a", "b", "set").mapInArrow(_linked(percent), "a long, b long"), "links")
+    found = scratch.save_narrow(dealt.select("a", "b", "set").mapInArrow(_linked(percent), "a long, b long"), "links")
     scratch.let_go(near, sets)
     scratch.release()
     return found
@@ -233,13 +233,13 @@ def near_dedup(
     sketch = scratch.save(texts.mapInArrow(_sketch(size, bands, rows), "id long, n long, key binary, bands array<long>, sig binary"), "sketch")
     known = sketch.where("id is not null and n > 0")
     # all else of a row follows from its key, so the first of a class stands for it
-    reps = scratch.save(known.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    reps = scratch.save_narrow(known.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
     # ids of rows with different texts tie their classes together
     twice = known.groupBy("id").agg(F.min("key").alias("k"), F.max("key").alias("l")).where("k <> l").select("id")
     tied = known.select("id", "key").join(twice, "id").join(reps.select(F.col("id").alias("rep"), "key"), "key").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     exploded = reps.select("id", F.explode("bands").alias("bucket"))
     centre = exploded.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    bucket = scratch.save(exploded.join(centre.select("bucket", "a"), "bucket"), "buckets")
+    bucket = scratch.save_narrow(exploded.join(centre.select("bucket", "a"), "bucket"), "buckets")
     stars = scratch.keep(bucket.where("id <> a").select("a", F.col("id").alias("b")).distinct())
     args = (reps, texts, scratch, percent, size, bands, rows)
     edges = tied.unionByName(links(stars, *args).toDF("u", "v"))
@@ -248,7 +248,7 @@ def near_dedup(
     # pairs of a bucket that the stars left apart
     lone = bucket.join(groups, bucket["id"] == groups["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("group"))
     split = lone.groupBy("bucket").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count(F.lit(1)).alias("members")).where("g <> h").select("bucket", "members")
-    lone = scratch.save(lone.join(split, "bucket"), "apart")
+    lone = scratch.save_narrow(lone.join(split, "bucket"), "apart")
     few = lone.where(f"members <= {FEW}")
     x, y = few.alias("x"), few.alias("y")
     apart = (
@@ -265,7 +265,7 @@ def near_dedup(
         edges = groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.toDF("u", "v"))
         groups = connected_components(edges, scratch)
     classes = reps.select("key", "id").join(groups, reps["id"] == groups["node"], "left").select("key", F.coalesce("component", "id").alias("component"))
-    classes = scratch.save(classes, "components")
+    classes = scratch.save_narrow(classes, "components")
     scratch.let_go()
     alone = sketch.where("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
     out = sketch.where("id is not null and n > 0").select("id", "n", "key").join(classes, "key").select("id", "n", "component").unionByName(alone)
