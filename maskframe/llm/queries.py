@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, language, near_dedup, quality, substring_dedup, url_filter, warc
+from . import bpe, chat, decontaminate, exact_dedup, language, near_dedup, overlap_join, quality, substring_dedup, url_filter, vector_codes, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,14 @@ QUERIES = {
         near_dedup.op8_near_dedup,
         exact_dedup.op9_exact_dedup,
         language.op10_language,
+        vector_codes.op11_vector_codes,
+        overlap_join.op12_overlap_join,
     )
 }
 
-ORACLE_SQL = {"op2_warc": warc.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {
+    "op2_warc": warc.ORACLE_SQL,
+    "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op12_overlap_join": overlap_join.ORACLE_SQL,
+}
