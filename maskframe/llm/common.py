@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,29 +130,54 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Separators between words: space and x09 to x0D. Every other byte has a fixed random 64-bit value.
-PLAIN = np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-PLAIN[[9, 10, 11, 12, 13, 32]] = 0
-#: The same with A-Z as a-z.
-FOLDED = PLAIN.copy()
-FOLDED[65:91] = PLAIN[97:123]
-
-
-def hashed_words(texts: list[bytes], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, first word of each text and the end): words are runs of bytes whose value isn't 0.
-
-    A word's hash is a polynomial of its bytes' values, taken from one running sum over all texts."""
-    data = np.frombuffer(b"\n".join([*texts, b""]) if texts else b"", np.uint8)
-    v = values[data]
-    inside = np.zeros(len(data) + 1, np.int8)
-    inside[1:] = v != 0
+def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of (x, y), elementwise. Each step is mixed, so no identity of sums or polynomials carries over to longer runs."""
+    t = x * MIX_A
+    t += y
+    t ^= t >> np.uint64(29)
+    t *= MIX_B
+    t ^= t >> np.uint64(32)
+    return t
+
+
+#: Separators between words: space and x09 to x0D.
+SEPARATES = np.zeros(256, bool)
+SEPARATES[[9, 10, 11, 12, 13, 32]] = True
+#: A-Z as a-z.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+#: The lower 0 to 8 bytes of a lane.
+LOWER = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+SHORT = 32
+
+
+def lanes(data: bytes | np.ndarray) -> np.ndarray:
+    """The 8 bytes from every position of ``data`` but the last 7 as a number: a view, without a copy."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
+
+
+def hashed_words(texts: list[bytes], fold: bool = False, seed: int = 0, separates: np.ndarray = SEPARATES) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, first word of each text and the end): words are runs of bytes that don't separate. With ``fold``,
+    A-Z count as a-z. A word is hashed by its length and its bytes, eight at a time, mixed after each eight."""
+    data = np.frombuffer(b"\n".join([*texts, b""]) + bytes(8), np.uint8)
+    if fold:
+        data = FOLD[data]
+    inside = np.zeros(len(data) - 8 + 1, np.int8)
+    inside[1:] = ~separates[data[:-8]]
     turn = np.diff(inside)
     start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    up, down = _power_table(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(v * up[: len(data)], out=sums[1:])
-    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return mixed((sums[end] - sums[start]) * down[start]), np.searchsorted(start, at)
+    length, eight = end - start, lanes(data)
+    h = mixed(length.astype(np.uint64) * STEP + np.uint64(seed))
+    which = np.arange(len(start))
+    for at in range(0, SHORT, 8):
+        which = which[(length[which] > at) & (length[which] <= SHORT)]
+        lane = eight[start[which] + at] & LOWER[np.minimum(length[which] - at, 8)]
+        h[which] = mixed(paired(h[which], lane))
+    for k in np.flatnonzero(length > SHORT).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), seed=seed)
+    ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return h, np.searchsorted(start, ends)
 
 
 def in_chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -166,27 +192,16 @@ def in_chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, in
         yield first, len(texts)
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(4096, 1 << (n - 1).bit_length())
-        base = 0x9E3779B97F4A7C15
-        for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            t = np.full(size, b, np.uint64)
-            t[0] = 1
-            _powers[name] = np.multiply.accumulate(t)
-    return _powers["up"], _powers["down"]
+def doubled(v: np.ndarray, have: int, length: int) -> np.ndarray:
+    """Hashes of all runs of ``length`` from those of all runs of ``have``: runs are paired to twice their length, and those
+    of a length in between are made of two that overlap."""
+    while 2 * have <= length:
+        v = paired(v[: max(0, len(v) - have)], v[have:])
+        have *= 2
+    rest = length - have
+    return paired(v[: max(0, len(v) - rest)], v[rest:]) if rest else v
 
 
 def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
     """64-bit hashes of all windows of ``length`` consecutive word hashes; equal windows have equal hashes."""
-    n = len(h) - length + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    up, down = _power_table(len(h) + 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=sums[1:])
-    return mixed((sums[length:] - sums[:n]) * down[:n])
+    return doubled(mixed(h), 1, length)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLDED, STEP, Scratch, hashed_words, in_chunks, mixed, table, window_hashes
+from .common import STEP, Scratch, hashed_words, in_chunks, mixed, table, window_hashes
 from .components import connected_components
 
 #: 30 bands of 6 slots find a pair of similarity 0.85 with chance 1 - 7e-7, one of 0.8 with 1 - 1e-4.
@@ -39,14 +39,14 @@ FEW, CHUNK = 40, 256
 def shingle_sets(texts: list[bytes], size: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted 64-bit hashes of the distinct shingles of its ASCII-lower-cased words."""
     for first, last in in_chunks(texts):
-        h, at = hashed_words(texts[first:last], FOLDED)
+        h, at = hashed_words(texts[first:last], fold=True)
         every = window_hashes(h, size)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             n = b - a
             if n >= size:
                 yield np.unique(every[a : b - size + 1])
             else:  # the whole sequence, told apart from longer shingles by its length
-                yield window_hashes(h[a:b], n) ^ np.uint64(n) if n else np.empty(0, np.uint64)
+                yield mixed(window_hashes(h[a:b], n) ^ np.uint64(n)) if n else np.empty(0, np.uint64)
 
 
 def superminhash(x: np.ndarray, slots: int) -> np.ndarray:

@@ -14,8 +14,9 @@ window at all), and takes no part in the levels, since the smallest id of its cl
 
 Defined cases: null and empty text: no words; fewer words than a window: nothing removed; a null id neither removes
 nor loses words; rows that share an id don't remove each other's words; an empty table gives an empty result; further
-columns are not read. The final windows are compared by two hashes of 64 bits from different values of the bytes, so that
-a chance collision is not to be expected among 1e15 of them; on earlier levels a collision only costs work.
+columns are not read. The final windows are compared by two hashes of 64 bits from words hashed with different seeds;
+words are hashed eight bytes at a time and windows by pairing halves, mixed after each step, so that no arrangement of equal
+letters or words makes sums meet. On earlier levels a collision only costs work.
 """
 
 from __future__ import annotations
@@ -30,12 +31,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN, Scratch, hashed_words, in_chunks, table, window_hashes
+from .common import Scratch, hashed_words, in_chunks, table, window_hashes
 
 WINDOW, LEAST = 50, 25
-#: Other values of the bytes, for the second hash.
-SECOND = np.random.default_rng(20250614).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-SECOND[PLAIN == 0] = 0
+#: Seed of the second hash.
+SECOND = 0x5DEECE66D
 
 
 def lengths_of(window: int) -> list[int]:
@@ -60,10 +60,10 @@ def anchors(short: np.ndarray, first: int, window: int) -> np.ndarray:
     return np.unique(len(short) - 1 - chosen)
 
 
-def levels(texts: list[bytes], lengths: list[int], values: np.ndarray = PLAIN) -> Iterator[list[np.ndarray]]:
+def levels(texts: list[bytes], lengths: list[int], seed: int = 0) -> Iterator[list[np.ndarray]]:
     """For each text the hashes of its windows of each length."""
     for first, last in in_chunks(texts):
-        h, at = hashed_words(texts[first:last], values)
+        h, at = hashed_words(texts[first:last], seed=seed)
         every = [(n, window_hashes(h, n)) for n in lengths]
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             yield [x[a : max(a, b - n + 1)] for n, x in every]
