@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, language, near_dedup, overlap_join, quality, substring_dedup, url_filter, vector_codes, warc
+from . import bpe, chat, decontaminate, exact_dedup, language, near_dedup, overlap_join, quality, substring_dedup, suffix_dedup, url_filter, vector_codes, warc
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         language.op10_language,
         vector_codes.op11_vector_codes,
         overlap_join.op12_overlap_join,
+        suffix_dedup.op13_suffix_dedup,
     )
 }
 
