@@ -2,7 +2,8 @@
 
 Session keys live in a table (as the two padded keys of HMAC), never in a plan. A value's token is the head of its
 HMAC; one value has one alias in a session. Where the aliases of two values of a session would be the same, or an alias
-stands in a text already, longer tokens are tried; a session without a free alias stops the query: masking fails closed.
+stands in a text already, longer tokens are tried. A row that cannot be masked (it was refused by the scan, its session is
+unknown or has too many values, no alias is free) is refused alone, with its reason and without a text: masking fails closed.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .detect import Rules, with_hits
+from .refused import Refused
 from .rules import STRENGTH
 from .scan import Finder
 from .structure import path_alias_of, url_alias_of
@@ -126,9 +128,7 @@ def _free(rows: pa.Table) -> pa.Table:
         if alias is None:
             profile = "prose_identifier" if r["taken"] and r["profile"] == "numeric" else r["profile"]
             tried = (alias_of(profile, r["entity_type"], r["fingerprint"][:n], r["value"]) for n in LENGTHS if n > LENGTHS[0] or not r["taken"] or profile != r["profile"])
-            alias = next((a for a in tried if a is not None and a not in used), None)
-            if alias is None:
-                raise ValueError("no free alias is left in a session")
+            alias = next((a for a in tried if a is not None and a not in used), None)  # None: the rows that hold the value are refused
             used.add(alias)
         if alias != r["alias"]:
             out.append((r["session_id"], r["fingerprint"], alias))
@@ -137,9 +137,10 @@ def _free(rows: pa.Table) -> pa.Table:
 
 
 def allocated(found: DataFrame, known: DataFrame | None = None, most: int = MAX_MAPPINGS) -> DataFrame | None:
-    """found(session_id, aliased) -> session_id, longer: map of fingerprint to alias, for values that cannot have the
-    alias of the shortest token or have another one already (known: session_id, fingerprint, alias). None if there are
-    none. Counts are aggregated before they are shuffled; only sessions with such values meet in a task."""
+    """found(session_id, aliased) -> session_id, longer, over: map of fingerprint to alias, for values that cannot have the
+    alias of the shortest token or have another one already (known: session_id, fingerprint, alias), null if none is free;
+    and whether the session has too many values. None if there are none. Counts are aggregated before they are shuffled; only
+    sessions with such values, at most ``most`` of them, meet in a task."""
     rank = F.create_map(*(F.lit(x) for pair in STRENGTH.items() for x in pair))
     rows = found.select("session_id", F.inline("aliased")).where(f"policy <> 'redacted' and alias <> '{REDACTED}'")
     rows = rows.groupBy("session_id", "fingerprint", "alias", "entity_type", "profile").agg(F.min("value").alias("value"), F.max("taken").alias("taken"), F.max(rank[F.col("policy")]).alias("rank"))
@@ -149,26 +150,25 @@ def allocated(found: DataFrame, known: DataFrame | None = None, most: int = MAX_
     else:
         others = known.select("session_id", "fingerprint", F.col("alias").alias("known"))
         rows = rows.join(others, ["session_id", "fingerprint"], "left")
-    over = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    if not over.isEmpty():
-        raise ValueError(f"a session has more than {most} values to map")
+    over = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("session_id")
     every = rows.select("session_id", "fingerprint", F.coalesce("known", "alias").alias("alias"), (F.col("taken") & F.col("known").isNull() | (F.col("known") != F.col("alias"))).alias("odd"))
     if others is not None:
         every = every.unionByName(others.select("session_id", "fingerprint", F.col("known").alias("alias"), F.lit(False).alias("odd")))
     clash = every.groupBy("session_id", "alias").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"), F.max("odd").alias("odd")).where("a <> b or odd")
-    sessions = clash.select("session_id").distinct()
+    sessions = clash.select("session_id").distinct().join(over, "session_id", "left_anti")
+    told = over.select("session_id", F.lit(None).cast("map<string,string>").alias("longer"), F.lit(True).alias("over"))
     if sessions.isEmpty():
-        return None
+        return None if over.isEmpty() else told
     columns = ("session_id", "fingerprint", "alias", "entity_type", "profile", "value", "taken", "known")
     own = rows.select(*columns)
     if others is not None:  # aliases of values that do not occur now are taken all the same
         rest = others.join(rows, ["session_id", "fingerprint"], "left_anti")
         own = own.unionByName(rest.select("session_id", "fingerprint", F.col("known").alias("alias"), *(F.lit("").alias(c) for c in ("entity_type", "profile", "value")), F.lit(False).alias("taken"), "known"))
     changed = own.join(sessions, "session_id", "left_semi").groupBy("session_id").applyInArrow(_free, "session_id string, fingerprint string, alias string")
-    return changed.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("fingerprint", "alias"))).alias("longer"))
+    return changed.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("fingerprint", "alias"))).alias("longer"), F.lit(False).alias("over")).unionByName(told)
 
 
-MASKED = "struct<masked:string,blocked_by:array<string>,aliases:array<struct<alias:string,value:string,entity_type:string,policy:string,fingerprint:string>>>"
+MASKED = "struct<masked:string,blocked_by:array<string>,aliases:array<struct<alias:string,value:string,entity_type:string,policy:string,fingerprint:string>>,error:string>"
 
 
 def masked_text(text: str, hits: list[dict]) -> str:
@@ -177,7 +177,7 @@ def masked_text(text: str, hits: list[dict]) -> str:
     values: dict[str, str] = {}
     for h in hits:
         if h["alias"] is None:
-            raise ValueError(f"no alias of the shape {h['profile']} can be made")
+            raise Refused("NO_ALIAS_SHAPE")
         values.setdefault(h["value"], h["alias"])
     finder, out, rest, at = Finder(values), [], [], 0
     for start, end, alias in [*((h["start"], h["end"], h["alias"]) for h in hits), (len(text), len(text), "")]:
@@ -191,21 +191,34 @@ def masked_text(text: str, hits: list[dict]) -> str:
         at = end
     left = "".join(rest)
     if any(v in left for v in values):
-        raise ValueError("an original value is left in the masked text")
+        raise Refused("ORIGINAL_LEFT")
     return "".join(out)
 
 
-def _masked(texts: pa.Array, rows: pa.Array, longer: pa.Array) -> pa.Array:
+def masked_row(text: str | None, hits: list[dict], changed: dict[str, str | None], error: str | None) -> dict:
+    """A row of MASKED; ``changed`` are aliases that differ from those of the hits, by fingerprint."""
+    for h in hits:
+        if h["policy"] == "redacted":
+            h["alias"] = REDACTED
+        elif h["fingerprint"] in changed:
+            h["alias"] = changed[h["fingerprint"]]
+            error = error or ("NO_FREE_ALIAS" if h["alias"] is None else None)
+    blocked = sorted({h["entity_type"] for h in hits if h["policy"] == "block"})
+    shown = None
+    if not blocked and not error:
+        try:
+            shown = masked_text(text, hits) if hits else text
+        except Refused as why:
+            error = why.code
+    return {"masked": shown, "blocked_by": [error] if error else blocked, "aliases": [{k: h[k] for k in ("alias", "value", "entity_type", "policy", "fingerprint")} for h in hits] if not error else [], "error": error}
+
+
+def _masked(texts: pa.Array, rows: pa.Array, longer: pa.Array, errors: pa.Array) -> pa.Array:
     out = []
-    for text, hits, more in zip(texts, rows.to_pylist(), longer.to_pylist(), strict=True):
-        text, changed = text.as_py(), dict(more or ())
-        for h in hits or ():
-            h["alias"] = changed.get(h["fingerprint"], h["alias"]) if h["policy"] != "redacted" else REDACTED
-        blocked = sorted({h["entity_type"] for h in hits or () if h["policy"] == "block"})
-        shown = None if text is None or blocked else masked_text(text, hits or []) if hits else text
-        out.append({"masked": shown, "blocked_by": blocked, "aliases": [{k: h[k] for k in ("alias", "value", "entity_type", "policy", "fingerprint")} for h in hits or ()]})
+    for text, hits, more, error in zip(texts, rows.to_pylist(), longer.to_pylist(), errors.to_pylist(), strict=True):
+        out.append(masked_row(text.as_py(), hits or [], dict(more or ()), error))
     string = pa.list_(pa.string())
-    kind = pa.struct([("masked", pa.string()), ("blocked_by", string), ("aliases", pa.list_(pa.struct([(n, pa.string()) for n in ("alias", "value", "entity_type", "policy", "fingerprint")])))])
+    kind = pa.struct([("masked", pa.string()), ("blocked_by", string), ("aliases", pa.list_(pa.struct([(n, pa.string()) for n in ("alias", "value", "entity_type", "policy", "fingerprint")]))), ("error", pa.string())])
     return pa.array(out, kind)
 
 
@@ -221,9 +234,11 @@ def mask(
     most: int = MAX_MAPPINGS,
     **options,
 ) -> DataFrame:
-    """df(keys, session_id, text) -> keys, session_id, masked, blocked_by, aliases(alias, value, entity_type, policy, fingerprint).
+    """df(keys, session_id, text) -> keys, session_id, masked, blocked_by, aliases(alias, value, entity_type, policy, fingerprint), error.
 
-    A row with a blocking entity has no masked text but the list of its blocking types; null text stays null. Aliases
+    A row with a blocking entity has no masked text but the list of its blocking types; null text stays null. A row that is
+    refused has no masked text either, the code in ``error`` (``refused.split_quarantine`` makes two tables) and alone in
+    ``blocked_by``; every row of ``df`` has one in the result. Aliases
     that the session has issued (``known``: what ``mappings`` tells) are kept for their values and are not looked into.
     With ``merge_surface_forms`` forms of a value that are equal when normalised share an alias. ``options`` are those
     of Scanner, and ``kind``. Rows and what is found in them are kept on the executors' disks (recomputed if lost, let go
@@ -234,14 +249,16 @@ def mask(
         issued = known.groupBy("session_id").agg(F.array_sort(F.collect_set("alias")).alias("__issued"))
         rows = rows.join(issued, "session_id", "left")
         options["issued"] = "__issued"
-    rows = with_hits(rows, text, rules, **options).join(sessions, "session_id")
-    found = rows.select(*keys, "session_id", text, _aliased(merge_surface_forms)(F.col(text), F.col("__hits"), F.col("inner_pad"), F.col("outer_pad")).alias("aliased")).persist(StorageLevel.DISK_ONLY)
+    rows = with_hits(rows, text, rules, **options).join(sessions, "session_id", "left")
+    error = F.when(F.col("inner_pad").isNull(), "NO_SESSION").otherwise(F.col("__error"))
+    hits = F.when(F.col("inner_pad").isNotNull(), F.col("__hits"))
+    found = rows.select(*keys, "session_id", text, error.alias("__error"), _aliased(merge_surface_forms)(F.col(text), hits, F.col("inner_pad"), F.col("outer_pad")).alias("aliased")).persist(StorageLevel.DISK_ONLY)
     longer = allocated(found, known, most)
     if longer is None:
         out = found.withColumn("longer", F.lit(None).cast("map<string,string>"))
     else:
-        out = found.join(longer, "session_id", "left")
-    return out.withColumn("__out", F.arrow_udf(_masked, MASKED)(F.col(text), F.col("aliased"), F.col("longer"))).select(*keys, "session_id", "__out.*")
+        out = found.join(longer, "session_id", "left").withColumn("__error", F.when(F.col("over"), "TOO_MANY_VALUES").otherwise(F.col("__error")))
+    return out.withColumn("__out", F.arrow_udf(_masked, MASKED)(F.col(text), F.col("aliased"), F.col("longer"), F.col("__error"))).select(*keys, "session_id", "__out.*")
 
 
 def mappings(masked: DataFrame) -> DataFrame:

@@ -100,13 +100,13 @@ SECRETS = (
     ("OAUTH_TOKEN", r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{10,}", "xox"),
     ("API_KEY", r"(?<![A-Za-z0-9])[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", "k_live_", "k_test_"),
     ("API_KEY", r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{35}", "AIza"),
-    ("OAUTH_TOKEN", r"(?<![A-Za-z0-9])npm_[A-Za-z0-9]{36}", "npm_"),
+    ("API_KEY", r"(?<![A-Za-z0-9])npm_[A-Za-z0-9]{36}", "npm_"),
     ("OAUTH_TOKEN", r"(?<![A-Za-z0-9])pypi-[A-Za-z0-9_-]{16,}", "pypi-"),
-    ("JWT", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ"),
-    ("PRIVATE_KEY", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "PRIVATE KEY"),
+    ("JWT", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}", "eyJ"),
+    ("PRIVATE_KEY", r"-----(BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----", "PRIVATE KEY"),
     ("DB_CONNECTION_STRING", r"(?<![A-Za-z])(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|redis|amqp)://[^\s:@/]+:[^\s@/]+@[^\s'\"]+", "://"),
     ("PASSWORD", r"(?<![A-Za-z])https?://([^\s:@/]+:[^\s@/]+)@", "://"),
-    ("GENERIC_SECRET", r"(?i)\b(?:password|passwd|pwd|secret|token|api_key|apikey|access_key|secret_key)\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,}={0,2})", "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key"),
+    ("GENERIC_SECRET", r"(?i)(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api_key|apikey|access_key|secret_key)\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,}={0,2})", "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key"),
 )
 IDENTIFIERS = (
     ("JP_PASSPORT_NUMBER", r"(?<![A-Za-z0-9])[A-Z]{2}\d{7}(?![A-Za-z0-9])", ("旅券", "パスポート", "passport", "旅券番号"), "prose_identifier", 0.9),
@@ -120,7 +120,7 @@ IDENTIFIERS = (
 
 def built_in(corporate: bool = False) -> list[Rule]:
     """The rules in the order in which detectors run."""
-    out = [Rule("secret_patterns", entity, pattern, 0.95, 220, "environment_reference", "env_reference", hints=tuple(hints), group=int("(" in re.sub(r"\\.|\(\?", "", pattern))) for entity, pattern, *hints in SECRETS]
+    out = [Rule("secret_patterns", entity, pattern, 0.95, 220, "environment_reference", "env_reference", hints=tuple(hints), group=int("(" in re.sub(r"\\.|\(\?", "", pattern)) if entity != "PRIVATE_KEY" else 0, extra={"finder": "blocks"} if entity == "PRIVATE_KEY" else {}) for entity, pattern, *hints in SECRETS]
     out += [
         Rule("formats", "EMAIL", DOMAIN, 0.95, 180, "email", "literal", hints=("@",), extra={"finder": "email"}),
         Rule("formats", "IP_ADDRESS", IPV4, 0.8, 165, "ipv4", "literal", check="ipv4"),

@@ -2,7 +2,12 @@
 
 It runs in Arrow batches on the executors: normal forms with offsets and a sorted sweep over all hits have no built-in
 expression, and a plan of one expression for each rule grows with the rules and folds over hits copy them again and
-again. A scanner is plain data until a worker first uses it.
+again. A scanner is plain data until a worker first uses it. A text that cannot be looked through is refused by itself:
+``scan_many`` tells (hits, None) or (none, code of ``refused``) for each text.
+
+Models see windows of all texts of a batch together. A window has at most ``window`` tokens where the model tells the places
+of its tokens, characters else; neighbours share ``shared`` of them, so that what is not longer lies whole in one window, and
+what two windows tell with the same span and type counts once, with the higher score.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -18,6 +24,7 @@ from typing import NamedTuple
 from maskframe.functions.checksums import CHECKS
 from maskframe.functions.normalize import mapped
 
+from .refused import Refused
 from .rules import DOMAIN, FLOOR, GUARDED, LOCAL, LOCAL_AFTER_MARK, MARKS, STRENGTH, UUID, Rule, Terms
 from .segments import CODE, runs, tiles
 
@@ -52,16 +59,46 @@ class Hit(NamedTuple):
 @dataclass(frozen=True)
 class Model:
     """An entity model: ``find(text)`` tells (start, end, entity type, score). It sees prose only (unless ``in_code``),
-    all parts of a text joined in one call."""
+    all parts of a text joined. In place of ``find``, ``load`` makes an object once in each worker process (told apart by
+    ``detector``) with ``find_many(texts)`` and, where its tokenizer tells them, ``offsets(text)``, the places of the tokens."""
 
     detector: str
-    find: Callable[[str], list[tuple[int, int, str, float]]]
+    find: Callable[[str], list[tuple[int, int, str, float]]] | None = None
     least: float = 0.7
     priority: int = 90
     in_code: bool = False
     #: words near which a PERSON keeps its full score; elsewhere it counts ``penalty`` of it
     words: tuple[str, ...] = ()
     penalty: float = 0.8
+    load: Callable[[], object] | None = None
+    #: tokens or characters of a window (None: the whole text), those shared by neighbours, and windows in one call
+    window: int | None = None
+    shared: int = 64
+    batch: int = 32
+    #: whether a text on which the model fails goes on without it; other detectors never may
+    fail_open: bool = False
+
+
+_loaded: dict[str, object] = {}
+
+
+def loaded(model: Model) -> object:
+    """What ``model`` loads, once in a process."""
+    if model.detector not in _loaded:
+        _loaded[model.detector] = model.load()
+    return _loaded[model.detector]
+
+
+def windows(text: str, size: int | None, shared: int, offsets: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """(start, end) in characters of the windows that cover a text, of at most ``size`` of its tokens (``offsets``) or characters."""
+    n = len(offsets) if offsets else len(text)
+    if not size or n <= size:
+        return [(0, len(text))] if text else []
+    out = []
+    for first in range(0, max(1, n - shared), size - shared):
+        last = min(first + size, n)
+        out.append((offsets[first][0], offsets[last - 1][1]) if offsets else (first, last))
+    return out
 
 
 class Finder:
@@ -116,25 +153,43 @@ def ideographic(value: str) -> bool:
 
 
 class Dictionary:
-    """The terms of one kind on a normal form."""
-
-    def __init__(self, terms: Terms):
-        self.ignore_case = terms.ignore_case
-        own = (lambda v: "".join(c.casefold() for c in v)) if terms.ignore_case else str
-        self.exact = Finder({own(v): None for v in terms.values})
-        spaced = {v: None for v in terms.values if terms.spaced and ideographic(v)}
-        self.spaced = Finder(spaced) if spaced else None
-
-    def spans(self, text: str) -> Iterator[tuple[int, int]]:
-        t, src = folded(text) if self.ignore_case else (text, None)
-        for a, b, _ in self.exact.all(t):
-            yield (a, b) if src is None else (src[a], src[b - 1] + 1)
-        if self.spaced and " " in text:
-            at = [k for k, c in enumerate(text) if c != " "]
-            for a, b, _ in self.spaced.all(text.replace(" ", "")):
-                start, end = at[a], at[b - 1] + 1
-                if end - start > b - a and all(at[k + 1] - at[k] <= 2 for k in range(a, b - 1)):
-                    yield start, end
+    """The terms of several kinds on a normal form: one automaton for those whose case counts and one for the others, and a
+    text is folded once for all of them."""
+
+    def __init__(self, kinds: list[tuple[int, Terms]]):
+        self.parts: list[tuple[bool, bool, Finder]] = []
+        for ignore_case in (False, True):
+            exact: dict[str, list[int]] = {}
+            spaced: dict[str, list[int]] = {}
+            for k, terms in kinds:
+                if terms.ignore_case == ignore_case:
+                    for v in terms.values:
+                        exact.setdefault("".join(c.casefold() for c in v) if ignore_case else v, []).append(k)
+                        if terms.spaced and ideographic(v):
+                            spaced.setdefault(v, []).append(k)
+            self.parts += [(ignore_case, blank, Finder(values)) for blank, values in ((False, exact), (True, spaced)) if values]
+
+    def spans(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(start, end, number of the kind)."""
+        low: tuple[str, list[int] | None] | None = None
+        for ignore_case, blank, finder in self.parts:
+            if blank:
+                if " " not in text:
+                    continue
+                at = [k for k, c in enumerate(text) if c != " "]
+                for a, b, v in finder.all(text.replace(" ", "")):
+                    start, end = at[a], at[b - 1] + 1
+                    if end - start > b - a and all(at[k + 1] - at[k] <= 2 for k in range(a, b - 1)):
+                        for k in finder.values[v]:
+                            yield start, end, k
+                continue
+            if ignore_case and low is None:
+                low = (text.lower(), None) if text.isascii() else folded(text)
+            t, src = low if ignore_case else (text, None)
+            for a, b, v in finder.all(t):
+                x, y = (a, b) if src is None else (src[a], src[b - 1] + 1)
+                for k in finder.values[v]:
+                    yield x, y, k
 
 
 _DOMAIN, _UUID, _DIGITS = re.compile(DOMAIN), re.compile(UUID), re.compile(r"\d\d|\d[年月日./ -]\d")
@@ -163,6 +218,17 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", max(at + 1, last))
 
 
+def blocks(marks: Iterator[re.Match]) -> Iterator[tuple[int, int]]:
+    """From each mark of a beginning to the next one of an end; beginnings in between belong to the block."""
+    start = None
+    for m in marks:
+        if m[1] == "BEGIN":
+            start = m.start() if start is None else start
+        elif start is not None:
+            yield start, m.end()
+            start = None
+
+
 def safety(h: Hit) -> int:
     return max(STRENGTH.get(h.policy, 0), STRENGTH[FLOOR.get(h.entity_type, "literal")])
 
@@ -220,6 +286,7 @@ class Scanner:
     resolve: bool = True
     least: float = 0.0
     guard: tuple[str, ...] = field(default=GUARDED)
+    max_chars: int | None = None
 
     @cached_property
     def _patterns(self) -> list[tuple[int, Rule, re.Pattern, tuple[str, ...], tuple[str, ...], bool, bool]]:
@@ -234,8 +301,8 @@ class Scanner:
         return out
 
     @cached_property
-    def _dictionaries(self) -> list[tuple[int, Terms, Dictionary]]:
-        return [(k, r, Dictionary(r)) for k, r in enumerate(self.rules) if isinstance(r, Terms)]
+    def _dictionary(self) -> Dictionary:
+        return Dictionary([(k, r) for k, r in enumerate(self.rules) if isinstance(r, Terms)])
 
     @cached_property
     def _models(self) -> list[tuple[int, Model]]:
@@ -255,8 +322,9 @@ class Scanner:
                 else:
                     continue
             if r.detector == "user_regex" and len(t) > MAX_PATTERN_CHARS:
-                raise ValueError("the text is too long for users' patterns")
-            found = addresses(t) if r.extra.get("finder") == "email" else (m.span(r.group) for m in pattern.finditer(t))
+                raise Refused("PATTERN_TEXT_TOO_LONG")
+            finder = r.extra.get("finder")
+            found = addresses(t) if finder == "email" else blocks(pattern.finditer(t)) if finder == "blocks" else (m.span(r.group) for m in pattern.finditer(t))
             check = CHECKS[r.check] if r.check else None
             for a, b in found:
                 if a == b or check and not check(t[a:b]):
@@ -270,58 +338,131 @@ class Scanner:
                     score = r.near if r.near and near else r.score
                 if score >= self.least:
                     yield a, b, r, score, k
-        for k, r, d in self._dictionaries:
-            for a, b in d.spans(t):
-                yield a, b, r, 1.0, k
+        for a, b, k in self._dictionary.spans(t):
+            yield a, b, self.rules[k], 1.0, k
 
-    def _part(self, text: str, issued: Finder | None) -> list[Hit]:
-        """Hits of the deterministic detectors in one part, in its own offsets."""
+    def _guarded(self, text: str) -> Iterator[tuple[int, int, str, Rule | Terms, float, int]]:
+        """(start, end, normal form, rule, score, ordinal) of the deterministic detectors, in the text's own offsets."""
         t, src, end = (text, None, None) if text.isascii() or unicodedata.is_normalized(self.form, text) else mapped(text, self.form)
-        out: dict[tuple, Hit] = {}
         uuids = [m.span() for m in _UUID.finditer(t)] if t.count("-") >= 4 else []
         starts = [a for a, _ in uuids]
         for a, b, r, score, k in self._matches(t):
             if uuids and r.detector in self.guard and (i := bisect_right(starts, a)) and b <= uuids[i - 1][1] and b - a < uuids[i - 1][1] - uuids[i - 1][0]:
                 continue
             x, y = (a, b) if src is None else (src[a], end[b - 1])
-            out.setdefault((r.detector, r.entity, x, y), Hit(x, y, text[x:y], t[a:b], r.entity, r.detector, score, r.priority, r.profile, r.policy, k))
+            yield x, y, t[a:b], r, score, k
+
+    def _part(self, text: str, issued: Finder | None) -> list[Hit]:
+        """Hits of the deterministic detectors in one part, in its own offsets."""
+        out: dict[tuple, Hit] = {}
+        for x, y, form, r, score, k in self._guarded(text):
+            out.setdefault((r.detector, r.entity, x, y), Hit(x, y, text[x:y], form, r.entity, r.detector, score, r.priority, r.profile, r.policy, k))
         found = list(out.values())
         if issued:
             found += [Hit(a, b, v, v, ALIAS_TYPE, "existing_alias", 1.0, 300, "prose_identifier", "literal", -1) for a, b, v in issued.longest_first(text)]
         return found
 
-    def _modelled(self, text: str, parts: list[tuple[int, int, str]]) -> Iterator[Hit]:
-        """Hits of the models: parts that they may see are joined by a blank line, and spans are clipped to each part."""
+    def _parts(self, text: str, kind: str) -> list[tuple[int, int, str]]:
+        if self.max_chars is not None and len(text) > self.max_chars:
+            raise Refused("TEXT_TOO_LONG")
+        return runs(tiles(text)) if self.segment and kind == "prose" else [(0, len(text), kind)]
+
+    def count(self, text: str | None, kind: str = "prose") -> Counter:
+        """How many hits of each entity type the deterministic detectors have, before they are settled."""
+        out: Counter = Counter()
+        for a, b, _ in self._parts(text, kind) if text else ():
+            spans = {(x, y, r.detector, r.entity) for x, y, _, r, _, _ in self._guarded(text[a:b])}
+            out.update(entity for _, _, _, entity in spans)
+        return out
+
+    def _told(self, model: Model, texts: list[str]) -> list[list[tuple[int, int, str, float]] | None]:
+        """What a model tells of each text, None where it fails. Windows of all texts go to it together; a call that fails
+        is made again window by window, so that only its own text suffers."""
+        own = loaded(model) if model.load else None
+        cut = [(i, a, b) for i, t in enumerate(texts) for a, b in windows(t, model.window, model.shared, own.offsets(t) if hasattr(own, "offsets") else None)]
+        many = own.find_many if own is not None else lambda some: [model.find(t) for t in some]
+        best: list[dict | None] = [{} for _ in texts]
+        for first in range(0, len(cut), model.batch):
+            some = cut[first : first + model.batch]
+            try:
+                found = many([texts[i][a:b] for i, a, b in some])
+            except Exception:  # noqa: BLE001 - whatever a model raises
+                found = []
+                for i, a, b in some:
+                    try:
+                        found += many([texts[i][a:b]])
+                    except Exception:  # noqa: BLE001
+                        found.append(None)
+            for (i, a, _), told in zip(some, found, strict=True):
+                if told is None:
+                    best[i] = None
+                elif best[i] is not None:
+                    for x, y, entity, score in told:
+                        key = (x + a, y + a, entity)
+                        best[i][key] = max(score, best[i].get(key, score))
+        return [None if b is None else [(*key, score) for key, score in sorted(b.items())] for b in best]
+
+    def _modelled(self, k: int, model: Model, texts: list[tuple[str, list[tuple[int, int, str]]]]) -> Iterator[list[Hit] | str]:
+        """For each text (with its parts) the hits of a model, or the code for which it is refused. Parts that the model may
+        see are joined by a blank line, and spans are clipped to each part."""
+        own = [[p for p in parts if model.in_code or p[2] not in CODE] for _, parts in texts]
+        joined = ["\n\n".join(text[a:b] for a, b, _ in parts) for (text, _), parts in zip(texts, own, strict=True)]
+        asked = [i for i, j in enumerate(joined) if j.strip() and len(j) <= MAX_MODEL_CHARS]
+        told = dict(zip(asked, self._told(model, [joined[i] for i in asked]), strict=True))
+        for i, (text, _) in enumerate(texts):
+            if len(joined[i]) > MAX_MODEL_CHARS:
+                yield "MODEL_TEXT_TOO_LONG"
+            elif (found := told.get(i, [])) is None:
+                yield [] if model.fail_open else "MODEL_FAILED"
+            else:
+                yield list(self._clipped(k, model, text, own[i], joined[i], found))
+
+    def _clipped(self, k: int, model: Model, text: str, parts: list[tuple[int, int, str]], joined: str, found: list) -> Iterator[Hit]:
+        at, places = 0, []
+        for a, b, _ in parts:
+            places.append((at, at + b - a, a))
+            at += b - a + 2
+        ends = [last for _, last, _ in places]
+        for x, y, entity, score in found:
+            near = not model.words or any(w in joined[max(0, x - 20) : y + 20] for w in model.words)
+            score *= model.penalty if entity == "PERSON" and not near else 1
+            if score < model.least:
+                continue
+            for first, last, start in places[bisect_right(ends, x) :]:
+                if first >= y:
+                    break
+                a, b = max(x, first) - first + start, min(y, last) - first + start
+                yield Hit(a, b, text[a:b], unicodedata.normalize(self.form, text[a:b]), entity, model.detector, float(score), model.priority, "prose_identifier", "literal", k)
+
+    def scan_many(self, texts: list[str | None], kinds: list[str | None] | None = None, issued: list[Finder | None] | None = None) -> list[tuple[list[Hit], str | None]]:
+        """(hits, None) for each text, or (none, code) for one that is refused."""
+        out: list[tuple[list[Hit], str | None]] = []
+        cut: list[list] = []
+        for i, text in enumerate(texts):
+            found: list[Hit] = []
+            parts, code = [], None
+            try:
+                parts = self._parts(text, kinds and kinds[i] or "prose") if text else []
+                for a, b, _ in parts:
+                    own = self._part(text[a:b], issued[i] if issued else None)
+                    if self.twice:
+                        own = resolved(own)
+                    found += [h._replace(start=h.start + a, end=h.end + a) for h in own] if a else own
+            except Refused as why:
+                found, code = [], why.code
+            except Exception:  # noqa: BLE001 - a detector that fails lets nothing through
+                found, code = [], "DETECTOR_FAILED"
+            out.append((found, code))
+            cut.append(parts)
         for k, model in self._models:
-            own = [p for p in parts if model.in_code or p[2] not in CODE]
-            joined = "\n\n".join(text[a:b] for a, b, _ in own)
-            if len(joined) > MAX_MODEL_CHARS:
-                raise ValueError("the text is too long for the model")
-            at, places = 0, []
-            for a, b, _ in own:
-                places.append((at, at + b - a, a))
-                at += b - a + 2
-            for x, y, entity, score in model.find(joined) if joined.strip() else ():
-                near = not model.words or any(w in joined[max(0, x - 20) : y + 20] for w in model.words)
-                score *= model.penalty if entity == "PERSON" and not near else 1
-                if score < model.least:
-                    continue
-                for first, last, start in places:
-                    a, b = max(x, first), min(y, last)
-                    if a < b:
-                        a, b = a - first + start, b - first + start
-                        yield Hit(a, b, text[a:b], unicodedata.normalize(self.form, text[a:b]), entity, model.detector, float(score), model.priority, "prose_identifier", "literal", k)
+            asked = [i for i, (_, code) in enumerate(out) if code is None and texts[i]]
+            for i, told in zip(asked, self._modelled(k, model, [(texts[i], cut[i]) for i in asked]), strict=True):
+                out[i] = ([], told) if isinstance(told, str) else (out[i][0] + told, None)
+        return [(resolved(found) if self.resolve else found, code) for found, code in out]
 
     def scan(self, text: str | None, kind: str = "prose", issued: Finder | None = None) -> list[Hit]:
-        if not text:
-            return []
-        parts = runs(tiles(text)) if self.segment and kind == "prose" else [(0, len(text), kind)]
-        found: list[Hit] = []
-        for a, b, _ in parts:
-            own = self._part(text[a:b], issued)
-            if self.twice:
-                own = resolved(own)
-            found += [h._replace(start=h.start + a, end=h.end + a) for h in own] if a else own
-        if self._models:
-            found += list(self._modelled(text, parts))
-        return resolved(found) if self.resolve else found
+        """The hits of one text; an error if it is refused."""
+        found, code = self.scan_many([text], [kind], [issued])[0]
+        if code:
+            raise Refused(code)
+        return found

@@ -27,9 +27,14 @@ def unquoted(literal: Column) -> Column:
 
 
 def strings(body: str) -> Column:
-    """array<struct<start, end, is_key, value>> of a JSON text column, in order."""
-    after = lambda s: F.substring(F.col(body), s["end"] + 1, F.lit(64))
-    return F.transform(find_spans(body, LITERAL), lambda s: F.struct(s["start"], s["end"], after(s).rlike(r"^[ \t\r\n]*:").alias("is_key"), unquoted(s["value"]).alias("value")))
+    """array<struct<start, end, is_key, value>> of a JSON text column, in order. A key's colon is found behind any blanks."""
+    found = find_spans(body, LITERAL + r"[ \t\r\n]*+:?")
+
+    def one(s: Column) -> Column:
+        literal = F.regexp_replace(s["value"], r"[ \t\r\n]*:?$", "")
+        return F.struct(s["start"], (s["start"] + F.length(literal)).alias("end"), s["value"].endswith(":").alias("is_key"), unquoted(literal).alias("value"))
+
+    return F.transform(found, one)
 
 
 def numbers(body: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.functions import checksums
-from maskframe.operators import detect, mask, rules, state
+from maskframe.operators import detect, mask, rules, scan, state
 
 from .engine_queries import LINES, lines_once
 
@@ -35,8 +37,8 @@ def detect_token_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.detections(documents(spark, sf_dir), ["doc_id", "lang"], "text", rules.built_in(), resolve=False)
-    return found.groupBy("lang", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    found = detect.entity_counts(documents(spark, sf_dir), ["lang"], "text", rules.built_in())
+    return found.groupBy("lang", "entity_type").agg(F.sum("n").alias("n"))
 
 
 def docs_blocked_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +84,32 @@ def mask_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each of some terms, which overlap one another, is in each document, whatever the case."""
     own = [rules.dictionary_rules({t: [t]}, ignore_case=True)[0] for t in TERMS]
-    found = detect.detections(documents(spark, sf_dir), ["doc_id"], "text", own, resolve=False, segment=False)
-    return found.groupBy("doc_id", F.col("entity_type").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    rows = documents(spark, sf_dir).withColumn("row", F.monotonically_increasing_id())
+    return detect.entity_counts(rows, ["doc_id", "row"], "text", own, segment=False).groupBy("doc_id", F.col("entity_type").alias("term")).agg(F.sum("n").alias("n"))
+
+
+#: The longest text that ``quarantined_documents`` looks through.
+LONGEST = 20_000
+
+
+def quarantined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under a limit of characters: the reason for which it is refused, or how many e-mail addresses it holds."""
+    found = detect.with_hits(documents(spark, sf_dir).select("doc_id", "text"), "text", [r for r in FORMATS if r.entity == "EMAIL"], error="error", max_chars=LONGEST)
+    return found.select("doc_id", "error", F.when(F.col("error").isNull(), F.size("__hits")).alias("n_hits"))
+
+
+class LongWords:
+    """A stand-in for a model that is loaded: runs of twelve or more ASCII letters."""
+
+    def find_many(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        return [[(m.start(), m.end(), "PROJECT_NAME", 0.9) for m in re.finditer("[A-Za-z]{12,}", t)] for t in texts]
+
+
+def model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model of 400 characters finds in every whole document, window by window."""
+    model = scan.Model("long_words", load=LongWords, window=400, shared=64)
+    found = detect.detections(documents(spark, sf_dir), ["doc_id"], "text", [model], segment=False)
+    return found.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +151,7 @@ QUERIES = {
     "detect_email": _of("EMAIL"),
     "detect_ipv4": _of("IP_ADDRESS"),
     "detect_card_luhn": _of("CREDIT_CARD"),
-    **{f.__name__: f for f in (detect_token_assignment, entity_counts_by_lang, docs_blocked_by_policy, mask_round_trip, mask_emails, mask_documents, dictionary_matches, resolve_overlaps, checksum_rules, alias_hmac, latest_wins_upsert)},
+    **{f.__name__: f for f in (detect_token_assignment, entity_counts_by_lang, docs_blocked_by_policy, mask_round_trip, mask_emails, mask_documents, dictionary_matches, quarantined_documents, model_windows, resolve_overlaps, checksum_rules, alias_hmac, latest_wins_upsert)},
 }
 
 EMAILS = r"""regexp_extract_all(text, '[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）぀-ゟ]+@[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）]+\.(?:[A-Za-z]{2,}|[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）.]{2,})')"""
@@ -135,7 +161,8 @@ IPS = r"""list_filter(regexp_extract_all(regexp_replace(text, '([^0-9.])', '\1\1
 #: Digits with one separator after each; what stands before and after a run is doubled, so that runs may share it.
 CARDS = r"""list_transform(regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])((?:[0-9](?:  |--)?){13,19})(?:$|[^0-9])', 1), lambda v: replace(replace(v, '  ', ' '), '--', '-'))"""
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(substr(d, i, 1) AS INTEGER) ELSE CAST(substr(d, i, 1) AS INTEGER) * 2 - CASE WHEN substr(d, i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
-_TOKEN = r"""(?i)\b(?:password|passwd|pwd|secret|token|api_key|apikey|access_key|secret_key)\s{0,3}[:=]\s{0,3}["'']?([A-Za-z0-9+/_.~-]{8,}={0,2})"""
+#: Nothing but a letter or digit may stand before a name; RE2 has no look-behind, so the character before is taken in.
+_TOKEN = r"""(?i)(?:^|[^A-Za-z0-9])(?:password|passwd|pwd|secret|token|api_key|apikey|access_key|secret_key)\s{0,3}[:=]\s{0,3}["'']?([A-Za-z0-9+/_.~-]{8,}={0,2})"""
 
 
 def _digits(value: str, weights: tuple[int, ...], first: int = 1) -> str:
@@ -158,6 +185,8 @@ _OVER = "o.start < s.stop AND s.start < o.stop"
 ORACLE_SQL = {
     "detect_email": f"SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest({EMAILS}) AS value FROM documents) GROUP BY ALL",
     "detect_ipv4": f"SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest({IPS}) AS value FROM documents) GROUP BY ALL",
+    "quarantined_documents": f"SELECT doc_id, CASE WHEN length(text) > {LONGEST} THEN 'TEXT_TOO_LONG' END AS error, CAST(CASE WHEN length(text) > {LONGEST} THEN NULL ELSE coalesce(len({EMAILS}), 0) END AS INTEGER) AS n_hits FROM documents",
+    "model_windows": "SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{12,}')) AS value FROM documents) GROUP BY ALL",
     "mask_round_trip": "SELECT doc_id, text FROM documents",
     "detect_token_assignment": f"SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}', 1)) AS value FROM documents",
     "detect_card_luhn": f"""SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, value, regexp_replace(value, '[ -]', '', 'g') AS d FROM (SELECT doc_id, unnest({CARDS}) AS value FROM documents)) WHERE {_LUHN} GROUP BY ALL""",

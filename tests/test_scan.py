@@ -135,14 +135,14 @@ def test_a_hundred_and_twenty_addresses_in_a_session(spark):
     known = mask.mappings(out)
     later = masked(spark, [(1, "s", "10.1.0.1 10.9.9.9 " + rows[1].masked)], known=known).cache()
     assert later.first().masked.split()[0] == aliases[0] and later.first().masked.endswith(rows[1].masked)
-    with pytest.raises(ValueError):
-        masked(spark, [(1, "s", text)], most=100)
+    few = {r.k: r for r in masked(spark, [(1, "s", text), (2, "s", "plain"), (3, "t", "10.1.0.1")], most=100).collect()}
+    assert all((few[k].masked, few[k].error, few[k].blocked_by) == (None, "TOO_MANY_VALUES", ["TOO_MANY_VALUES"]) for k in (1, 2)) and few[3].masked and few[3].error is None
 
 
-def test_sessions_without_a_free_alias_fail(spark):
+def test_values_without_a_free_alias_are_refused(spark):
     text = " ".join(f"10.{k // 200}.{k % 200}.9" for k in range(800))
-    with pytest.raises(Exception, match="no free alias"):
-        masked(spark, [(1, "s", text)]).collect()
+    got = {r.k: r for r in masked(spark, [(1, "s", text), (2, "s", "plain")]).collect()}
+    assert (got[1].masked, got[1].error, got[1].aliases) == (None, "NO_FREE_ALIAS", []) and (got[2].masked, got[2].error) == ("plain", None)
 
 
 def test_repeats_are_masked_in_one_pass_and_forms_may_share(spark):
