@@ -245,7 +245,7 @@ def encode_decode(
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     packed = scratch.save_bucketed(texts.mapInArrow(_blocks(spec, buckets, block_chars), PACKED), "blocks", "block", buckets)
     words = packed.where("kind = 'words'").select("bucket", "block", "places", "words")
-    ids = words.repartition(buckets, "bucket").select("block", "places", "words").mapInArrow(_encode(spec), "block long, places binary, ids binary")
+    ids = words.repartitionById(buckets, F.col("bucket").cast("int")).select("block", "places", "words").mapInArrow(_encode(spec), "block long, places binary, ids binary")
     of_docs = packed.where("kind = 'doc'").select("block", "ids", "places")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return of_docs.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined(spec, with_ids), schema)

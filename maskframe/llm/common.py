@@ -72,10 +72,12 @@ class Scratch:
         return self.save(df, name, 4 * self.spark.sparkContext.defaultParallelism)
 
     def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-        """As ``save``, laid out by the hash of ``key``: a later grouping by it over as many partitions needs no shuffle."""
+        """As ``save``, laid out by the hash of ``key``: a later grouping by it over as many partitions needs no shuffle. The
+        catalog knows the table only until its plan is made; what is read later are the files."""
         path, known = self.folder(name), f"maskframe_{uuid.uuid4().hex}"
         df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).option("path", path).saveAsTable(known)
         out = self.spark.table(known)
+        self.spark.sql(f"DROP TABLE {known}")
         out._maskframe_path = path
         return out
 

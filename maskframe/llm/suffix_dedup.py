@@ -240,6 +240,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept_bytes where some bytes went."""
+    gram_of(window)
     scratch = Scratch(spark, "suffix-dedup")
     texts = numbered(docs, id_col, text_col)
     kinds = "digit long, content long, id long, at long"

@@ -12,8 +12,7 @@ components, whatever the number of vectors) go to the driver and back to the tas
 
 Defined cases: rows are dropped whose vector is null, empty, holds a null or a value that isn't finite, has a length that
 isn't a multiple of ``parts``, another length than the smallest kept id's, or an integer of 2**62 or more; an error beyond
-2**63 - 1 is null; fewer vectors than ``entries`` make a
-smaller codebook; rows that share an id are told apart by their vectors in the first codebook, and each has its own code;
+2**63 - 1 is null, and so is a sum with or beyond it; fewer vectors than ``entries`` make a smaller codebook; rows that share an id are told apart by their vectors in the first codebook, and each has its own code;
 null ids come last there; null labels count as one label; an empty table gives an empty result; further columns are not read.
 """
 
@@ -163,7 +162,7 @@ def vector_codes(
     coded = scratch.save(kept.mapInArrow(_codes(books), shape), "codes")
     # a label is told from null by its first character, so that nulls have a key as well
     coded = coded.withColumn("key", F.when(F.col("label").isNull(), "").otherwise(F.concat(F.lit("="), F.col("label").cast("string"))))
-    labels = coded.groupBy("key").agg(F.try_sum("error").alias("label_error"))
+    labels = coded.groupBy("key").agg(F.when(F.count("error") == F.count(F.lit(1)), F.try_sum("error")).alias("label_error"))
     return join_each(coded, labels, "key").select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import plain_contamination
+
 from maskframe.llm import common, decontaminate, language, quality, url_filter
 
 SF = "/root/testdata/sf0.001"
@@ -163,23 +165,44 @@ def test_blocks_of_the_benchmark_change_nothing(spark, block_items):
     assert kept.columns == docs.columns and sorted(r.text or "" for r in kept.collect()) == sorted(t or "" for t in (rows[4][1], rows[5][1]))
 
 
-def test_decontamination_of_every_document_equals_the_checks_over_all_windows(spark):
+def test_decontamination_of_every_document_equals_a_plain_version(spark):
     docs, benchmark = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "benchmark"))
-    idf, _ = decontaminate.inverse_frequencies(docs.selectExpr("doc_id as id", "text"))
-    found = [p for r in benchmark.collect() for p in decontaminate.passages(r.item_id, decontaminate.words_of([r.text])[0], idf)]
+    rows = docs.select("doc_id", "text").collect()
+    found = plain_contamination.passages_of([tuple(r) for r in benchmark.select("item_id", "text").collect()], [r.text for r in rows])
     got = {r.doc_id: r for r in decontaminate.op4_decontaminate(spark, SF).collect()}
-    assert len(got) == docs.count()
-    for r in docs.select("doc_id", "text").collect():
-        h, best = decontaminate.words_of([r.text])[0], (1.0, None)
-        here = set(h.tolist())
-        for p in found:
-            if len(p.rare & here) < 0.5 * len(p.rare):
-                continue  # no window can hold more of them
-            size = next(s for s, longest, _ in decontaminate.SCALES if len(p.words) <= longest)
-            for start in range(max(0, len(h) - size) + 1):
-                told = decontaminate.confirmed(h, p, start, size, 0.6, 0.5)
-                best = min(best, (-told[0], p.item)) if told else best
-        assert (got[r.doc_id].contaminated, got[r.doc_id].item_id) == (best[1] is not None, best[1])
+    assert len(got) == len(rows)
+    for r in rows:
+        best = plain_contamination.matches(plain_contamination.words_of(r.text), found)
+        own = got[r.doc_id]
+        assert own.contaminated == bool(best) and (own.item_id in best if best else own.item_id is own.found_by is None)
+
+
+def test_the_sample_of_the_fit_works_at_every_size(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id as id", "text")
+    idf, n = decontaminate.inverse_frequencies(docs)
+    assert [decontaminate.least_hash(10_000, k) for k in (10_000, 20_000)] == [1 << 63, 0] and decontaminate.least_hash(10_000, 50_000_000_000) > -(1 << 63) + 10**12
+    with pytest.raises(RuntimeError, match="empty"):
+        decontaminate.latent_directions(spark, docs, idf, 10, 50_000_000_000)
+    # a count as large as that, of which these rows are told to be a part: the fit sees some of them
+    assert decontaminate.latent_directions(spark, docs, idf, 10_000_000_000, 50_000_000_000).std() > 0
+
+
+def test_swapped_halves_and_changed_words_are_found(spark):
+    rng = random.Random(12)
+    items = [words(n, rng) for n in (20, 30, 45, 60)]
+    texts = []
+    for k, w in enumerate(items):
+        h = len(w) // 2
+        for own in (w[h:] + w[:h], [words(1, rng)[0] if i % 6 == 5 else x for i, x in enumerate(w)]):
+            texts.append((k, " ".join(words(70, rng) + own + words(50, rng))))
+    texts += [(-1, " ".join(words(150, rng))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.search(spark, docs, benchmark).collect()}
+    assert all((got[i].item_id, got[i].contaminated) == ((k, True) if k >= 0 else (None, False)) for i, (k, _) in enumerate(texts))
+    # without the cosine search the same documents are told, by the rare words
+    other = {r.doc_id: r for r in decontaminate.search(spark, docs, benchmark, cosine=9.0).collect()}
+    assert {r.found_by for r in other.values()} == {None, "rare_words"} and all(other[i].contaminated == got[i].contaminated for i in got)
 
 
 def test_scratch_needs_a_shared_folder_on_clusters(spark):

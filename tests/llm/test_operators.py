@@ -112,6 +112,7 @@ def test_bpe_against_the_library(spark, docs, nothing):
     got = bpe.encode_decode(spark, every, bpe.default_tokenizer(), with_ids=True, block_chars=3000).collect()
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_tokens, r.ids, r.decoded)) for r in got)
     assert bpe.encode_decode(spark, nothing, bpe.default_tokenizer()).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("maskframe_")]
 
 
 def test_chat_round_trip(spark):

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from maskframe.llm import bpe, decontaminate, quality
+import plain_contamination
+
+from maskframe.llm import bpe, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,25 +79,9 @@ def plain_near(rows):
 
 def plain_clean(spark, rows, d):
     """Frequencies are those of the stage's input."""
-    texts = spark.createDataFrame(rows, "id long, text string")
-    idf, _ = decontaminate.inverse_frequencies(texts)
-    found = [p for r in spark.read.parquet(f"{d}/benchmark.parquet").collect() for p in decontaminate.passages(r.item_id, decontaminate.words_of([r.text])[0], idf)]
-    out = []
-    for k, t in rows:
-        h = decontaminate.words_of([t])[0]
-        here = set(h.tolist())
-        sizes = {p.words and next(s for s, longest, _ in decontaminate.SCALES if len(p.words) <= longest) for p in found}
-        assert sizes
-        held = any(
-            decontaminate.confirmed(h, p, s, size, 0.6, 0.5)
-            for p in found
-            if len(p.rare & here) >= 0.5 * len(p.rare)
-            for size in [next(z for z, longest, _ in decontaminate.SCALES if len(p.words) <= longest)]
-            for s in range(max(0, len(h) - size) + 1)
-        )
-        if not held:
-            out.append((k, t))
-    return out
+    items = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()]
+    found = plain_contamination.passages_of(items, [t for _, t in rows])
+    return [(k, t) for k, t in rows if not plain_contamination.matches(plain_contamination.words_of(t), found)]
 
 
 def test_every_stage_and_the_whole_equal_plain_versions(spark, folder):

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+import plain_contamination
+
 from maskframe.llm import decontaminate, url_filter
 
 
@@ -23,19 +25,15 @@ def test_decontamination_equals_the_checks_over_all_windows(spark):
     texts = docs.selectExpr("doc_id as id", "text")
     idf, _ = decontaminate.inverse_frequencies(texts)
     found = [p for k, w in enumerate(items) for p in decontaminate.passages(k, decontaminate.words_of([" ".join(w)])[0], idf)]
-    expected = {}
-    for k, text in rows:
-        h, best = decontaminate.words_of([text])[0], (1.0, None)
-        for p in found:
-            size = next(s for s, longest, _ in decontaminate.SCALES if len(p.words) <= longest)
-            for start in range(max(0, len(h) - size) + 1):
-                told = decontaminate.confirmed(h, p, start, size, 0.6, 0.5)
-                best = min(best, (-told[0], p.item)) if told else best
-        expected[k] = (best[1], None if best[1] is None else -best[0])
+    plain = [(p.item, p.words, set(p.rare)) for p in found]
+    expected = {k: plain_contamination.matches(decontaminate.words_of([text])[0].tolist(), plain) for k, text in rows}
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
-    got = {r.doc_id: (r.item_id, r.lcs) for r in decontaminate.search(spark, docs, benchmark).collect()}
-    assert {k for k, x in got.items() if x[0] is None} == {k for k, x in expected.items() if x[0] is None}
-    assert got == expected and sum(x is not None for x, _ in expected.values()) > 100
+    for cosine in (0.45, 9.0):  # the second is never met, so that the rare words decide alone
+        got = {r.doc_id: r for r in decontaminate.search(spark, docs, benchmark, cosine=cosine).collect()}
+        assert {k for k, r in got.items() if r.contaminated} == {k for k, x in expected.items() if x}
+        assert all(r.item_id in expected[k] for k, r in got.items() if r.contaminated)
+        assert all(expected[k][r.item_id] == max(expected[k].values()) for k, r in got.items() if r.found_by == "rare_words")
+    assert sum(map(bool, expected.values())) > 100
 
 
 def test_clean_drops_contaminated_rows_alone_whatever_their_ids(spark):
