@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .by_session import with_session_pairs
 from .detect import Rules
-from .mask import mask, replaced
+from .mask import aliases_of, mask, replaced
 from .scan import Finder
 
 # Names of the wire formats, and the limit of a body.
@@ -263,34 +264,30 @@ def instructed(body: Column, shape: Column, known_aliases: Column, instruction:
 
 
 def _restored(trusted: tuple[str, ...]):
-    def run(bodies: pa.Array, shapes: pa.Array, maps: pa.Array) -> pa.Array:
-        out = []
-        for body, shape, pairs in zip(bodies.to_pylist(), shapes.to_pylist(), maps.to_pylist(), strict=True):
-            node = loaded(body) if pairs and shape in RESPONSES else None
-            if not isinstance(node, dict):
-                out.append(body)
-                continue
-            values = dict(pairs)
-            finder = Finder(values)
-            texts, calls, arguments = RESPONSES[shape]
-            for path, _, text in list(strings_at(node, paths_of(texts))):
-                node = put(node, path, replaced(text, finder, values))
-            for call in node[calls] if isinstance(node.get(calls), list) else ():
-                if isinstance(call, dict) and call.get("name") in trusted:  # an unknown name is not trusted
-                    for path, _, text in list(strings_at(call, paths_of([(arguments, "text")]))):
-                        put(call, path, replaced(text, finder, values))
-            out.append(json.dumps(node, ensure_ascii=False))
-        return pa.array(out, pa.string())
-
-    return run
+    def one(own: tuple[Finder, dict[str, str]] | None, body: str, row: dict) -> str:
+        shape = row["shape"]
+        node = loaded(body) if own and shape in RESPONSES else None
+        if not isinstance(node, dict):
+            return body
+        texts, calls, arguments = RESPONSES[shape]
+        for path, _, text in list(strings_at(node, paths_of(texts))):
+            node = put(node, path, replaced(text, *own))
+        for call in node[calls] if isinstance(node.get(calls), list) else ():
+            if isinstance(call, dict) and call.get("name") in trusted:  # an unknown name is not trusted
+                for path, _, text in list(strings_at(call, paths_of([(arguments, "text")]))):
+                    put(call, path, replaced(text, *own))
+        return json.dumps(node, ensure_ascii=False)
+
+    return one
 
 
 def restore_bodies(df: DataFrame, known: DataFrame, keys: list[str], trusted: tuple[str, ...] = ()) -> DataFrame:
     """df(keys, session_id, shape, body) of responses -> with literal aliases restored in their texts, and in the
-    arguments of calls to the ``trusted`` tools (exact names) alone."""
-    maps = known.where("policy = 'literal'").groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("alias", "value"))).alias("__values"))
-    out = df.join(maps, "session_id", "left")
-    return out.select(*keys, "session_id", "shape", F.arrow_udf(_restored(trusted), "string")(F.col("body"), F.col("shape"), F.col("__values")).alias("body"))
+    arguments of calls to the ``trusted`` tools (exact names) alone. A session's aliases go once to each part of its rows."""
+    pairs = known.where("policy = 'literal'").select("session_id", F.col("alias").alias("first"), F.col("value").alias("second"))
+    rows = df.select(*dict.fromkeys([*keys, "session_id", "shape", "body"]))
+    out = with_session_pairs(rows, pairs, "body", aliases_of, _restored(trusted), "__body", "string")
+    return out.select(*keys, "session_id", "shape", F.col("__body").alias("body"))
 
 
 def restores_arguments(name: Column, trusted: tuple[str, ...]) -> Column:

@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .by_session import with_session_pairs
 from .detect import Rules, with_hits
 from .refused import Refused
 from .rules import STRENGTH
@@ -285,29 +284,17 @@ def replaced(text: str, finder: Finder, values: dict[str, str]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _restored(texts: pa.Array, maps: pa.Array) -> pa.Array:
-    last: tuple | None = None
-
-    def rows() -> Iterator[str | None]:
-        nonlocal last
-        for text, pairs in zip(texts, maps, strict=True):
-            text, pairs = text.as_py(), pairs.as_py()
-            if not text or not pairs:
-                yield text
-                continue
-            if last is None or last[0] != pairs:
-                last = (pairs, Finder(dict(pairs)), dict(pairs))
-            yield replaced(text, *last[1:])
-
-    return pa.array(list(rows()), pa.string())
+def aliases_of(values: dict[str, str]) -> tuple[Finder, dict[str, str]]:
+    return Finder(dict(values)), dict(values)
 
 
 def restore(df: DataFrame, known: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, session_id, restored: aliases of literal policy in ``text`` become their values again. A session's aliases,
-    at most MAX_MAPPINGS, meet in one map that is joined to its rows, so rows need no key of their own."""
-    maps = known.where("policy = 'literal'").groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("alias", "value")))).alias("__values"))
-    out = df.join(maps, "session_id", "left")
-    return out.select(*keys, "session_id", F.arrow_udf(_restored, "string")(F.col(text), F.col("__values")).alias("restored"))
+    """keys, session_id, restored: aliases of literal policy in ``text`` become their values again. A session's aliases go
+    once to each part of its rows (``by_session``), and rows need no key of their own."""
+    pairs = known.where("policy = 'literal'").select("session_id", F.col("alias").alias("first"), F.col("value").alias("second"))
+    rows = df.select(*dict.fromkeys([*keys, "session_id", text]))
+    out = with_session_pairs(rows, pairs, text, aliases_of, lambda own, t, _: replaced(t, *own) if own and t else t, "restored", "string")
+    return out.select(*keys, "session_id", "restored")
 
 
 def with_instruction(text: Column, known_aliases: Column, instruction: str) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.functions.spans import overlap
 
 #: Routes and what they are counted as.
 ROUTES = {"/responses": "openai", "/v1/responses": "openai", "/models": "openai", "/v1/models": "openai", "/messages": "anthropic", "/v1/messages": "anthropic", "/health": "admin", "/ready": "admin"}
@@ -74,22 +79,54 @@ def scores(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """entity_type, tp, fp, fn, precision, recall, f1 of gold and found (keys, entity_type, start, end).
 
     Within a document and type a found span serves one gold span: gold spans by start take the first free found span
-    that overlaps. Without anything found (or wanted) precision (or recall) is 1."""
-    spans = "array<struct<start:int,end:int>>"
-    side = lambda df, name: df.groupBy(*keys, "entity_type").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias(name))
-    both = side(gold, "__gold").join(side(found, "__found"), [*keys, "entity_type"], "full")
-    empty = F.array().cast(spans)
-    both = both.withColumns({"__gold": F.coalesce("__gold", empty), "__found": F.coalesce("__found", empty)})
-    free = F.transform("__found", lambda f, i: F.struct(i.alias("i"), f["start"].alias("start"), f["end"].alias("end")))
-
-    def take(acc: Column, g: Column) -> Column:
-        first = F.try_element_at(F.filter(acc["free"], lambda f: overlap(f, g)), F.lit(1))
-        rest = F.filter(acc["free"], lambda f: first.isNull() | (f["i"] != first["i"]))
-        return F.struct(rest.alias("free"), (acc["tp"] + first.isNotNull().cast("int")).alias("tp"))
-
-    rows = both.withColumn("tp", F.aggregate("__gold", F.struct(free.alias("free"), F.lit(0).alias("tp")), take)["tp"])
-    total = rows.groupBy("entity_type").agg(F.sum("tp").alias("tp"), F.sum(F.size("__found") - F.col("tp")).alias("fp"), F.sum(F.size("__gold") - F.col("tp")).alias("fn"))
-    return with_shares(total)
+    that overlaps. Without anything found (or wanted) precision (or recall) is 1. Spans without a start or an end match
+    nothing. A document's spans pass through a task in the order of their starts, and only those that may still match are
+    held, so that documents of any number of spans are matched in linear time."""
+    side = lambda df, found: df.select(*keys, "entity_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(found).alias("__found"))
+    rows = side(gold, False).unionByName(side(found, True))
+    own = [*keys, "entity_type"]
+    dealt = rows.withColumn("__of", F.to_json(F.struct(*own))).repartition("__of").sortWithinPartitions("__of", "start", "end", "__found")
+    told = dealt.select("__of", "entity_type", "start", "end", "__found").mapInArrow(_matched, "entity_type string, tp long, n_found long, n_gold long")
+    total = told.groupBy("entity_type").agg(*(F.sum(c).alias(c) for c in ("tp", "n_found", "n_gold")))
+    return with_shares(total.select("entity_type", "tp", (F.col("n_found") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn")))
+
+
+def matches(rows: Iterator[tuple[int | None, int | None, bool]]) -> tuple[int, int, int]:
+    """(matched, found, gold) of one document's spans (start, end, whether found), sorted."""
+    gold: deque[tuple[int, int]] = deque()
+    free: deque[tuple[int, int]] = deque()
+    tp = found = wanted = 0
+
+    def settle() -> int:
+        start, end = gold.popleft()
+        while free and free[0][1] <= start:
+            free.popleft()  # ends before this gold span and all later ones begin
+        if free and free[0][0] < end:
+            free.popleft()
+            return 1
+        return 0
+
+    for start, end, is_found in rows:
+        found, wanted = found + is_found, wanted + (not is_found)
+        if start is None or end is None:
+            continue
+        while gold and gold[0][1] <= start:  # all found spans that begin before its end are known
+            tp += settle()
+        (free if is_found else gold).append((start, end))
+    while gold:
+        tp += settle()
+    return tp, found, wanted
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[str | None, list[int]] = {}
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("__of", "entity_type", "start", "end", "__found")), strict=True))
+    for (_, entity), own in groupby(rows, itemgetter(0, 1)):
+        cells = total.setdefault(entity, [0, 0, 0])
+        for k, n in enumerate(matches(itemgetter(2, 3, 4)(r) for r in own)):
+            cells[k] += n
+    names = ("tp", "n_found", "n_gold")
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array([c[k] for c in total.values()], pa.int64()) for k in range(3))], names=["entity_type", *names])
 
 
 def fuzzy_windows(df: DataFrame, keys: list[str], text: str, size: int = 400, shared: int = 64) -> DataFrame:

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.functions.spans import find_spans
 
-from .detect import Known, detections
+from .by_session import with_session_pairs
+from .detect import detections
 from .rules import Rule
 from .scan import Finder, folded
 
@@ -78,22 +78,18 @@ def payload_leaks(df: DataFrame, keys: list[str], body: str, rules: list[Rule],
 
 def registered_leaks(df: DataFrame, keys: list[str], body: str, registered: DataFrame, ignore_case: bool = False) -> DataFrame:
     """df(keys, session_id, body) -> keys, kind, value: the session's registered originals, registered(session_id, value),
-    that any key, string or number of a payload still holds. A session registers a bounded number of values; they meet in
-    one list that is joined to its payloads."""
-    known = registered.groupBy("session_id").agg(F.array_sort(F.collect_set("value")).alias("__known"))
-    texts = leaves(df.join(known, "session_id").select(*keys, "__known", body), [*keys, "__known"], body, with_numbers=True)
-
-    @F.arrow_udf("array<string>")
-    def held(values: pa.Array, lists: pa.Array) -> pa.Array:
-        finders, out = Known(), []
-        for text, own in zip(values.to_pylist(), lists.to_pylist(), strict=True):
-            if ignore_case:
-                text, own = folded(text or "")[0], [folded(v)[0] for v in own]
-            finder: Finder | None = finders(own)
-            out.append(sorted({v for _, _, v in finder.all(text or "")}) if finder else [])
-        return pa.array(out, pa.list_(pa.string()))
-
-    return texts.select(*keys, "kind", F.explode(held("value", "__known")).alias("value"))
+    that any key, string or number of a payload still holds. The values go once to each part of a session's payloads."""
+    pairs = registered.select("session_id", F.col("value").alias("first"), F.lit("").alias("second"))
+    own = list(dict.fromkeys([*keys, "session_id"]))
+    texts = leaves(df.select(*own, body), own, body, with_numbers=True)
+
+    def finder(values: dict[str, str]) -> Finder:
+        return Finder(dict.fromkeys(folded(v)[0] if ignore_case else v for v in values if v))
+
+    def held(values: Finder | None, text: str, _: dict) -> list[str]:
+        return sorted({v for _, _, v in values.all(folded(text)[0] if ignore_case else text)}) if values else []
+
+    return with_session_pairs(texts, pairs, "value", finder, held, "__held", "array<string>").select(*keys, "kind", F.explode("__held").alias("value"))
 
 
 def header_leaks(df: DataFrame, keys: list[str], headers: Column, rules: list[Rule]) -> DataFrame:
