@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.streaming import bindings
+from maskframe.streaming import bindings, relay
 from maskframe.streaming.mask import ROCKSDB, mask_stream
 from maskframe.streaming.shared import folder, run_to_end
 
@@ -49,7 +49,35 @@ def bindings_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bindings.resolved(bindings.uses(events, "user_id", "at", "event_id", "session"), IDLE_US).select(F.col("order").alias("event_id"), F.col("session_key"))
 
 
-QUERIES = {f.__name__: f for f in (mask_stream_emails, bindings_resolved)}
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a frame of a connection: eight in a row are one, each fourth asks or ends, the others are by type."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    place = F.pmod(F.col("event_id"), F.lit(8))
+    kind = (
+        F.when(place.isin(0, 4), "response.create")
+        .when(place.isin(3, 7) & (F.col("event_type") != "signup"), "response.completed")
+        .when(F.col("event_type") == "purchase", "session.update")
+        .when(F.col("event_type") == "error", "responsesapi.websocket_timing")
+        .otherwise("response.output_text.delta")
+    )
+    fields = F.concat(
+        F.lit('{"type": "'), kind, F.lit('", "props": '), "props",
+        F.when(place.isin(0, 4) & (F.col("user_id") % 5 == 0), F.concat(F.lit(', "previous_response_id": "r'), "user_id", F.lit('"'))).otherwise(""),
+        F.when(place.isin(3, 7) & (F.col("event_id") % 3 == 0), ', "status": 499').otherwise(""),
+        F.when(place.isin(0, 4) & (F.col("user_id") % 17 == 0), ', "stream": false').otherwise(""),
+        F.lit("}"),
+    )
+    message = F.when(F.col("user_id") % 29 == 1, F.lit(None)).when(F.col("user_id") % 29 == 2, "[1]").when(F.col("user_id") % 29 == 3, '{"type"').otherwise(fields)
+    direction = F.when(kind.isin("response.create", "session.update"), "client").otherwise("server")
+    return events.select(F.floor(F.col("event_id") / 8).alias("connection"), F.col("event_id").alias("seq"), direction.alias("direction"), message.alias("message"), F.lit("s0").alias("session_key"), F.concat(F.lit("s"), F.col("user_id") % 2).alias("bound"), (F.col("value") > 60).alias("leaks"))
+
+
+def relayed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each of these frames."""
+    return relay.relayed(event_frames(spark, sf_dir)).select("connection", "seq", "action", "answer", "code", "status", "closed_with")
+
+
+QUERIES = {f.__name__: f for f in (mask_stream_emails, bindings_resolved, relayed_frames)}
 
 ORACLE_SQL = {
     "mask_stream_emails": f"""SELECT doc_id, list_reduce(list_prepend(text, list_sort(list_distinct({EMAILS}))), lambda t, v: replace(t, v, 'mf-user-' || substr({_hmac("i", "o", "encode(v || chr(0) || 'EMAIL' || chr(0) || 'email')")}, 1, 12) || '@example.invalid')) AS masked, CAST(NULL AS VARCHAR) AS error
@@ -59,4 +87,17 @@ ORACLE_SQL = {
         r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM g)
       SELECT event_id, (SELECT arg_max(b.session, (b.us, b.event_id)) FROM r AS b WHERE b.user_id = r.user_id AND b.run = r.run AND b.session IS NOT NULL AND (b.us, b.event_id) < (r.us, r.event_id)) AS session_key FROM r WHERE session IS NULL
       UNION ALL SELECT event_id, NULL FROM e WHERE (user_id IS NULL OR us IS NULL) AND session IS NULL""",
+    "relayed_frames": """WITH e AS (SELECT event_id AS seq, event_id // 8 AS connection, event_id % 8 AS place, user_id % 29 AS odd, user_id, value, event_type FROM events),
+        k AS (SELECT *, CASE WHEN place IN (0, 4) THEN 'ask' WHEN place IN (3, 7) AND event_type <> 'signup' THEN 'end' WHEN event_type = 'purchase' THEN 'other' WHEN event_type = 'error' THEN 'own' ELSE 'piece' END AS kind FROM e),
+        f AS (SELECT *, kind IN ('ask', 'other') AS client, CASE WHEN odd IN (1, 2, 3) THEN NULL WHEN kind = 'ask' THEN 1 WHEN kind = 'end' THEN 0 END AS turn FROM k),
+        s AS (SELECT *, coalesce(last_value(turn IGNORE NULLS) OVER w, 0) AS busy, coalesce(sum(turn) OVER w, 0) AS asked FROM f WINDOW w AS (PARTITION BY connection ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        c AS (SELECT *, CASE WHEN client THEN CASE WHEN odd = 1 THEN 'binary_message_not_supported' WHEN odd = 2 THEN 'invalid_body' WHEN odd = 3 THEN 'invalid_json' WHEN kind = 'ask' AND user_id % 17 = 0 THEN 'invalid_websocket_field'
+            WHEN kind = 'ask' AND busy = 1 THEN 'response_in_progress' WHEN kind = 'ask' AND user_id % 5 = 0 AND user_id % 2 = 1 THEN 'session_unresolved' WHEN value > 60 THEN 'blocked' END
+          ELSE CASE WHEN odd = 1 THEN 'invalid_upstream_message' WHEN odd IN (2, 3) THEN 'invalid_upstream_json' WHEN busy = 1 THEN NULL WHEN kind <> 'own' THEN 'unexpected_upstream_event' WHEN value > 60 THEN 'blocked' END END AS wrong FROM s),
+        m AS (SELECT *, min(CASE WHEN wrong IS NOT NULL THEN seq END) OVER (PARTITION BY connection) AS closed FROM c)
+      SELECT connection, seq, CASE WHEN seq > closed THEN 'drop' WHEN seq = closed THEN 'close' ELSE 'pass' END AS action,
+        CASE WHEN coalesce(seq < closed, true) AND (busy = 1 OR turn = 1) THEN CAST(asked + CASE WHEN busy = 1 THEN 0 ELSE 1 END AS BIGINT) END AS answer,
+        CASE WHEN seq = closed THEN wrong END AS code,
+        CASE WHEN seq = closed THEN CASE WHEN wrong IN ('response_in_progress', 'session_unresolved') THEN 409 WHEN wrong LIKE '%upstream%' THEN 502 ELSE 400 END WHEN coalesce(seq < closed, true) AND kind = 'end' THEN CASE WHEN seq % 3 = 0 THEN 499 ELSE 200 END END AS status,
+        CASE WHEN seq = closed THEN CASE WHEN wrong = 'binary_message_not_supported' THEN 1003 WHEN wrong LIKE '%upstream%' THEN 1011 ELSE 1008 END END AS closed_with FROM m""",
 }
