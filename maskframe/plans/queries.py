@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.functions import checksums
-from maskframe.operators import detect, mask, rules, scan, state
+from maskframe.operators import detect, mask, rules, scan, state, term_join
 
 from .engine_queries import LINES, lines_once
 
@@ -88,6 +88,17 @@ def dictionary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.entity_counts(rows, ["doc_id", "row"], "text", own, segment=False).groupBy("doc_id", F.col("entity_type").alias("term")).agg(F.sum("n").alias("n"))
 
 
+def table_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shop's people, addresses and places, and the lines of the benchmark, as a dictionary."""
+    clients, lines = spark.read.parquet(f"{sf_dir}/clients.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return clients.select(F.explode(F.array("name", "email", "city")).alias("term")).unionByName(lines.select(F.explode(F.split("text", r"\. |\n")).alias("term")))
+
+
+def table_terms_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of these terms each document holds."""
+    return term_join.term_matches(documents(spark, sf_dir), "doc_id", "text", table_terms(spark, sf_dir))
+
+
 #: The longest text that ``quarantined_documents`` looks through.
 LONGEST = 20_000
 
@@ -151,7 +162,7 @@ QUERIES = {
     "detect_email": _of("EMAIL"),
     "detect_ipv4": _of("IP_ADDRESS"),
     "detect_card_luhn": _of("CREDIT_CARD"),
-    **{f.__name__: f for f in (detect_token_assignment, entity_counts_by_lang, docs_blocked_by_policy, mask_round_trip, mask_emails, mask_documents, dictionary_matches, quarantined_documents, model_windows, resolve_overlaps, checksum_rules, alias_hmac, latest_wins_upsert)},
+    **{f.__name__: f for f in (detect_token_assignment, entity_counts_by_lang, docs_blocked_by_policy, mask_round_trip, mask_emails, mask_documents, dictionary_matches, table_terms_found, quarantined_documents, model_windows, resolve_overlaps, checksum_rules, alias_hmac, latest_wins_upsert)},
 }
 
 EMAILS = r"""regexp_extract_all(text, '[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）぀-ゟ]+@[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）]+\.(?:[A-Za-z]{2,}|[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）.]{2,})')"""
@@ -185,6 +196,8 @@ _OVER = "o.start < s.stop AND s.start < o.stop"
 ORACLE_SQL = {
     "detect_email": f"SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest({EMAILS}) AS value FROM documents) GROUP BY ALL",
     "detect_ipv4": f"SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest({IPS}) AS value FROM documents) GROUP BY ALL",
+    "table_terms_found": r"""WITH t AS (SELECT DISTINCT term FROM (SELECT unnest([name, email, city]) AS term FROM clients UNION ALL SELECT unnest(regexp_split_to_array(text, '\. |\n')) FROM benchmark) WHERE term <> '')
+      SELECT DISTINCT doc_id, term FROM documents JOIN t ON contains(text, term)""",
     "quarantined_documents": f"SELECT doc_id, CASE WHEN length(text) > {LONGEST} THEN 'TEXT_TOO_LONG' END AS error, CAST(CASE WHEN length(text) > {LONGEST} THEN NULL ELSE coalesce(len({EMAILS}), 0) END AS INTEGER) AS n_hits FROM documents",
     "model_windows": "SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{12,}')) AS value FROM documents) GROUP BY ALL",
     "mask_round_trip": "SELECT doc_id, text FROM documents",
