@@ -27,8 +27,8 @@ from maskframe.streaming.shared import folder
 GRAM = 8
 #: The largest Bloom filter: 4 MB.
 MIN_BITS, MAX_BITS = 1 << 10, 1 << 25
-#: Bytes of a text that are looked at together, and grams of a batch.
-SLICE = 1 << 20
+#: Bytes of texts that are looked at together: few enough for a processor's cache.
+SLICE = 1 << 17
 #: Places of a term whose grams are counted; of a longer term those that are spread over it.
 PLACES = 64
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -36,17 +36,22 @@ _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 def grams(data: bytes, length: int) -> np.ndarray:
     """The grams of one length, one for each place."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    cells, out = np.frombuffer(data, np.uint8).astype(np.uint64), np.zeros(n, np.uint64)
-    for k in range(length):
-        out = (out << np.uint64(8)) | cells[k : k + n]
-    return out if length == GRAM else out | np.uint64((0xF8 + length) << 56)
+    return grams_of(np.frombuffer(data, np.uint8), [length])[length]
 
 
-def _places(found: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(found * odd) >> np.uint64(64 - bits.bit_length() + 1) for odd in _ODD]
+def grams_of(data: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
+    """For each length the grams at each place; a gram is the one that is a byte shorter and its next byte."""
+    cells, out, found = data.astype(np.uint64), np.zeros(len(data), np.uint64), {}
+    for k in range(1, max(lengths) + 1):
+        n = max(len(data) - k + 1, 0)
+        out = (out[:n] << np.uint64(8)) | cells[k - 1 : k - 1 + n]
+        if k in lengths:
+            found[k] = out if k == GRAM else out | np.uint64((0xF8 + k) << 56)
+    return found
+
+
+def _place(found: np.ndarray, odd: np.uint64, bits: int) -> np.ndarray:
+    return ((found * odd) >> np.uint64(64 - bits.bit_length() + 1)).view(np.int64)
 
 
 def bloom(terms: DataFrame, n_terms: int) -> np.ndarray:
@@ -56,8 +61,9 @@ def bloom(terms: DataFrame, n_terms: int) -> np.ndarray:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(bits // 64, np.uint64)
         for b in batches:
-            for at in _places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
-                np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+            for odd in _ODD:
+                at = _place(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), odd, bits)
+                np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).view(np.uint64))
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(words[used].view(np.int64))], ["word", "bits"])
 
@@ -67,39 +73,53 @@ def bloom(terms: DataFrame, n_terms: int) -> np.ndarray:
     return words
 
 
-def _known(found: np.ndarray, words: np.ndarray) -> np.ndarray:
-    bits, held = len(words) * 64, np.ones(len(found), bool)
-    for at in _places(found, bits):
-        held &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return found[held]
+def _known(found: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The places of the grams that the filter, as a truth value for each bit, knows; the second bit is only looked at where
+    the first one holds."""
+    at = np.flatnonzero(held[_place(found, _ODD[0], len(held))])
+    return at[held[_place(found[at], _ODD[1], len(held))]]
+
+
+def _blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[int], list[int]]]:
+    """(bytes, rows, ends): about ``SLICE`` bytes of texts one after the other, the row of each piece and where it ends.
+    Longer texts are in several pieces, which share as many bytes as no gram is longer than."""
+    some, rows, ends, total = [], [], [], 0
+    for n, value in enumerate(texts):
+        data = (value.as_py() or "").encode()
+        for start in range(0, len(data), SLICE):
+            some.append(data[start : start + SLICE + GRAM - 1])
+            total += len(some[-1])
+            rows.append(n)
+            ends.append(total)
+            if total >= SLICE:
+                yield np.frombuffer(b"".join(some), np.uint8), rows, ends
+                some, rows, ends, total = [], [], [], 0
+    if some:
+        yield np.frombuffer(b"".join(some), np.uint8), rows, ends
 
 
 def text_grams(docs: DataFrame, key: str, text: str, lengths: list[int], words: np.ndarray) -> DataFrame:
-    """key, gram: the grams of a text that the filter knows, once for each slice."""
+    """key, gram: the grams of a text that the filter knows, once for each piece of it."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
         for b in batches:
-            owners, made, held = [], [], 0
-
-            def batch() -> pa.RecordBatch:
-                of = pa.array(np.repeat(np.array(owners, np.int64), [len(m) for m in made]))
-                return pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(np.concatenate(made).view(np.int64))], [key, "gram"])
-
-            for n, value in enumerate(b.column(1)):
-                data = (value.as_py() or "").encode()
-                for start in range(0, len(data), SLICE):
-                    piece = data[start : start + SLICE + GRAM - 1]
-                    found = np.unique(np.concatenate([_known(grams(piece, k), words) for k in lengths]))
-                    if len(found):
-                        owners.append(n)
-                        made.append(found)
-                        held += len(found)
-                    if held >= SLICE:
-                        yield batch()
-                        owners, made, held = [], [], 0
-            if made:
-                yield batch()
+            for data, rows, ends in _blocks(b.column(1)):
+                owners, found, ends = [], [], np.array(ends)
+                for k, every in grams_of(data, lengths).items():
+                    at = _known(every, held)
+                    owner = np.searchsorted(ends, at, side="right")
+                    inside = at + k <= ends[owner]  # not across two texts
+                    owners.append(owner[inside])
+                    found.append(every[at[inside]])
+                owner, gram = np.concatenate(owners), np.concatenate(found)
+                order = np.lexsort((gram, owner))
+                owner, gram = owner[order], gram[order]
+                first = np.ones(len(gram), bool)
+                first[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+                of = pa.array(np.array(rows, np.int64)[owner[first]])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(gram[first].view(np.int64))], [key, "gram"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, gram long")
 
@@ -113,9 +133,10 @@ def term_grams(terms: DataFrame) -> DataFrame:
             for n, value in enumerate(b.column(0)):
                 data = value.as_py().encode()
                 length = min(GRAM, len(data))
-                last = len(data) - length
-                places = range(last + 1) if last < PLACES else (last * k // (PLACES - 1) for k in range(PLACES))
-                own = np.unique(np.concatenate([grams(data[p : p + length], length) for p in places]))
+                own = grams(data, length)
+                if len(own) > PLACES:
+                    own = own[np.arange(PLACES) * (len(own) - 1) // (PLACES - 1)]
+                own = np.unique(own)
                 owners += [n] * len(own)
                 lengths += [length] * len(own)
                 found.append(own)
@@ -130,16 +151,17 @@ def term_matches(docs: DataFrame, key: str, text: str, terms: DataFrame, fold: C
     compared (``F.lower``); terms are told as folded."""
     own = terms.select(fold(F.col("term")).alias("term")).where("term is not null and term <> ''").distinct()
     rows = docs.select(F.col(key), fold(F.col(text)).alias("__text")).where("__text is not null")
-    cut = term_grams(own)
+    spark, written = docs.sparkSession, folder(docs.sparkSession, "terms")
+    term_grams(own).write.mode("overwrite").parquet(f"{written}/grams")
+    cut = spark.read.schema("term string, gram long, length int").parquet(f"{written}/grams")
     told = cut.agg(F.collect_set("length").alias("lengths"), F.count(F.lit(1)).alias("n")).first()
     if not told.n:
         return rows.select(key, F.lit(None).cast("string").alias("term")).limit(0)
     lengths = sorted(told.lengths)
     counts = text_grams(rows, key, "__text", lengths, bloom(cut, told.n)).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = cut.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rare"))
-    written = folder(docs.sparkSession, "terms")
-    rarest.where("rare.n > 0").select("term", F.col("rare.gram").alias("gram")).write.mode("overwrite").parquet(written)
-    chosen = docs.sparkSession.read.schema("term string, gram long").parquet(written)
+    rarest.where("rare.n > 0").select("term", F.col("rare.gram").alias("gram")).write.mode("overwrite").parquet(f"{written}/chosen")
+    chosen = spark.read.schema("term string, gram long").parquet(f"{written}/chosen")
     candidates = text_grams(rows, key, "__text", lengths, bloom(chosen, chosen.count())).join(chosen, "gram").select(F.col(key).alias("__key"), "term").distinct()
     confirmed = F.col(key).eqNullSafe(F.col("__key")) & F.contains("__text", "term")
     return rows.join(candidates, confirmed).select(key, "term").distinct()
