@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .refused import Refused, split_quarantine
 from .rules import Rule, Terms
-from .scan import Finder, Hit, Model, Scanner, resolved
+from .scan import Finder, Hit, Model, Scanner
 
 HIT = (
     "struct<start:int,end:int,value:string,normalized:string,entity_type:string,detector:string,score:double,priority:int,profile:string,policy:string,ord:int>"
@@ -151,18 +151,6 @@ def entity_counts(df: DataFrame, keys: list[str], text: str, rules: Rules, **opt
     return df.select(*keys, F.explode(run(own)).alias("entity_type", "n"))
 
 
-def _settled(rows: pa.Array) -> pa.Array:
-    return hit_lists([resolved([Hit(**h) for h in hits or ()]) for hits in rows.to_pylist()])
-
-
-def resolve_table(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Resolution of a detections table, grouped by the document."""
-    if "normalized" not in rows.columns:
-        rows = rows.withColumn("normalized", F.col("value"))
-    hits = F.collect_list(F.struct(*Hit._fields).cast(HIT))
-    return rows.groupBy(*keys).agg(hits.alias("__hits")).select(*keys, F.inline(F.arrow_udf(_settled, f"array<{HIT}>")("__hits")))
-
-
 def blocking(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The entity types that block a document."""
     return rows.where("policy = 'block'").groupBy(*keys).agg(F.array_sort(F.collect_set("entity_type")).alias("blocked_by"))

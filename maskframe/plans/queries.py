@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.functions import checksums
-from maskframe.operators import detect, mask, rules, scan, state, term_join
+from maskframe.operators import detect, mask, rules, scan, span_tables, state, term_join
 
 from .engine_queries import LINES, lines_once
 
@@ -132,7 +132,28 @@ def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_partkey") % 5 == 0, "CREDIT_CARD").otherwise(F.col("l_returnflag")).alias("entity_type"), F.lit(0.5).alias("score"), (F.col("l_partkey") % 3 * 10).cast("int").alias("priority"),
         F.when(F.col("l_suppkey") % 4 == 0, "redacted").otherwise("literal").alias("policy"), k.alias("ord"), F.lit("").alias("value"), F.lit("x").alias("detector"), F.lit("numeric").alias("profile"),
     )
-    return detect.resolve_table(spans, ["doc"]).select("doc", "start", F.col("end").alias("stop"), "entity_type", "policy")
+    return span_tables.resolve_table(spans, ["doc"]).select("doc", "start", F.col("end").alias("stop"), "entity_type", "policy")
+
+
+def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of an order as a span of the text of its flag, so that a few texts have all spans; some have no length."""
+    at, long = F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.pmod("l_partkey", F.lit(13)) - F.pmod("l_suppkey", F.lit(3))
+    spans = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("doc"), at.cast("int").alias("start"), (at + F.greatest(long, F.lit(0))).cast("int").alias("end"), "l_linenumber")
+    return spans.where("start is not null and `end` is not null")
+
+
+def span_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of each text that spans cover without a gap."""
+    found = span_tables.islands(line_spans(spark, sf_dir), ["doc"])
+    return found.groupBy("doc", "island").agg(F.max("end").alias("stop"), F.count(F.lit(1)).alias("n"))
+
+
+def guard_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of odd numbers as identifiers: how many of each span lie in a longer one of the others and would be dropped."""
+    spans = line_spans(spark, sf_dir)
+    odd = F.col("l_linenumber") % 2 == 1
+    found = span_tables.inside(spans.where(odd), spans.where(~odd), ["doc"], "dropped")
+    return found.groupBy("doc", "start", F.col("end").alias("stop"), "dropped").agg(F.count(F.lit(1)).alias("n"))
 
 
 def checksum_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +183,7 @@ QUERIES = {
     "detect_email": _of("EMAIL"),
     "detect_ipv4": _of("IP_ADDRESS"),
     "detect_card_luhn": _of("CREDIT_CARD"),
-    **{f.__name__: f for f in (detect_token_assignment, entity_counts_by_lang, docs_blocked_by_policy, mask_round_trip, mask_emails, mask_documents, dictionary_matches, table_terms_found, quarantined_documents, model_windows, resolve_overlaps, checksum_rules, alias_hmac, latest_wins_upsert)},
+    **{f.__name__: f for f in (detect_token_assignment, entity_counts_by_lang, docs_blocked_by_policy, mask_round_trip, mask_emails, mask_documents, dictionary_matches, table_terms_found, quarantined_documents, model_windows, resolve_overlaps, span_islands, guard_spans, checksum_rules, alias_hmac, latest_wins_upsert)},
 }
 
 EMAILS = r"""regexp_extract_all(text, '[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）぀-ゟ]+@[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）]+\.(?:[A-Za-z]{2,}|[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）.]{2,})')"""
@@ -191,6 +212,8 @@ def _hmac(inner: str, outer: str, message: str) -> str:
 
 
 _FIXED = [f"unhex('{(bytes(b ^ x for b in b'key'.ljust(64, bytes(1)))).hex()}')" for x in (0x36, 0x5C)]
+_SPANS = """(SELECT l_returnflag AS doc, CAST(l_orderkey * 8 + l_linenumber AS INTEGER) AS start, CAST(l_orderkey * 8 + l_linenumber + greatest(l_partkey % 13 - l_suppkey % 3, 0) AS INTEGER) AS stop, l_linenumber FROM lineitem
+    WHERE l_orderkey + l_linenumber IS NOT NULL)"""
 _OVER = "o.start < s.stop AND s.start < o.stop"
 
 ORACLE_SQL = {
@@ -212,6 +235,14 @@ ORACLE_SQL = {
         CASE WHEN l_partkey % 5 = 0 THEN 3 WHEN l_suppkey % 4 = 0 THEN 2 ELSE 0 END AS safe FROM {LINES})
       SELECT doc, start, stop, entity_type, CASE safe WHEN 3 THEN 'block' WHEN 2 THEN 'redacted' ELSE 'literal' END AS policy FROM s
       WHERE NOT EXISTS (SELECT 1 FROM s AS o WHERE o.doc = s.doc AND o.ord <> s.ord AND {_OVER} AND (o.safe, o.priority, o.stop - o.start, -o.start) > (s.safe, s.priority, s.stop - s.start, -s.start))""",
+    "span_islands": f"""WITH p AS (SELECT doc, start, max(stop) AS stop, count(*) AS n FROM {_SPANS} GROUP BY ALL),
+        f AS (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY doc ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM p),
+        r AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY start) AS run FROM f)
+      SELECT doc, min(start) AS island, max(stop) AS stop, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY doc, run""",
+    "guard_spans": f"""WITH s AS (SELECT *, l_linenumber % 2 = 1 AS odd FROM {_SPANS}), p AS (SELECT doc, start, max(stop) FILTER (NOT odd) AS here FROM s GROUP BY ALL),
+        b AS (SELECT *, max(here) OVER (PARTITION BY doc ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p)
+      SELECT s.doc, s.start, s.stop, coalesce(b.before >= s.stop, FALSE) OR coalesce(b.here > s.stop, FALSE) AS dropped, count(*) AS n
+      FROM s JOIN b ON s.doc IS NOT DISTINCT FROM b.doc AND s.start = b.start WHERE odd GROUP BY ALL""",
     "checksum_rules": f"""SELECT o_orderkey, {_LUHN} AS luhn,
         (CASE WHEN ({_digits("m", (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2))}) % 11 <= 1 THEN 0 ELSE 11 - ({_digits("m", (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2))}) % 11 END) = CAST(substr(m, 12, 1) AS INTEGER) AS my_number,
         9 - ({_digits("c", (2, 1) * 6, 2)}) % 9 = CAST(substr(c, 1, 1) AS INTEGER) AS corporate, o_orderkey % 300 <= 255 AND o_orderkey % 11 <> 0 AND NOT (o_orderkey % 300 = 192 AND o_orderkey % 7 = 0) AS ipv4,
