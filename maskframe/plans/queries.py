@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.functions import checksums
-from maskframe.operators import detect, mask, rules, scan, span_tables, state, term_join
+from maskframe.operators import audit, detect, mask, rules, scan, span_tables, state, term_join
+from maskframe.streaming.shared import folder
 
 from .engine_queries import LINES, lines_once
 
@@ -75,6 +76,16 @@ def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.expr("cast(nullif(substring(session_id, 2), '') as long)").alias("doc_id"), *keys, F.col("restored").alias("text"))
 
 
+def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What masking every document under the rules for e-mail addresses and cards tells of itself, in 50 sessions."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.concat(F.lit("s"), F.coalesce(F.pmod("doc_id", F.lit(50)), F.lit(0))).alias("session_id"))
+    own = [r for r in FORMATS if r.entity in ("EMAIL", "CREDIT_CARD")]
+    keys = document_sessions(spark.range(50).select(F.concat(F.lit("s"), "id").alias("session_id")))
+    out = folder(spark, "audit")
+    audit.write_audited(mask.mask(docs, keys, ["doc_id"], "text", own), f"{out}/rows", f"{out}/log", "audit_counts", audit.types_of(own))
+    return spark.read.schema(audit.SCHEMA).parquet(f"{out}/log").groupBy("kind", "label").agg(F.sum("n").alias("n"))
+
+
 def mask_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The masked text of every document under the e-mail rule, in a session for each id."""
     docs = documents(spark, sf_dir).select("doc_id", "text", F.concat(F.lit("s"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("session_id"))
@@ -183,7 +194,7 @@ QUERIES = {
     "detect_email": _of("EMAIL"),
     "detect_ipv4": _of("IP_ADDRESS"),
     "detect_card_luhn": _of("CREDIT_CARD"),
-    **{f.__name__: f for f in (detect_token_assignment, entity_counts_by_lang, docs_blocked_by_policy, mask_round_trip, mask_emails, mask_documents, dictionary_matches, table_terms_found, quarantined_documents, model_windows, resolve_overlaps, span_islands, guard_spans, checksum_rules, alias_hmac, latest_wins_upsert)},
+    **{f.__name__: f for f in (detect_token_assignment, entity_counts_by_lang, docs_blocked_by_policy, mask_round_trip, mask_emails, mask_documents, audit_counts, dictionary_matches, table_terms_found, quarantined_documents, model_windows, resolve_overlaps, span_islands, guard_spans, checksum_rules, alias_hmac, latest_wins_upsert)},
 }
 
 EMAILS = r"""regexp_extract_all(text, '[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）぀-ゟ]+@[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）]+\.(?:[A-Za-z]{2,}|[^\s@,;:<>()\[\]\\"''、。，．！？「」『』（）.]{2,})')"""
@@ -223,6 +234,10 @@ ORACLE_SQL = {
       SELECT DISTINCT doc_id, term FROM documents JOIN t ON contains(text, term)""",
     "quarantined_documents": f"SELECT doc_id, CASE WHEN length(text) > {LONGEST} THEN 'TEXT_TOO_LONG' END AS error, CAST(CASE WHEN length(text) > {LONGEST} THEN NULL ELSE coalesce(len({EMAILS}), 0) END AS INTEGER) AS n_hits FROM documents",
     "model_windows": "SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{12,}')) AS value FROM documents) GROUP BY ALL",
+    "audit_counts": f"""WITH d AS (SELECT coalesce(len({EMAILS}), 0) AS mails, coalesce(len(list_filter(list_transform({CARDS}, lambda v: regexp_replace(v, '[ -]', '', 'g')), lambda d: {_LUHN})), 0) AS cards FROM documents),
+        n AS (SELECT unnest([{{'kind': 'event', 'label': 'request_masked', 'n': count(*) FILTER (cards = 0)}}, {{'kind': 'event', 'label': 'request_blocked', 'n': count(*) FILTER (cards > 0)}}, {{'kind': 'reason', 'label': 'CREDIT_CARD', 'n': count(*) FILTER (cards > 0)}},
+          {{'kind': 'entity', 'label': 'EMAIL', 'n': CAST(sum(mails) AS BIGINT)}}, {{'kind': 'entity', 'label': 'CREDIT_CARD', 'n': CAST(sum(cards) AS BIGINT)}}], recursive := true) FROM d)
+      SELECT kind, label, n FROM n WHERE n > 0""",
     "mask_round_trip": "SELECT doc_id, text FROM documents",
     "detect_token_assignment": f"SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}', 1)) AS value FROM documents",
     "detect_card_luhn": f"""SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, value, regexp_replace(value, '[ -]', '', 'g') AS d FROM (SELECT doc_id, unnest({CARDS}) AS value FROM documents)) WHERE {_LUHN} GROUP BY ALL""",
