@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over all documents (grouped sums; a fixed number of buckets).
-2. A randomised SVD of the TF-IDF passages: every task multiplies its passages with a random test matrix and back
-   (Z = A'A O, a fixed-size matrix), the sums of these go to the driver, where the small factorisation gives the latent
-   directions (Nystroem). The index is fitted on at most about ``fit_docs`` documents, chosen by hash; every document
-   is searched.
+2. A randomised SVD of the TF-IDF passages of all documents: every task multiplies its passages with a random test matrix
+   and back (Z = A'A O, a fixed-size matrix), the tasks' matrices are added by strips, and the sum goes to the driver, where
+   the small factorisation gives the latent directions (Nystroem). Only if asked to (``fit_docs``) is the index fitted on a
+   sample, chosen by hash; every document is searched.
 3. Cosine search: every passage (windows of 16, 32 and 48 words, dealt to benchmark passages by their length) against
    all benchmark passages, in blocks of ``block_items``; a matrix product, never a join.
 4. A candidate is confirmed by the longest common subsequence of words between the benchmark passage and the window
@@ -41,7 +41,8 @@ SCALES = ((16, 21, 0.9), (32, 40, 1.0), (48, 1 << 30, 1.0))  # window, the longe
 PHRASE = 8
 #: The least shares of a passage: longest common subsequence, rare words, neighbours.
 COMMON, ANSWER, ORDER = 0.5, 0.4, 0.5
-FIT_TASKS = 8
+#: The fit's sums go in so many parts of the matrix to the tasks that add them, as whole numbers of 1 / SCALE.
+STRIPS, SCALE = 16, 1 << 20
 #: Cosines of windows and passages that are held at once.
 CELLS = 1 << 22
 MARKS = SEPARATES.copy()
@@ -99,6 +100,9 @@ def _features(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(32)).astype(np.int64) % COARSE, np.where(h >> np.uint64(63), weight, -weight)
 
 
+SUMS = "strip int, z binary, rows long"
+
+
 def _range_finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, test = shared.value
@@ -106,36 +110,57 @@ def _range_finder(shared):
         for batch in batches:
             rows += batch.num_rows
             for _, h, at in batched(batch):
+                if not len(h):
+                    continue
                 row, weight = _features(h, idf)
                 doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                passage = np.unique(doc << 32 | (np.arange(len(h)) - at[doc]) // 32, return_inverse=True)[1]
-                for first in range(0, int(passage.max(initial=-1)) + 1, 1024):
+                passage = np.cumsum((np.arange(len(h)) - at[doc]) % 32 == 0) - 1
+                for first in range(0, int(passage[-1]) + 1, 1024):
                     a, b = np.searchsorted(passage, [first, first + 1024])
                     some = np.bincount((passage[a:b] - first) * COARSE + row[a:b], weight[a:b], 1024 * COARSE).astype(np.float32).reshape(1024, COARSE)
-                    some /= np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-12)
-                    total += some.T @ (some @ test)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([rows], pa.int64())], names=["z", "rows"])
+                    seen = some @ test
+                    seen /= np.maximum(np.einsum("ij,ij->i", some, some), 1e-24)[:, None]  # as of passages of length 1
+                    total += some.T @ seen
+        whole = np.rint(total * SCALE).astype(np.int64)  # whole numbers, so that no order of tasks changes the sums
+        yield _sums(whole.reshape(STRIPS, -1), rows)
 
     return run
 
 
+def _sums(strips: np.ndarray, rows: int) -> pa.RecordBatch:
+    n = len(strips)
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([s.tobytes() for s in strips], pa.binary()), pa.array([rows] + [0] * (n - 1), pa.int64())], names=["strip", "z", "rows"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a task's strips."""
+    total: dict[int, list] = {}
+    for batch in batches:
+        for strip, z, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = total.setdefault(strip, [0, 0])
+            own[0], own[1] = own[0] + np.frombuffer(z, np.int64), own[1] + rows
+    yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([z.tobytes() for z, _ in total.values()], pa.binary()), pa.array([n for _, n in total.values()], pa.int64())], names=["strip", "z", "rows"])
+
+
 def least_hash(fit_docs: int, docs: int) -> int:
     """A signed 64-bit hash is below this for about ``fit_docs`` of ``docs`` rows, however many there are."""
     return -(1 << 63) + (fit_docs << 64) // docs
 
 
-def latent_directions(spark: SparkSession, texts: DataFrame, idf: np.ndarray, fit_docs: int, docs: int, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """COARSE x rank: whitened right singular vectors of the TF-IDF passages."""
+def latent_directions(spark: SparkSession, texts: DataFrame, idf: np.ndarray, fit_docs: int | None, docs: int, rank: int = RANK, seed: int = 11) -> np.ndarray:
+    """COARSE x rank: whitened right singular vectors of the TF-IDF passages of all documents, or of a sample of about ``fit_docs``."""
     extra = rank + 16
     test = np.random.default_rng(seed).standard_normal((COARSE, extra)).astype(np.float32)
     part = texts
-    if docs > fit_docs:  # the fit alone; every document is searched
+    if fit_docs is not None and docs > fit_docs:  # the fit alone; every document is searched
         part = texts.where(F.xxhash64("id", "text") < F.lit(least_hash(fit_docs, docs)))
-    tasks = part.repartition(FIT_TASKS).mapInArrow(_range_finder(spark.sparkContext.broadcast((idf, test))), "z binary, rows long")
-    z, rows = np.zeros((COARSE, extra)), 0
-    for sums in tasks.collect():  # one matrix of fixed size from each of FIT_TASKS tasks
-        z += np.frombuffer(sums["z"]).reshape(z.shape)
-        rows += sums["rows"]
+    # each task has a matrix of fixed size, so there are no more than a few for each core
+    sums = part.coalesce(4 * spark.sparkContext.defaultParallelism).mapInArrow(_range_finder(spark.sparkContext.broadcast((idf, test))), SUMS)
+    z, rows = np.zeros((STRIPS, COARSE // STRIPS, extra)), 0
+    for told in sums.repartition(STRIPS, "strip").mapInArrow(_added, SUMS).collect():  # one matrix in all
+        z[told["strip"]] = np.frombuffer(told["z"], np.int64).reshape(z.shape[1:]) / SCALE
+        rows += told["rows"]
+    z = z.reshape(COARSE, extra)
     if docs and not rows:
         raise RuntimeError("the sample for the latent directions is empty: raise fit_docs")
     core = test.T.astype(float) @ z
@@ -348,7 +373,7 @@ def _matches(
     common: float = COMMON,
     answer: float = ANSWER,
     order: float = ORDER,
-    fit_docs: int = 10_000,
+    fit_docs: int | None = None,
     block_items: int = 10_000,
 ) -> DataFrame:
     """``search`` of texts(id, text) with ids of any type."""

@@ -1,5 +1,6 @@
 """Queries without SQL against plain versions of them, on small tables."""
 
+import inspect
 import math
 import random
 import re
@@ -187,6 +188,25 @@ def test_the_sample_of_the_fit_works_at_every_size(spark, monkeypatch):
     assert decontaminate.latent_directions(spark, docs, idf, 10_000_000_000, 50_000_000_000).std() > 0
 
 
+def test_the_index_is_fitted_on_every_document(spark):
+    assert inspect.signature(decontaminate._matches).parameters["fit_docs"].default is None
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + i * i) % 900} w{i % 5}" for i in range(20 + k % 60))) for k in range(300)] + [(300, None)], "id long, text string").repartition(5)
+    idf, n = decontaminate.inverse_frequencies(docs)
+    test = np.random.default_rng(11).standard_normal((decontaminate.COARSE, 80)).astype(np.float32)
+    z = np.zeros(test.shape)
+    for r in docs.collect():
+        h = decontaminate.words_of([r.text])[0]
+        for k in range(0, len(h), 32):
+            row, weight = decontaminate._features(h[k : k + 32], idf)
+            v = np.bincount(row, weight, decontaminate.COARSE)
+            z += np.outer(v, v @ test) / (v @ v)
+    values, vectors = np.linalg.eigh((test.T @ z + (test.T @ z).T) / 2)
+    keep = values > 1e-9 * values.max()
+    left, sizes, _ = np.linalg.svd(z @ vectors[:, keep] / np.sqrt(values[keep]), full_matrices=False)
+    own, plain = (m[:, :20] @ m[:, :20].T for m in (decontaminate.latent_directions(spark, docs, idf, None, n), left / sizes))
+    assert np.abs(own - plain).max() < 1e-3 * np.abs(plain).max()
+
+
 def test_swapped_halves_and_changed_words_are_found(spark):
     rng = random.Random(12)
     items = [words(n, rng) for n in (20, 30, 45, 60)]
