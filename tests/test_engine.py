@@ -1,7 +1,10 @@
 import random
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from maskframe.functions import normalize
@@ -61,6 +64,21 @@ def test_normal_forms_map_back(spark, form):
     assert (span.start, span.end) == (0, 1)
 
 
+def test_places_take_few_bytes_a_character(spark):
+    """Places of a batch of texts are arrays of integers, not lists of Python's."""
+    text = "día de verano e\u0301l ﬁn " * 4000
+    run = normalize._mapped("NFKC").func
+    tracemalloc.start()
+    got = run(pa.array([text, None, "", "é"] * 8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 8 * len(text)  # lists took 92 bytes a character
+    assert got.field("src")[1].as_py() is None and got.field("end")[2].as_py() == [] and got.field("src")[3].as_py() == [0]
+    by_unit = [(unicodedata.normalize("NFKC", m[0]), *m.span()) for m in regex.finditer(r"(?s).\P{ccc=0}*", text)]
+    assert normalize.mapped(text, "NFKC") == ("".join(u for u, _, _ in by_unit), *([x for u, *at in by_unit for x in [at[k]] * len(u)] for k in (0, 1)))
+    assert got.field("src")[4].as_py() == normalize.mapped(text, "NFKC")[1]
+
+
 def test_json_strings_at_any_depth(spark):
     body = r'{"a": ["x\"y", {"b\u0041": "mail a@b.org"}], "n": [1.5, -2e3], "u": "123e4567-e89b-12d3-a456-426614174000"}'
     df = spark.createDataFrame([(1, body), (2, None), (3, "[]")], "k int, b string")
