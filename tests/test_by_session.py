@@ -1,11 +1,15 @@
 """Sessions' pairs beside their rows, and the linear matching of spans."""
 
+import json
 import random
 import time
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from maskframe.operators import by_session, mask, metrics
+from maskframe.operators import by_session, detect, mask, metrics
+from maskframe.streaming import mask as streamed
 
 
 def test_every_row_meets_its_sessions_pairs_once_a_part(spark):
@@ -57,3 +61,43 @@ def test_matching_equals_a_plain_fold_and_is_linear(spark):
     df = lambda rows: spark.createDataFrame(rows, "d int, entity_type string, start int, end int")
     got = {r.entity_type: (r.tp, r.fp, r.fn, r.precision, r.recall) for r in metrics.scores(df([(1, "A", 0, 5), (1, "B", 0, 5), (2, None, 1, 2)]), df([(1, "A", 4, 9), (1, "A", None, 3), (3, "C", 1, 2)]), ["d"]).collect()}
     assert got == {"A": (1, 1, 0, 0.5, 1.0), "B": (0, 0, 1, 1.0, 0.0), None: (0, 0, 1, 1.0, 0.0), "C": (0, 1, 0, 0.0, 1.0)}
+
+
+def test_one_session_of_all_rows_is_dealt_to_many_parts(spark):
+    """Rows meet what their session has in parts, so that no task reads a whole session's texts."""
+    rows = spark.range(2000).selectExpr("id", "if(id = 7, null, if(id = 8, 'b', 'a')) as session_id")
+    sessions = spark.createDataFrame([("a", 1)], "session_id string, n int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = by_session.with_session_row(rows, sessions, ["id"]).selectExpr("id", "session_id", "n", "spark_partition_id() as p").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 2000 and all((r.n == 1) == (r.session_id == "a") for r in got)
+    assert len({r.p for r in got if r.session_id == "a"}) > 1
+
+
+def test_batches_are_masked_some_rows_at_a_time():
+    sizes = []
+
+    def run(texts, other):
+        sizes.append(len(texts))
+        return texts
+
+    texts = pa.array([None if k % 7 == 0 else str(k) for k in range(1000)])
+    assert detect.in_slices(run, texts, texts).equals(texts) and max(sizes) == detect.SOME and detect.in_slices(run, texts[:0], texts[:0]).equals(texts[:0])
+    hits = pa.array([[]] * 1000, detect.hit_lists([[]]).type)
+    masked = mask._masked(texts, hits, pa.nulls(1000, pa.map_(pa.string(), pa.string())), pa.nulls(1000, pa.string()))
+    assert masked.field("masked").equals(texts)
+
+
+def test_a_session_of_a_stream_is_told_in_small_frames_without_texts_twice():
+    own = streamed.SessionAliases(10, None)
+    frames = [pd.DataFrame({"order": [9 - k for k in range(5)] * 200, "keys": [str(k) for k in range(1000)], "text": [f"t{k}" if k % 3 else None for k in range(1000)], "aliased": ["[]"] * 1000, "error": [None] * 1000}) for _ in range(2)]
+    out = list(own.handleInputRows(("s",), iter(frames), None))
+    assert [len(f) for f in out[:-1]] == [detect.SOME] * 7 and sum(map(len, out)) == 2000
+    every = pd.concat(out)
+    plain = pd.concat(frames, ignore_index=True).sort_values("order", kind="stable")
+    assert every["keys"].tolist() == plain["keys"].tolist() and every["masked"].tolist() == plain["text"].tolist()
+    assert all("masked" not in json.loads(t) for t in every["told"])
