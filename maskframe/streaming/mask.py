@@ -17,6 +17,7 @@ null. More than ``most`` values of a session are refused from there on; what was
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from maskframe.operators.detect import Rules, with_hits
+from maskframe.operators.detect import SOME, Rules, with_hits
 from maskframe.operators.mask import LENGTHS, MASKED, MAX_MAPPINGS, REDACTED, _aliased, alias_of, masked_row
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -61,22 +62,30 @@ class SessionAliases(StatefulProcessor):
         return None, "NO_FREE_ALIAS"
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values("order", kind="stable")
-        out = []
-        for r in frame.itertuples():
-            hits, changed, error = json.loads(r.aliased or "[]"), {}, r.error
-            for h in hits if not error and not any(h["policy"] == "block" for h in hits) else ():
-                h.setdefault("alias", None)
-                if h["policy"] != "redacted" and h["alias"] not in (None, REDACTED):
-                    changed[h["fingerprint"]], why = self._alias(h)
-                    error = error or why
-            told = masked_row(r.text, [{"alias": None} | h for h in hits], changed, error)
-            out.append((r.keys, told["masked"], json.dumps(told, ensure_ascii=False)))
+        # held until all are there, so that they can be taken in order; texts are packed meanwhile
+        pack = lambda t: None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1)
+        unpack = lambda t: None if t is None else zlib.decompress(t).decode("utf-8", "surrogatepass")
+        held: list[tuple] = []
+        for frame in rows:
+            held += [(order, k, keys, pack(text), aliased, error) for k, (order, keys, text, aliased, error) in enumerate(zip(*(frame[c] for c in ("order", "keys", "text", "aliased", "error")), strict=True), len(held))]
+        held.sort(key=lambda r: (pd.isna(r[0]), 0 if pd.isna(r[0]) else r[0], r[1]))  # rows without an order are last
         if self.idle_ms:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame({"session_id": [key[0]] * len(out), "keys": [o[0] for o in out], "masked": [o[1] for o in out], "told": [o[2] for o in out]})
+        for first in range(0, len(held), SOME):
+            out = []
+            for _, _, keys, text, aliased, error in held[first : first + SOME]:
+                hits, changed = json.loads(aliased or "[]"), {}
+                for h in hits if not error and not any(h["policy"] == "block" for h in hits) else ():
+                    h.setdefault("alias", None)
+                    if h["policy"] != "redacted" and h["alias"] not in (None, REDACTED):
+                        changed[h["fingerprint"]], why = self._alias(h)
+                        error = error or why
+                told = masked_row(unpack(text), [{"alias": None} | h for h in hits], changed, error)
+                out.append((keys, told.pop("masked"), json.dumps(told, ensure_ascii=False)))
+            held[first : first + SOME] = [None] * len(out)
+            yield pd.DataFrame({"session_id": [key[0]] * len(out), "keys": [o[0] for o in out], "masked": [o[1] for o in out], "told": [o[2] for o in out]})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for state in (self.issued, self.owner, self.count):
