@@ -117,7 +117,7 @@ class _Numbers(dict):
 PACKED = "kind string, block long, bucket int, ids array<long>, places binary, words binary"
 
 
-def _blocks(spec, buckets: int, block_chars: int):
+def _blocks(split: Words, buckets: int, block_chars: int):
     schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("places", pa.binary()), ("words", pa.binary())])
 
     def packed(block: int, numbers: _Numbers, docs: list[tuple[int | None, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,6 @@ def _blocks(spec, buckets: int, block_chars: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Words(spec.value)
         block, numbers, docs, chars = TaskContext.get().partitionId() << 24, _Numbers(), [], 0
         for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):  # few texts as Python strings
             for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -190,11 +189,13 @@ def _encode(spec):
                 blob = _pack(np.frombuffer(b"".join(ids), np.uint32), np.array([len(i) // 4 for i in ids], np.uint32))
                 cells = [[block], [_pack(at)], [blob]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
+        del known, tokenizer
+        _give_back()
 
     return run
 
 
-def _joined(spec, keep: bool):
+def _joined(piece_of, keep: bool):
     """Join by position: documents of a block with the ids, and through them the pieces, of the block's words."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
@@ -202,7 +203,7 @@ def _joined(spec, keep: bool):
     )
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        piece = pieces(spec.value)
+        piece = piece_of.value
         at = [_unpack(x)[0] for x in words.column("places").to_pylist()]
         size = 1 + max((int(a.max()) for a in at if len(a)), default=-1)
         text, raw, count, kept = [""] * size, [b""] * size, np.zeros(size, np.int64), [()] * size
@@ -239,16 +240,18 @@ def encode_decode(
 
     ``tokenizer`` is the path of a tokenizers JSON file on the driver."""
     with open(tokenizer, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
+        whole = f.read()
+    # the file is parsed on the driver: parsed in a worker it takes more memory than a block
+    spec, piece_of = spark.sparkContext.broadcast(whole), spark.sparkContext.broadcast(pieces(whole))
     scratch = Scratch(spark, "bpe")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    packed = scratch.save_bucketed(texts.mapInArrow(_blocks(spec, buckets, block_chars), PACKED), "blocks", "block", buckets)
+    packed = scratch.save_bucketed(texts.mapInArrow(_blocks(Words(whole), buckets, block_chars), PACKED), "blocks", "block", buckets)
     words = packed.where("kind = 'words'").select("bucket", "block", "places", "words")
     ids = words.repartitionById(buckets, F.col("bucket").cast("int")).select("block", "places", "words").mapInArrow(_encode(spec), "block long, places binary, ids binary")
     of_docs = packed.where("kind = 'doc'").select("block", "ids", "places")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return of_docs.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined(spec, with_ids), schema)
+    return of_docs.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined(piece_of, with_ids), schema)
 
 
 def default_tokenizer() -> str:
