@@ -1,7 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from maskframe.llm import bpe, chat, decontaminate, exact_dedup, language, near_dedup, quality, substring_dedup, url_filter, warc
@@ -115,6 +118,21 @@ def test_bpe_against_the_library(spark, docs, nothing):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("maskframe_")]
 
 
+def test_a_worker_that_encodes_again_and_again_does_not_grow():
+    """Twelve tasks in one worker, each with words of its own; a dropped tokenizer would leave about 11 MB a task behind."""
+    with open(bpe.default_tokenizer(), encoding="utf-8") as f:
+        spec = type("Shared", (), {"value": f.read()})
+    held = []
+    for task in range(12):
+        own = [f" w{k}x{(task * 12_000 + k) * 7919 % 1_000_003}".encode() for k in range(12_000)]
+        places = bpe._pack(np.arange(len(own)), np.array([len(w) for w in own]))
+        row = pa.RecordBatch.from_pylist([{"block": 0, "places": places, "words": zstandard.ZstdCompressor().compress(b"".join(own))}])
+        assert sum(b.num_rows for b in bpe._encode(spec)(iter([row]))) == 1
+        with open("/proc/self/statm") as f:
+            held.append(int(f.read().split()[1]) * 4096 / 1e6)
+    assert held[-1] - held[2] < 40, held
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "a</s>b\\"), (1, 0, "user", "\\<s>[INST]x<sep>"), (1, 1, "assistant", None), (1, 2, "assistant", "é😀<<s>s><msg>\\\\n\\"), (1, None, None, "<"), (2, 0, "as<msg>s", "[[/INST]")]
     out = {r.conv_id: r for r in chat.digests(chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
