@@ -22,6 +22,8 @@ from .rules import FLOOR, STRENGTH
 from .scan import ALIAS_TYPE, Hit, resolved
 
 WIDTH = 4096
+#: The most hits of a bin that are settled in the plan, where each looks at those taken before it.
+FEW = 16
 
 
 def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -76,21 +78,67 @@ def _settled(rows: pa.Array) -> pa.Array:
     return hit_lists([resolved([Hit(**h) for h in hits or ()]) for hits in rows.to_pylist()])
 
 
+def open_bins(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, __bin: the bins out of which or into which a span reaches. The islands of all others lie in them whole."""
+    tops = spans.groupBy(*keys, "__bin").agg(F.max("end").alias("__top"))
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    reached = tops.withColumn("__carried", F.max("__top").over(before))
+    return reached.where((F.col("__top") > (F.col("__bin") + 1) * WIDTH) | (F.col("__carried") > F.col("__bin") * WIDTH)).select(*keys, "__bin")
+
+
+def _taken(ranked: Column) -> Column:
+    """``scan.resolved`` as an expression, for a few hits that all have a length and none of which is an alias: best first, a
+    hit that overlaps one already taken goes."""
+    hit = lambda r: r["hit"]
+    meets = lambda x: lambda y: (hit(y)["start"] < hit(x)["end"]) & (hit(x)["start"] < hit(y)["end"])
+    best = F.sort_array(ranked)
+    taken = F.aggregate(best, F.slice(best, 1, 0), lambda told, x: F.when(F.exists(told, meets(x)), told).otherwise(F.concat(told, F.array(x))))
+    names = F.array(*(F.lit(name) for name in STRENGTH))
+    cells = lambda r: {f: hit(r)[f] for f in Hit._fields} | {"policy": names[-r["safety"]]}
+    return F.transform(taken, lambda r: F.struct(*(c.alias(f) for f, c in cells(r).items())))
+
+
 def resolve_table(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The hits of a detections table that win (see ``scan.resolved``), island by island: hits of different islands don't
-    meet. Of hits on one span the best alone can win, so that it alone is shuffled and settled. What meets in one row is the
-    spans of an island, thus a stretch of text that is covered without a gap. Null scores, priorities and places in the order
-    of rules count as 0."""
+    """The hits of a detections table that win (see ``scan.resolved``): hits of different islands don't meet. Of hits on one
+    span the best alone can win, so that it alone is settled. A bin out of which and into which no span reaches is settled by
+    itself, after one shuffle by bins; the others island by island. What meets in one row is the spans of a bin or an island,
+    the latter a stretch of text that is covered without a gap. Null scores, priorities and places in the order of rules count
+    as 0. ``rows`` are looked through once when this is called, to tell whether any span leaves its bin."""
     if "normalized" not in rows.columns:
         rows = rows.withColumn("normalized", F.col("value"))
     known = {"score": F.coalesce("score", F.lit(0.0)), "priority": F.coalesce("priority", F.lit(0)), "ord": F.coalesce("ord", F.lit(0))}
-    hits = _spans(rows).withColumns(known).select(*keys, F.struct(*Hit._fields).cast(HIT).alias("__hit"))
+    bin_of = F.floor(F.col("start") / WIDTH)
+    spans = _spans(rows).select(*keys, F.col("start").cast("int"), F.col("end").cast("int")).withColumn("__bin", bin_of)
+    hits = _spans(rows).withColumns(known).select(*keys, F.struct(*Hit._fields).cast(HIT).alias("__hit")).withColumn("__bin", F.floor(F.col("__hit.start") / WIDTH))
+    if not spans.agg(F.max((F.col("end") > (F.col("__bin") + 1) * WIDTH).cast("int"))).first()[0]:
+        return _by_bins(hits, keys)
+    opened, by = open_bins(spans, keys), [*keys, "__bin"]
+    return _by_bins(_beside(hits, opened, by, "left_anti"), keys).unionByName(_by_islands(_beside(hits, opened, by, "left_semi"), keys))
+
+
+def _best(hits: DataFrame, by: list[str]) -> DataFrame:
+    """by, start, end, __ranked: of the hits on each span the best alone, of a span of no length and an alias as often as it
+    was there; spans of no length take nothing from each other."""
     h = F.col("__hit")
-    rank = (-safety(h["policy"], h["entity_type"]), -h["priority"], -h["score"], h["ord"])
+    # as scan.resolved puts them, but for the length, which comes before the score and is that of all hits on a span
+    rank = {"safety": -safety(h["policy"], h["entity_type"]), "priority": -h["priority"], "length": h["start"] - h["end"], "score": -h["score"], "start": h["start"], "end": h["end"], "ord": h["ord"], "hit": h}
     alias = F.coalesce(h["entity_type"] == ALIAS_TYPE, F.lit(False))
-    empty = F.when(h["start"] >= h["end"], h)  # spans of no length take nothing from each other
-    best = hits.groupBy(*keys, h["start"].alias("start"), h["end"].alias("end"), alias.alias("__alias"), empty.alias("__empty")).agg(F.min(F.struct(*(r.alias(f"r{n}") for n, r in enumerate(rank)), h.alias("hit"))).alias("__best"), F.count(F.lit(1)).alias("__n"))
+    empty = F.when(h["start"] >= h["end"], h)
+    spans = hits.groupBy(*by, h["start"].alias("start"), h["end"].alias("end"), alias.alias("__alias"), empty.alias("__empty"))
+    best = spans.agg(F.min(F.struct(*(c.alias(n) for n, c in rank.items()))).alias("__best"), F.count(F.lit(1)).alias("__n"))
     times = F.when(F.col("__empty").isNotNull(), F.col("__n")).otherwise(F.lit(1)).cast("int")
-    islanded = islands(best.select(*keys, "start", "end", F.array_repeat(F.col("__best.hit"), times).alias("__hits")), keys, "__island")
-    met = islanded.groupBy(*keys, "__island").agg(F.flatten(F.collect_list("__hits")).alias("__hits"))
+    return best.select(*by, "start", "end", (F.col("__alias") | F.col("__empty").isNotNull() | (F.col("start") < 0)).alias("__odd"), F.array_repeat("__best", times).alias("__ranked"))
+
+
+def _by_bins(hits: DataFrame, keys: list[str]) -> DataFrame:
+    by = [*keys, "__bin"]
+    met = _best(hits.repartition(*(F.col(f"`{k}`") for k in by)), by).groupBy(*by).agg(F.flatten(F.collect_list("__ranked")).alias("__ranked"), F.max("__odd").alias("__odd"))
+    few = ~F.col("__odd") & (F.size("__ranked") <= FEW)
+    others = F.arrow_udf(_settled, f"array<{HIT}>")(F.when(~few, F.col("__ranked.hit")))
+    return met.select(*keys, F.inline(F.when(few, _taken(F.col("__ranked"))).otherwise(others)))
+
+
+def _by_islands(hits: DataFrame, keys: list[str]) -> DataFrame:
+    islanded = islands(_best(hits, keys), keys, "__island")
+    met = islanded.groupBy(*keys, "__island").agg(F.flatten(F.collect_list("__ranked.hit")).alias("__hits"))
     return met.select(*keys, F.inline(F.arrow_udf(_settled, f"array<{HIT}>")("__hits")))

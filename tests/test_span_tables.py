@@ -63,3 +63,27 @@ def test_one_document_of_a_million_spans(spark):
     df = spark.range(1_000_000).selectExpr("1 as doc", "cast(id * 3 as int) as start", "cast(id * 3 + if(id % 10 = 9, 3, 4) as int) as end")
     got = span_tables.islands(df, ["doc"]).groupBy("island").count().groupBy("count").count().collect()
     assert [tuple(r) for r in got] == [(10, 100_000)]
+
+
+HITS = "doc string, start int, end int, value string, normalized string, entity_type string, detector string, score double, priority int, profile string, policy string, ord int"
+
+
+def some_hits(rng, docs, far, lengths, kinds):
+    return [
+        (f"d{d}", Hit(k := rng.randrange(far), k + rng.choice(lengths), "v", "n", rng.choice(kinds), "d", rng.choice((0.5, 0.9)), rng.choice((10, 20)), "numeric", rng.choice(("literal", "redacted", "unheard")), n))
+        for d in range(docs) for n in range(rng.choice((1, 2, 5, 12, 40)))
+    ]
+
+
+@pytest.mark.parametrize("lengths, kinds", [((1, 4, 9), ("EMAIL", "CREDIT_CARD", "PASSWORD")), ((0, 1, 4, 9, 150), ("EMAIL", "CREDIT_CARD", ALIAS_TYPE))])
+def test_bins_of_few_hits_are_settled_as_one_text(spark, monkeypatch, lengths, kinds):
+    monkeypatch.setattr(span_tables, "WIDTH", 64)
+    rows = some_hits(random.Random(len(lengths)), 80, 600, lengths, kinds)
+    got = span_tables.resolve_table(spark.createDataFrame([(d, *h) for d, h in rows], HITS), ["doc"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((d, *h) for d in {d for d, _ in rows} for h in resolved([h for x, h in rows if x == d])), key=str)
+
+
+def test_spans_that_leave_no_bin_are_shuffled_once(spark):
+    rows = [(d, *h) for d, h in some_hits(random.Random(3), 20, 4000, (1, 4, 9), ("EMAIL", "PASSWORD")) if h.end <= span_tables.WIDTH]
+    plan = span_tables.resolve_table(spark.createDataFrame(rows, HITS), ["doc"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
