@@ -43,3 +43,17 @@ def test_grams_of_different_lengths_are_never_equal():
     seen = [set(term_join.grams(data, k).tolist()) for k in range(1, 9)]
     assert sum(map(len, seen)) == len(set().union(*seen)) and all(len(s) == len({data[i : i + k] for i in range(len(data) - k + 1)}) for k, s in enumerate(seen, 1))
     assert not len(term_join.grams(b"abc", 4)) and term_join.grams(b"abc", 3).dtype == np.uint64
+
+
+def test_few_terms_are_looked_for_where_the_texts_are(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = [(rng.choice((None, *range(30))), " ".join(rng.choice(("anna", "ben", "é漢😀", "needle-work", "x")) for _ in range(rng.randrange(40)))) for _ in range(60)]
+    terms = ["anna ben", "needle-work x", "é", "漢😀 ben", "x x x", "absent altogether", "n"]
+    d, t = spark.createDataFrame([(*d, "other") for d in docs], DOC), spark.createDataFrame([(t, "x") for t in terms], TERM)
+    plan = term_join.term_matches(d, "k", "t", t)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # of matches alone: no text is shuffled
+    want = plain(docs, terms)
+    assert of(spark, docs, terms) == want and len(want) > 50
+    monkeypatch.setattr(term_join, "MAX_SENT", 0)
+    monkeypatch.setattr(term_join, "COUNTED", 10)
+    assert of(spark, docs, terms) == want
