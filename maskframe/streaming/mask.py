@@ -11,7 +11,7 @@ A batch is one micro-batch: ``mask_stream`` of a table that isn't streaming give
 there, keeps the short one. A session's new rows of a micro-batch are in one task, as its state is.
 
 Defined cases: as for ``mask``: refused rows have no text and a code, rows of unknown sessions are refused, null texts stay
-null. More than ``most`` values of a session are refused from there on; what was issued before stays in use.
+null. With ``most``, further values of a session are refused from there on; what was issued before stays in use.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from maskframe.operators.detect import SOME, Rules, with_hits
-from maskframe.operators.mask import LENGTHS, MASKED, MAX_MAPPINGS, REDACTED, _aliased, alias_of, masked_row
+from maskframe.operators.mask import LENGTHS, MASKED, REDACTED, _aliased, alias_of, masked_row
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,7 +34,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class SessionAliases(StatefulProcessor):
     """The aliases of one session, over rows (keys as JSON, text, aliased as JSON, error)."""
 
-    def __init__(self, most: int, idle_ms: int | None):
+    def __init__(self, most: int | None, idle_ms: int | None):
         self.most, self.idle_ms = most, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -48,7 +48,7 @@ class SessionAliases(StatefulProcessor):
         if (known := self.issued.getValue((h["fingerprint"],))) is not None:
             return known[0], None
         n = self.count.get()[0] if self.count.exists() else 0
-        if n >= self.most:
+        if self.most is not None and n >= self.most:
             return None, "TOO_MANY_VALUES"
         profile = "prose_identifier" if h["taken"] and h["profile"] == "numeric" else h["profile"]
         first = h["alias"] if not h["taken"] else None
@@ -97,7 +97,7 @@ class SessionAliases(StatefulProcessor):
 
 
 def mask_stream(
-    df: DataFrame, sessions: DataFrame, keys: list[str], order: str, text: str, rules: Rules, *, idle_seconds: int | None = None, merge_surface_forms: bool = False, most: int = MAX_MAPPINGS, **options
+    df: DataFrame, sessions: DataFrame, keys: list[str], order: str, text: str, rules: Rules, *, idle_seconds: int | None = None, merge_surface_forms: bool = False, most: int | None = None, **options
 ) -> DataFrame:
     """df(keys, session_id, order, text), streaming or not -> keys, session_id, masked, blocked_by, aliases, error.
 
